@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,7 +19,7 @@ SEASON_TYPE_CODES = {"002": "RS", "004": "PO"}
 ERROR_DECISIONS = ["IC", "INC"]
 ARM_TOKENS = ["HAND", "ARM", "ARMS", "WRIST", "FOREARM", "FINGERS", "FINGER", "ARM_OR_HAND", "HAND_OR_ARM"]
 ARM_FRAGMENTS = "HAND|ARM|WRIST"
-NAMED_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+BASIC_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
 MIN_WINDOW = 0.05
 
 
@@ -117,18 +116,20 @@ def split_key(key: str | Column) -> tuple[Column, Column]:
 
 
 @F.pandas_udf(T.StringType())
-def _numeric_entities(s: pd.Series) -> pd.Series:
-    pattern = re.compile(r"&#(?:\d+|[xX][0-9a-fA-F]+);")
-    return s.map(lambda t: None if t is None else pattern.sub(lambda m: html.unescape(m.group(0)), t))
+def _unescape(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: t if t is None or "&" not in t else html.unescape(t))
 
 
-def html_unescape(c: str | Column, numeric: bool = True) -> Column:
-    """Replace HTML entities: numeric ones in an Arrow batch, the five named ones in the JVM.
+def html_unescape(c: str | Column, named_only: bool = False) -> Column:
+    """Replace HTML entities once, so that ``&amp;lt;`` gives ``&lt;``.
 
-    ``&amp;`` comes last so that ``&amp;lt;`` gives ``&lt;`` and is not unescaped twice.
+    The whole entity list has no built-in and runs on Arrow batches.
+    ``named_only`` takes the five basic entities and stays in the JVM.
     """
-    out = _numeric_entities(col(c)) if numeric else col(c)
-    for entity, char in NAMED_ENTITIES.items():
+    if not named_only:
+        return _unescape(col(c))
+    out = col(c)
+    for entity, char in BASIC_ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(char))
     return out
 
