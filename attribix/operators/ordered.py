@@ -76,6 +76,30 @@ def row_numbers(
     )
 
 
+def running_max(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, value: str, name: str, before: str
+) -> DataFrame:
+    """Add the best value so far, and the best before this row (null on the first)."""
+    keys = list(keys)
+    w = Window.partitionBy(*keys, BUCKET).orderBy(*_cols(order))
+    rows = df.withColumn(BUCKET, bucket).select(
+        "*",
+        F.max(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__here"),
+        F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__prior"),
+    )
+    tops = df.withColumn(BUCKET, bucket).groupBy(*keys, BUCKET).agg(F.max(value).alias("__top"))
+    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], F.col(BUCKET).alias("__kb"), F.max("__top").over(earlier).alias("__carry")
+    )
+    match = F.col(BUCKET).eqNullSafe(F.col("__kb"))
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return rows.join(carried, match).select(
+        *df.columns, F.greatest("__here", "__carry").alias(name), F.greatest("__prior", "__carry").alias(before)
+    )
+
+
 def lookahead(
     df: DataFrame,
     keys: Sequence[str],
