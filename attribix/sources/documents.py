@@ -167,7 +167,7 @@ def keypoint_rows(df: DataFrame, value: str = "value", clip: str = "key") -> Dat
     frames = persons.select("clip", "person", F.explode("p.frames").alias("frame", "f"))
     joints = frames.select("clip", "person", F.col("frame").cast("int").alias("frame"), F.col("f.bbox").alias("b"), F.explode_outer("f.keypoints").alias("joint", "k"))
     return joints.select(
-        "clip", "frame", F.col("person").cast("string").alias("person"),
+        "clip", "frame", "person",
         *[F.try_element_at("b", F.lit(i + 1)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))],
         "joint",
         *[F.try_element_at("k", F.lit(i + 1)).alias(n) for i, n in enumerate(("x", "y", "conf"))],
