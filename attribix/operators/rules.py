@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attribix.functions.derive import is_arm_token, token
@@ -72,21 +72,29 @@ def primary_contact(contacts: str | Column, index: str | Column) -> Column:
     return F.when(F.size(items) > 0, F.try_element_at(items, F.when(inside, wanted + 1).otherwise(F.lit(-1))))
 
 
-def describe_decision(obs: str = "obs") -> Column:
-    """Label from a described contact sequence: body contact on descent counts, arm contact never does."""
+def add_describe_decision(df: DataFrame, obs: str = "obs", name: str = "decision") -> DataFrame:
+    """Label from a described contact sequence: body contact on descent counts, arm contact never does.
+
+    The contact and its tokens are columns of their own, so that no rule
+    evaluates them again.
+    """
     contact = primary_contact(f"{obs}.contacts", f"{obs}.primary_foul_contact_index")
-    motion, part = token(contact["shooter_motion"]), contact["defender_body_part"]
-    return decide(
+    staged = df.withColumns({"__contact": contact, "__shot": token(f"{obs}.shot_type")})
+    staged = staged.withColumns(
+        {"__motion": token("__contact.shooter_motion"), "__arm": is_arm_token("__contact.defender_body_part")}
+    )
+    decision = decide(
         [
-            (token(f"{obs}.shot_type").isin(DRIVE_SHOTS), "NO", "HIGH", "drive"),
-            (contact.isNull(), "UNCLEAR", "LOW", "no_contacts"),
-            (motion.isin(ASCENT), "NO", "HIGH", "ascent_contact"),
-            (is_arm_token(part), "NO", "HIGH", "arm_contact"),
-            (motion.isin(DESCENT), "YES", "HIGH", "descent_body_contact"),
-            (motion == "ON_GROUND", "NO", "MEDIUM", "on_ground"),
+            (F.col("__shot").isin(DRIVE_SHOTS), "NO", "HIGH", "drive"),
+            (F.col("__contact").isNull(), "UNCLEAR", "LOW", "no_contacts"),
+            (F.col("__motion").isin(ASCENT), "NO", "HIGH", "ascent_contact"),
+            (F.col("__arm"), "NO", "HIGH", "arm_contact"),
+            (F.col("__motion").isin(DESCENT), "YES", "HIGH", "descent_body_contact"),
+            (F.col("__motion") == "ON_GROUND", "NO", "MEDIUM", "on_ground"),
         ],
         ("UNCLEAR", "LOW", "unclear"),
     )
+    return staged.withColumn(name, decision).drop("__contact", "__shot", "__motion", "__arm")
 
 
 def observe_decision(obs: str = "obs") -> Column:

@@ -18,10 +18,6 @@ from attribix.session import checkpointed
 
 DECISION_SQL = """CASE WHEN event_type = 'R' AND status = 'F' THEN 'INC' WHEN event_type = 'R' THEN 'IC'
                        WHEN event_type = 'A' THEN 'CC' ELSE 'CNC' END"""
-DECISION = (
-    F.when((F.col("event_type") == "R") & (F.col("status") == "F"), "INC")
-    .when(F.col("event_type") == "R", "IC").when(F.col("event_type") == "A", "CC").otherwise("CNC")
-)
 AUDIT_SQL = f"""decided AS (SELECT session_id, {DECISION_SQL} AS decision FROM event),
 dcount AS (SELECT session_id, count(*) FILTER (WHERE decision = 'CC') AS cc, count(*) FILTER (WHERE decision = 'INC') AS inc,
              count(*) FILTER (WHERE decision = 'IC') AS ic, count(*) FILTER (WHERE decision = 'CNC') AS cnc,
@@ -38,8 +34,16 @@ arate AS (SELECT actor_id, count(*) AS n_sessions, CAST(sum(cc) AS BIGINT) AS cc
           FROM team JOIN dcount USING (session_id) GROUP BY 1)"""
 
 
+def decision():
+    target = F.col("event_type") == "R"
+    return (
+        F.when(target & (F.col("status") == "F"), "INC").when(target, "IC")
+        .when(F.col("event_type") == "A", "CC").otherwise("CNC")
+    )
+
+
 def decided(spark, sf):
-    return roles.events(spark, sf).select("session_id", "actor_id", DECISION.alias("decision"))
+    return roles.events(spark, sf).select("session_id", "actor_id", decision().alias("decision"))
 
 
 def audit_counts(spark, sf):
@@ -91,7 +95,7 @@ def audit_pair_rate(spark, sf):
 )
 def flag_filters(spark, sf):
     three = team_sizes(roles.team(spark, sf), "session_id").filter("n_actors = 3")
-    ev = roles.events(spark, sf).filter("exposure >= 10 AND actor_id IS NOT NULL").withColumn("decision", DECISION)
+    ev = roles.events(spark, sf).filter("exposure >= 10 AND actor_id IS NOT NULL").withColumn("decision", decision())
     return ev.join(three, "session_id", "left_semi").select(
         "session_id", "pos", "part_id", "actor_id", "decision", *A.decision_flags("decision")
     )

@@ -9,7 +9,7 @@ from attribix.operators import effects as E
 from attribix.operators import profiles as P
 from attribix.operators.ordered import exact_quantiles
 from attribix.plans import roles
-from attribix.plans.profiles import PROFILE_SQL, TARGET, wide_profile
+from attribix.plans.profiles import PROFILE_SQL, target, wide_profile
 from attribix.plans.registry import query
 from attribix.plans.roles import BASE_SQL
 from attribix.plans.shape import r, rounded
@@ -118,7 +118,7 @@ def with_without(spark, sf):
     """Totals cover every session of the subject, also those without a team."""
     per_session = (
         roles.events(spark, sf).groupBy("session_id")
-        .agg(F.sum("outcome").alias("y"), F.count_if(TARGET).alias("t"))
+        .agg(F.sum("outcome").alias("y"), F.count_if(target()).alias("t"))
     )
     customer = roles.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("cust_id"), F.col("c_nationkey").alias("subject_id")
@@ -206,7 +206,7 @@ def rollup_full(spark, sf):
         "actor_id", "per_session_RS", "per_session_PO", "per_session_delta", "total_events", "total_sessions",
         (F.col("total_events") / F.nullif(F.col("total_sessions"), F.lit(0))).alias("per_session"),
     )
-    share = P.event_share(roles.events(spark, sf), roles.team(spark, sf), "actor_id", "session_id", TARGET).select(
+    share = P.event_share(roles.events(spark, sf), roles.team(spark, sf), "actor_id", "session_id", target()).select(
         "actor_id", "target_share", "n_sessions"
     )
     return (

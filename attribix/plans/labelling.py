@@ -16,19 +16,22 @@ from attribix.sources import documents as D
 
 SEED = 42
 CLASS_SQL = "CASE lang WHEN 'en' THEN 'LANDING' WHEN 'fr' THEN 'CONTEST' WHEN 'de' THEN 'ARM-HOOK' END"
-CLASS = F.when(F.col("lang") == "en", "LANDING").when(F.col("lang") == "fr", "CONTEST").when(F.col("lang") == "de", "ARM-HOOK")
 UNION_SQL = f"""src_a AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'YES' ELSE 'NO' END AS label, NULL::VARCHAR AS note, 'landing_classifier' AS source FROM labels),
 src_b AS (SELECT doc_id, CASE WHEN {CLASS_SQL} = 'LANDING' THEN 'YES' ELSE 'NO' END AS label,
             coalesce('v3 mechanism=' || {CLASS_SQL}, '') AS note, CASE WHEN source = 'src0' THEN 'other' ELSE 'v3_foul_type' END AS source FROM documents),
 u AS (SELECT * FROM src_a UNION ALL SELECT * FROM src_b)"""
 
 
+def doc_class():
+    return F.when(F.col("lang") == "en", "LANDING").when(F.col("lang") == "fr", "CONTEST").when(F.col("lang") == "de", "ARM-HOOK")
+
+
 def label_union(spark, sf):
     a = roles.table(spark, sf, "labels").select(
         "doc_id", F.when(F.col("quality") == 1, "YES").otherwise("NO").alias("label"), F.lit("landing_classifier").alias("source")
     )
     b = roles.table(spark, sf, "documents").select("doc_id", "lang", F.col("source").alias("origin")).select(
-        "doc_id", L.taxonomy_to_binary(CLASS).alias("label"), L.taxonomy_note(CLASS).alias("note"),
+        "doc_id", L.taxonomy_to_binary(doc_class()).alias("label"), L.taxonomy_note(doc_class()).alias("note"),
         F.when(F.col("origin") == "src0", "other").otherwise("v3_foul_type").alias("source"),
     )
     return L.union_sources([a, b])
@@ -282,11 +285,16 @@ def ensemble_vote(spark, sf):
 
 
 def coded(spark, sf, *columns):
-    """Event rows with a few categorical columns, to build observations from."""
-    return roles.table(spark, sf, "lineitem").select(
+    """Distinct combinations of a few categorical event columns with their row counts.
+
+    The columns fix the observation text, so equal texts are counted first and
+    each is written, parsed and judged once.
+    """
+    rows = roles.table(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("rf"), F.col("l_linestatus").alias("ls"), F.col("l_linenumber").alias("ln"),
         F.round(F.col("l_tax") * 100).cast("int").alias("tx"), F.round(F.col("l_discount") * 100).cast("int").alias("dc"),
-    ).select(*columns)
+    )
+    return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 CODED_SQL = """coded AS (SELECT l_returnflag AS rf, l_linestatus AS ls, l_linenumber AS ln, CAST(round(l_tax * 100) AS INTEGER) AS tx,
@@ -305,7 +313,7 @@ def pick_sql(name, *values, default=None):
     return "CASE " + name + " " + " ".join(f"WHEN {q(c)} THEN {q(t)}" for c, t in values) + f" ELSE {q(default) if default is not None else 'NULL'} END"
 
 
-SHOT = (("A", "jump shot"), ("N", " Lay-up ".replace("-", "")), ("R", "JUMP-SHOT"))
+SHOT = (("A", "jump shot"), ("N", " Layup "), ("R", "JUMP-SHOT"))
 MOTION = ((1, "ascent"), (2, "Descent"), (3, "at apex"), (4, "on-ground"), (5, "AFTER_RELEASE"), (6, "unknown"))
 INDEX = ((0, "0"), (1, "1"), (2, "5"), (3, "-1"), (4, "x"))
 
@@ -331,8 +339,7 @@ def rule_decide(spark, sf):
     )
     text = F.to_json(F.struct(pick("rf", *SHOT).alias("shot_type"), contacts.alias("contacts"), pick("tx", *INDEX).alias("primary_foul_contact_index")))
     rows = D.from_text(coded(spark, sf, "rf", "ls", "ln", "tx").withColumn("text", text), "text", R.DESCRIBE_SCHEMA, "obs")
-    out = rows.select("rf", "ls", "ln", "tx", R.describe_decision().alias("d")).groupBy("rf", "ls", "ln", "tx", "d").agg(F.count(F.lit(1)).alias("n"))
-    return out.select("rf", "ls", "ln", "tx", "d.*", "n")
+    return R.add_describe_decision(rows, "obs", "d").select("rf", "ls", "ln", "tx", "d.*", "n")
 
 
 OBS = {
@@ -371,11 +378,10 @@ OBS_COLS = ", ".join(f"{up_sql(OBS, n)} AS {a}" for n, a in zip(OBS, ("shot", "a
 def rule_observe(spark, sf):
     keys = ["rf", "ls", "ln", "tx", "dc"]
     rows = observations(spark, sf, OBS, keys, R.OBSERVE_SCHEMA).select(
-        *keys, R.observe_decision().alias("d"), R.zone_from_feet("obs.defender_feet_at_shooter_landing").alias("in_zone"),
+        *keys, "n", R.observe_decision().alias("d"), R.zone_from_feet("obs.defender_feet_at_shooter_landing").alias("in_zone"),
         R.descent_from_timing("obs.contact_timing").alias("vs_descent"),
     )
-    out = rows.groupBy(*keys, "d", "in_zone", "vs_descent").agg(F.count(F.lit(1)).alias("n"))
-    return out.select(*keys, "d.*", "in_zone", "vs_descent", "n")
+    return rows.select(*keys, "d.*", "in_zone", "vs_descent", "n")
 
 
 SPATIAL = {
@@ -402,8 +408,7 @@ SPATIAL = {
 )
 def rule_fallback(spark, sf):
     keys = ["rf", "ls", "ln", "tx", "dc"]
-    rows = observations(spark, sf, SPATIAL, keys, R.SPATIAL_SCHEMA).select(*keys, R.spatial_decision().alias("d"))
-    return rows.groupBy(*keys, "d").agg(F.count(F.lit(1)).alias("n")).select(*keys, "d.*", "n")
+    return observations(spark, sf, SPATIAL, keys, R.SPATIAL_SCHEMA).select(*keys, "n", R.spatial_decision().alias("d")).select(*keys, "d.*", "n")
 
 
 @query(
@@ -450,8 +455,7 @@ def rule_phase(spark, sf):
         )
     )
     rows = D.from_text(coded(spark, sf, *keys).withColumn("text", text), "text", R.PHASE_SCHEMA, "obs")
-    out = rows.select(*keys, R.normal_phase().alias("p")).groupBy(*keys, "p").agg(F.count(F.lit(1)).alias("n"))
-    return out.select(*keys, "p.*", "n")
+    return rows.select(*keys, "n", R.normal_phase().alias("p")).select(*keys, "p.*", "n")
 
 
 @query(

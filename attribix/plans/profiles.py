@@ -11,7 +11,10 @@ from attribix.plans.registry import query
 from attribix.plans.roles import BASE_SQL
 from attribix.plans.shape import r, rounded
 
-TARGET = F.col("event_type") == "R"
+
+def target():
+    return F.col("event_type") == "R"
+
 
 PROFILE_SQL = f"""{BASE_SQL},
 calls AS (
@@ -40,7 +43,7 @@ wide AS (
 def profile(spark, sf):
     return P.actor_profile(
         roles.events(spark, sf), roles.sessions(spark, sf), roles.team(spark, sf),
-        "actor_id", "session_id", "season_type", TARGET,
+        "actor_id", "session_id", "season_type", target(),
     )
 
 
@@ -116,7 +119,7 @@ def join_dim(spark, sf):
         roles.table(spark, sf, "supplier").filter("s_acctbal >= 0")
         .select(F.col("s_suppkey").alias("actor_id"), F.col("s_name").alias("actor_name"))
     )
-    events = roles.events(spark, sf).filter(TARGET).select("session_id", "pos", "part_id", "actor_id")
+    events = roles.events(spark, sf).filter(target()).select("session_id", "pos", "part_id", "actor_id")
     return P.attach_dim(events, dim, "actor_id", [F.col("actor_name")])
 
 
@@ -126,7 +129,7 @@ def join_dim(spark, sf):
         {r("count(*) FILTER (WHERE event_type = 'R') / CAST(count(*) AS DOUBLE)")} AS target_rate FROM event GROUP BY 1""",
 )
 def session_counts(spark, sf):
-    return rounded(P.session_counts(roles.events(spark, sf), "session_id", TARGET))
+    return rounded(P.session_counts(roles.events(spark, sf), "session_id", target()))
 
 
 @query(
@@ -137,7 +140,7 @@ def session_counts(spark, sf):
         FROM team JOIN c USING (session_id) GROUP BY 1""",
 )
 def event_share(spark, sf):
-    return rounded(P.event_share(roles.events(spark, sf), roles.team(spark, sf), "actor_id", "session_id", TARGET))
+    return rounded(P.event_share(roles.events(spark, sf), roles.team(spark, sf), "actor_id", "session_id", target()))
 
 
 @query(
@@ -185,7 +188,7 @@ def top_bottom(spark, sf):
     "WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')",
 )
 def join_semi(spark, sf):
-    hits = roles.events(spark, sf).filter(TARGET).select("session_id")
+    hits = roles.events(spark, sf).filter(target()).select("session_id")
     return roles.sessions(spark, sf).select("session_id", "cust_id").join(hits, "session_id", "left_semi")
 
 
@@ -206,8 +209,8 @@ def join_anti(spark, sf):
 )
 def set_except(spark, sf):
     ev = roles.events(spark, sf).select("actor_id", "part_id", "event_type")
-    return ev.filter(TARGET).drop("event_type").distinct().join(
-        ev.filter(~TARGET).drop("event_type"), ["actor_id", "part_id"], "left_anti"
+    return ev.filter(target()).drop("event_type").distinct().join(
+        ev.filter(~target()).drop("event_type"), ["actor_id", "part_id"], "left_anti"
     )
 
 

@@ -10,10 +10,18 @@ from attribix.plans import roles
 from attribix.plans.registry import query
 from attribix.plans.shape import r, rounded
 
-DAY = F.date_trunc("DAY", F.col("ts").cast("timestamp"))
 POSITION_BLOCK = 4096
 
 
+def day():
+    """Bucket of an event: its day, which never decreases along the event order."""
+    return F.date_trunc("DAY", F.col("ts").cast("timestamp"))
+
+
+def line_bucket():
+    return F.floor(F.col("pos") / POSITION_BLOCK)
+
+
 def stream_events(spark, sf):
     return roles.table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value")
 
@@ -23,7 +31,6 @@ def lines(spark, sf):
 
 
 LINE_ORDER = ["pos", "part_id", "actor_id"]
-LINE_BUCKET = F.floor(F.col("pos") / POSITION_BLOCK)
 
 
 @query(
@@ -35,7 +42,7 @@ LINE_BUCKET = F.floor(F.col("pos") / POSITION_BLOCK)
 )
 def seq_exact_n(spark, sf):
     out = Q.followed_by_exactly(
-        stream_events(spark, sf), ["user_id"], ["ts", "event_id"], DAY, "event_type", "purchase", "view", 3, ["event_id", "value"]
+        stream_events(spark, sf), ["user_id"], ["ts", "event_id"], day(), "event_type", "purchase", "view", 3, ["event_id", "value"]
     )
     return out.select("user_id", "event_id", "next_event_id", "next_value")
 
@@ -48,7 +55,7 @@ def seq_exact_n(spark, sf):
        WHERE l_returnflag = 'R' AND t1 = 'A' AND s1 = 'F'""",
 )
 def seq_next_by(spark, sf):
-    out = Q.followed_by(lines(spark, sf), ["session_id"], LINE_ORDER, LINE_BUCKET, "event_type", "R", "A", "status", F.lit("F"))
+    out = Q.followed_by(lines(spark, sf), ["session_id"], LINE_ORDER, line_bucket(), "event_type", "R", "A", "status", F.lit("F"))
     return out.select("session_id", "pos", "part_id", "actor_id")
 
 
@@ -69,7 +76,7 @@ def first_match(spark, sf):
        SELECT user_id, CAST(max(len) AS BIGINT) AS longest, CAST(least(max(len), 2) AS BIGINT) AS longest_parity FROM c GROUP BY 1""",
 )
 def longest_run(spark, sf):
-    out = O.longest_run(stream_events(spark, sf).select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], DAY, F.col("value") > 20)
+    out = O.longest_run(stream_events(spark, sf).select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], day(), F.col("value") > 20)
     return out.withColumn("longest_parity", F.least("longest", F.lit(2).cast("bigint")))
 
 
@@ -81,7 +88,7 @@ def longest_run(spark, sf):
 )
 def running_best(spark, sf):
     rows = stream_events(spark, sf).select("user_id", "event_id", "ts", "value")
-    out = O.running_max(rows, ["user_id"], ["ts", "event_id"], DAY, "value", "best", "prev")
+    out = O.running_max(rows, ["user_id"], ["ts", "event_id"], day(), "value", "best", "prev")
     return out.select("user_id", "event_id", "best", (F.col("prev").isNull() | (F.col("value") > F.col("prev"))).alias("is_best"))
 
 

@@ -10,7 +10,7 @@ from attribix.operators import profiles as P
 from attribix.operators import teams as T
 from attribix.plans import effects as FX
 from attribix.plans import roles
-from attribix.plans.profiles import TARGET
+from attribix.plans.profiles import target
 from attribix.plans.registry import query
 from attribix.plans.roles import BASE_SQL
 from attribix.plans.shape import r, rounded
@@ -77,7 +77,7 @@ KEEP = [
 def season_actor(spark, sf):
     by_season = roles.sessions(spark, sf).select("session_id", "season")
     calls = (
-        roles.events(spark, sf).filter(TARGET).groupBy("session_id", "actor_id").agg(F.count(F.lit(1)).alias("n"))
+        roles.events(spark, sf).filter(target()).groupBy("session_id", "actor_id").agg(F.count(F.lit(1)).alias("n"))
         .join(by_season, "session_id").groupBy("actor_id", "season").agg(F.sum("n").alias("n_events"))
     )
     assigned = (
@@ -121,7 +121,7 @@ def dataset(spark, sf):
         looked_up.withColumn("league", league), defaults, ["profile_season"], RATES, {v: F.col("league")[v] for v in RATES}
     )
     feats = T.team_features(members, "session_id", RATES, F.col("known"), SIZE)
-    counts = P.session_counts(roles.events(spark, sf), "session_id", TARGET)
+    counts = P.session_counts(roles.events(spark, sf), "session_id", target())
     return (
         feats.filter("n_profiled >= 2")
         .join(counts, "session_id")
