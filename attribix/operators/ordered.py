@@ -15,13 +15,28 @@ from pyspark.sql import functions as F
 
 from attribix.functions.numeric import col, order_bucket
 
-BUCKET = "__bucket"
+CELL = "__cell"
 
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [col(c) for c in names]
 
 
+def _cell(keys: Sequence[str], bucket: Column) -> Column:
+    """Group and bucket as one value.
+
+    A struct is never null itself, so groups with a null key take part in plain
+    equality joins, and windows and joins share one partitioning.
+    """
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], bucket.alias("b"))
+
+
+def _over_cells(keys: Sequence[str]) -> Window:
+    """The cells of one group in order: one summary row per bucket."""
+    group = [F.col(f"{CELL}.k{i}") for i in range(len(keys))]
+    return Window.partitionBy(*(group or [F.lit(0)])).orderBy(f"{CELL}.b")
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -35,27 +50,18 @@ def running_totals(
     ``bucket`` must not decrease along ``order``. ``totals`` maps a running sum
     to the name under which the group's grand total is added.
     """
-    keys = list(keys)
-    staged = df.withColumn(BUCKET, bucket)
-    local = (
-        Window.partitionBy(*keys, BUCKET)
-        .orderBy(*_cols(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    per_bucket = staged.groupBy(*keys, BUCKET).agg(*[F.sum(c).alias(f"__b_{n}") for n, c in sums.items()])
-    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = by_key.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_bucket.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        F.col(BUCKET).alias("__kb"),
+    staged = df.withColumn(CELL, _cell(keys, bucket))
+    local = Window.partitionBy(CELL).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per_cell = staged.groupBy(CELL).agg(*[F.sum(c).alias(f"__b_{n}") for n, c in sums.items()])
+    before = _over_cells(keys).rowsBetween(Window.unboundedPreceding, -1)
+    everything = _over_cells(keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = per_cell.select(
+        CELL,
         *[F.coalesce(F.sum(f"__b_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
-        *[F.sum(f"__b_{n}").over(by_key).alias(t) for n, t in (totals or {}).items()],
+        *[F.sum(f"__b_{n}").over(everything).alias(t) for n, t in (totals or {}).items()],
     )
     rows = staged.select("*", *[F.sum(c).over(local).alias(f"__l_{n}") for n, c in sums.items()])
-    match = F.col(BUCKET).eqNullSafe(F.col("__kb"))
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return rows.join(carried, match).select(
+    return rows.join(carried, CELL).select(
         *df.columns,
         *[(F.col(f"__l_{n}") + F.col(f"__o_{n}")).alias(n) for n in sums],
         *(totals or {}).values(),
@@ -80,22 +86,17 @@ def running_max(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, value: str, name: str, before: str
 ) -> DataFrame:
     """Add the best value so far, and the best before this row (null on the first)."""
-    keys = list(keys)
-    w = Window.partitionBy(*keys, BUCKET).orderBy(*_cols(order))
-    rows = df.withColumn(BUCKET, bucket).select(
+    staged = df.withColumn(CELL, _cell(keys, bucket))
+    w = Window.partitionBy(CELL).orderBy(*_cols(order))
+    rows = staged.select(
         "*",
         F.max(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__here"),
         F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__prior"),
     )
-    tops = df.withColumn(BUCKET, bucket).groupBy(*keys, BUCKET).agg(F.max(value).alias("__top"))
-    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carried = tops.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys], F.col(BUCKET).alias("__kb"), F.max("__top").over(earlier).alias("__carry")
-    )
-    match = F.col(BUCKET).eqNullSafe(F.col("__kb"))
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return rows.join(carried, match).select(
+    tops = staged.groupBy(CELL).agg(F.max(value).alias("__top"))
+    earlier = _over_cells(keys).rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(CELL, F.max("__top").over(earlier).alias("__carry"))
+    return rows.join(carried, CELL).select(
         *df.columns, F.greatest("__here", "__carry").alias(name), F.greatest("__prior", "__carry").alias(before)
     )
 
@@ -110,31 +111,20 @@ def lookahead(
     name: str = "ahead",
 ) -> DataFrame:
     """Add an array with ``fields`` of the next ``k`` rows in ``order`` (shorter at the end)."""
-    keys = list(keys)
     item = F.struct(*[F.col(f) for f in fields])
-    w = Window.partitionBy(*keys, BUCKET).orderBy(*_cols(order))
+    staged = df.withColumn(CELL, _cell(keys, bucket))
+    w = Window.partitionBy(CELL).orderBy(*_cols(order))
     local = F.filter(F.array(*[F.lead(item, i).over(w) for i in range(1, k + 1)]), lambda x: x.isNotNull())
-    rows = (
-        df.withColumn(BUCKET, bucket)
-        .withColumn("__local", local)
-        .withColumn("__first", F.row_number().over(w) == 1)
-    )
-    heads = rows.filter("__first").select(
-        *[F.col(c).alias(f"__k_{c}") for c in keys],
-        F.col(BUCKET).alias("__kb"),
-        F.slice(F.concat(F.array(item), F.col("__local")), 1, k).alias("__head"),
-    )
-    later = Window.partitionBy(*[f"__k_{c}" for c in keys]).orderBy("__kb").rowsBetween(1, k)
-    heads = heads.select(
-        *[f"__k_{c}" for c in keys],
-        "__kb",
-        F.flatten(F.collect_list("__head").over(later)).alias("__next"),
-    )
-    match = F.col(BUCKET).eqNullSafe(F.col("__kb"))
-    for c in keys:
-        match = match & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-    return rows.join(heads, match).select(
-        *df.columns, F.slice(F.concat("__local", "__next"), 1, k).alias(name)
+    # Only k rows per cell leave a task here: the row-number limit runs before the shuffle.
+    first_rows = staged.select(CELL, item.alias("__item"), F.row_number().over(w).alias("__rn")).filter(F.col("__rn") <= k)
+    in_order = F.array_sort(F.collect_list(F.struct("__rn", "__item")))
+    heads = first_rows.groupBy(CELL).agg(F.transform(in_order, lambda x: x["__item"]).alias("__head"))
+    later = _over_cells(keys).rowsBetween(1, k)
+    heads = heads.select(CELL, F.flatten(F.collect_list("__head").over(later)).alias("__next"))
+    return (
+        staged.withColumn("__local", local)
+        .join(heads, CELL)
+        .select(*df.columns, F.slice(F.concat("__local", "__next"), 1, k).alias(name))
     )
 
 
