@@ -282,3 +282,58 @@ def pct_range(spark, sf):
     rows = roles.table(spark, sf, "events").select("user_id", "value")
     q = O.exact_quantiles(rows, ["user_id"], "value", {"p10": 0.1, "p90": 0.9})
     return rounded(q.withColumn("pct_range", F.col("p90") - F.col("p10")))
+
+
+EVENT_PAIRS = [("team_mean_delta", "is_inc"), ("team_min_delta", "is_inc"), ("team_mean_delta", "is_cc")]
+EVENT_SQL = f"""{FX.ADJUSTED_SQL}, lm AS (SELECT median(adj_delta) AS d FROM adjusted),
+td AS (SELECT s.subject_id, s.session_id, avg(coalesce(a.adj_delta, lm.d)) AS team_mean_delta, min(coalesce(a.adj_delta, lm.d)) AS team_min_delta,
+         max(coalesce(a.adj_delta, lm.d)) AS team_max_delta
+       FROM subject_session s JOIN team t USING (session_id) CROSS JOIN lm
+       LEFT JOIN adjusted a ON a.subject_id = s.subject_id AND a.actor_id = t.actor_id GROUP BY ALL),
+ev AS (SELECT session_id, pos, part_id, actor_id, {DECISION_SQL} AS decision FROM event),
+ed AS (SELECT ev.*, subject_id, round(team_mean_delta, 6) AS team_mean_delta, round(team_min_delta, 6) AS team_min_delta, round(team_max_delta, 6) AS team_max_delta,
+         CAST(decision = 'INC' AS INTEGER) AS is_inc, CAST(decision = 'CC' AS INTEGER) AS is_cc, CAST(decision IN ('CC', 'INC') AS INTEGER) AS is_adjudicated
+       FROM ev JOIN td USING (session_id))"""
+
+
+def event_deltas(spark, sf):
+    """Reviewed events with their team's pair deltas; a pair without one takes the overall median.
+
+    The team is summed up once per subject session, before the events are joined.
+    """
+    deltas = checkpointed(FX.adjusted(spark, sf).select("subject_id", "actor_id", "adj_delta"))
+    league = O.exact_quantiles(deltas, [], "adj_delta", {"d": 0.5}).scalar()
+    rows = roles.subject_sessions(spark, sf).select("subject_id", "session_id")
+    team = rows.join(roles.team(spark, sf), "session_id").join(deltas, ["subject_id", "actor_id"], "left")
+    value = F.coalesce(F.col("adj_delta"), F.col("league"))
+    per_team = team.withColumn("league", league).groupBy("subject_id", "session_id").agg(
+        F.avg(value).alias("team_mean_delta"), F.min(value).alias("team_min_delta"), F.max(value).alias("team_max_delta")
+    )
+    names = ["team_mean_delta", "team_min_delta", "team_max_delta"]
+    per_team = per_team.withColumns({n: F.round(n, 6) for n in names})
+    ev = roles.events(spark, sf).withColumn("decision", decision())
+    return ev.join(per_team, "session_id").select(
+        "subject_id", "session_id", "pos", "part_id", "actor_id", *names, *A.decision_flags("decision")
+    )
+
+
+@query(
+    "audit_event_deltas",
+    f"""{EVENT_SQL} SELECT subject_id, session_id, pos, part_id, actor_id, {r('team_mean_delta', 3)} AS team_mean_delta, {r('team_min_delta', 3)} AS team_min_delta,
+        {r('team_max_delta', 3)} AS team_max_delta, is_inc, is_cc, is_adjudicated FROM ed""",
+)
+def audit_event_deltas(spark, sf):
+    return rounded(event_deltas(spark, sf).drop("is_ic"), 3)
+
+
+@query(
+    "audit_event_corr",
+    f"""{EVENT_SQL}, st AS ({' UNION ALL '.join(f"SELECT '{x}' AS x, '{y}' AS y, CAST({x} AS DOUBLE) AS vx, CAST({y} AS DOUBLE) AS vy FROM ed WHERE is_adjudicated = 1" for x, y in EVENT_PAIRS)}),
+      rk AS (SELECT *, {RANK_SQL.format(by='x, y', v='vx')} AS rx, {RANK_SQL.format(by='x, y', v='vy')} AS ry FROM st)
+      SELECT x, y, count(*) AS n, {r('covar_pop(vx, vy) / nullif(stddev_pop(vx) * stddev_pop(vy), 0)')} AS pearson_r,
+             {r('covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0)')} AS spearman_rho FROM rk GROUP BY ALL HAVING count(*) >= 30""",
+)
+def audit_event_corr(spark, sf):
+    rows = event_deltas(spark, sf).filter("is_adjudicated = 1").select("team_mean_delta", "team_min_delta", "is_inc", "is_cc")
+    stacked = checkpointed(S.stack_pairs(rows, EVENT_PAIRS))
+    return rounded(S.correlations(stacked, [], 30, p_values=False))

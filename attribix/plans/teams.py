@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attribix.functions.numeric import pearson, ratio
+from attribix.functions.numeric import pearson, per_unit, ratio
 from attribix.operators import models as M
 from attribix.operators import profiles as P
 from attribix.operators import teams as T
@@ -445,6 +445,26 @@ def team_subject_features(spark, sf):
     return rounded(out)
 
 
+def subject_dataset(spark, sf):
+    """Subject sessions with enough history: actual rate, prior baseline, mean prior team delta, fold."""
+    feats = pair_members(spark, sf).groupBy("subject_id", "session_id", "season").agg(
+        F.avg("delta").alias("d"), F.first("y").alias("y"), F.first("m").alias("m")
+    )
+    totals = T.prior_sums(
+        roles.subject_sessions(spark, sf).groupBy("subject_id", "season")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ty"), F.sum("m").alias("tm")),
+        ["subject_id"], "season", ["n", "ty", "tm"], "season",
+    ).filter(F.col("n") >= PAIR_MIN)
+    return (
+        feats.join(totals, ["subject_id", "season"])
+        .withColumn("rate", per_unit("y", "m"))
+        .withColumn("prior_baseline", per_unit("ty", "tm"))
+        .withColumn("baseline_plus_team", F.col("prior_baseline") + F.col("d"))
+        .withColumn("fold", F.when(F.col("season").between(*TRAIN), "train").otherwise("test"))
+        .select("subject_id", "session_id", "fold", "rate", "d", "prior_baseline", "baseline_plus_team")
+    )
+
+
 HOLDOUT_SQL = f"""{PAIR_PRIOR_SQL},
 sdata AS (
   SELECT k.subject_id, k.session_id, k.season, k.d, 36 * s.y / greatest(s.m, 1) AS rate,
@@ -470,20 +490,7 @@ long AS (SELECT y, m AS model, p FROM preds UNPIVOT (p FOR m IN (league_mean, su
 )
 def holdout_eval(spark, sf):
     """Season holdout of the subject-session predictors that need no fitted weights."""
-    members = pair_members(spark, sf)
-    feats = members.groupBy("subject_id", "session_id", "season").agg(F.avg("delta").alias("d"), F.first("y").alias("y"), F.first("m").alias("m"))
-    totals = T.prior_sums(
-        roles.subject_sessions(spark, sf).groupBy("subject_id", "season")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ty"), F.sum("m").alias("tm")),
-        ["subject_id"], "season", ["n", "ty", "tm"], "season",
-    ).filter(F.col("n") >= PAIR_MIN)
-    data = checkpointed(
-        feats.join(totals, ["subject_id", "season"])
-        .withColumn("rate", 36.0 * F.col("y") / F.greatest("m", F.lit(1.0)))
-        .withColumn("prior_baseline", 36.0 * F.col("ty") / F.greatest("tm", F.lit(1.0)))
-        .withColumn("baseline_plus_team", F.col("prior_baseline") + F.col("d"))
-        .withColumn("fold", F.when(F.col("season").between(*TRAIN), "train").otherwise("test"))
-    )
+    data = checkpointed(subject_dataset(spark, sf))
     train = data.filter("fold = 'train'")
     test = M.group_mean_predictor(data.filter("fold = 'test'"), train, "subject_id", "rate", "subject_mean")
     test = test.withColumn("league_mean", train.agg(F.avg("rate")).scalar())
@@ -519,3 +526,18 @@ def team_effect(spark, sf):
         .agg(F.avg("adj_delta").alias("predicted_effect"), F.count("adj_delta").alias("n_matched"))
     )
     return rounded(out)
+
+
+@query(
+    "subject_corr",
+    f"""{HOLDOUT_SQL} SELECT subject_id, count(*) AS n, {r('covar_pop(rate, d) / nullif(stddev_pop(rate) * stddev_pop(d), 0)')} AS r_team,
+        {r('covar_pop(rate, prior_baseline) / nullif(stddev_pop(rate) * stddev_pop(prior_baseline), 0)')} AS r_baseline
+        FROM sdata GROUP BY 1 HAVING count(*) > 20""",
+)
+def subject_corr(spark, sf):
+    """Signal per subject: actual rate against the prior-only team delta and the prior-only baseline."""
+    return rounded(
+        subject_dataset(spark, sf).groupBy("subject_id")
+        .agg(F.count(F.lit(1)).alias("n"), pearson("rate", "d").alias("r_team"), pearson("rate", "prior_baseline").alias("r_baseline"))
+        .filter("n > 20")
+    )
