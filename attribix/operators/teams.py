@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attribix.functions.numeric import per_unit, ratio
@@ -46,39 +46,31 @@ def team_slots(team: DataFrame, session: str, actor: str, size: int) -> DataFram
 
 
 def prior_sums(
-    per_season: DataFrame, keys: Sequence[str], season: str, sums: Sequence[str], out: str = "profile_season"
+    per_season: DataFrame, keys: Sequence[str], season: str, sums: Sequence[str], out: str = "profile_season",
+    seasons: DataFrame | None = None,
 ) -> DataFrame:
     """Sums over all strictly earlier seasons, for every season after a key's first.
 
-    ``per_season`` has one row per (keys, season). A key absent in a season
-    still gets a row for it. Windows hold one row per season of one key.
+    ``per_season`` has one row per (keys, season), so a key gathers at most one
+    entry per season. A key absent in a season still gets a row for it.
+    ``seasons`` may name a cheaper table to list the seasons from.
     """
     keys = list(keys)
-    seasons = per_season.agg(F.array_sort(F.collect_set(season)).alias("s")).scalar()
-    first = per_season.groupBy(*keys).agg(F.min(season).alias("__first"))
-    spine = first.withColumn("__all", seasons).select(
-        *keys, F.explode(F.filter("__all", lambda s: s > F.col("__first"))).alias(season),
-        *[F.lit(None).cast(per_season.schema[s].dataType).alias(s) for s in sums],
-    )
-    dense = per_season.select(*keys, season, *sums).unionByName(spine).groupBy(*keys, season).agg(
-        *[F.sum(s).alias(s) for s in sums]
-    )
-    w = Window.partitionBy(*keys).orderBy(season)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        dense.select(
-            *keys,
-            F.col(season).alias(out),
-            F.row_number().over(w).alias("__rn"),
-            *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(s) for s in sums],
-        )
-        .filter("__rn > 1")
-        .drop("__rn")
-    )
+    listed = (per_season if seasons is None else seasons).agg(F.array_sort(F.collect_set(season)).alias("s")).scalar()
+    entries = per_season.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(season, *sums))).alias("__e"))
+    later = F.filter("__all", lambda s: s > F.get("__e", F.lit(0))[season])
+    rows = entries.withColumn("__all", listed).select(*keys, "__e", F.explode(later).alias(out))
+    earlier = F.filter("__e", lambda e: e[season] < F.col(out))
+
+    def total(name: str) -> Column:
+        zero = F.lit(0).cast(per_season.schema[name].dataType)
+        return F.aggregate(F.col("__past"), zero, lambda acc, e: acc + F.coalesce(e[name], zero))
+
+    return rows.withColumn("__past", earlier).select(*keys, out, *[total(s).alias(s) for s in sums])
 
 
 def prior_profile(
-    calls: DataFrame, assigned: DataFrame, actor: str, season: str
+    calls: DataFrame, assigned: DataFrame, actor: str, season: str, seasons: DataFrame | None = None
 ) -> DataFrame:
     """Rate of each actor from seasons before ``profile_season``.
 
@@ -86,14 +78,14 @@ def prior_profile(
     """
     joined = assigned.join(calls, [actor, season], "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
     return (
-        prior_sums(joined, [actor], season, ["n_events", "n_assigned"])
+        prior_sums(joined, [actor], season, ["n_events", "n_assigned"], seasons=seasons)
         .withColumn("per_session", ratio("n_events", "n_assigned", "floor1"))
     )
 
 
 def prior_pair_deltas(
     rows: DataFrame, team: DataFrame, subject: str, session: str, actor: str, season: str,
-    y: str, m: str, cov: str, min_both: int, slope: float = COVARIATE_SLOPE,
+    y: str, m: str, cov: str, min_both: int, slope: float = COVARIATE_SLOPE, seasons: DataFrame | None = None,
 ) -> DataFrame:
     """Covariate-adjusted pair deltas from seasons before ``profile_season`` only.
 
@@ -106,9 +98,9 @@ def prior_pair_deltas(
     ]
     names = ["n", "y", "m", "cov", "n_cov"]
     pair = prior_sums(
-        rows.join(team, session).groupBy(subject, actor, season).agg(*aggs), [subject, actor], season, names
+        rows.join(team, session).groupBy(subject, actor, season).agg(*aggs), [subject, actor], season, names, seasons=seasons
     )
-    total = prior_sums(rows.groupBy(subject, season).agg(*aggs), [subject], season, names)
+    total = prior_sums(rows.groupBy(subject, season).agg(*aggs), [subject], season, names, seasons=seasons)
     total = total.select(subject, "profile_season", *[F.col(n).alias(f"{n}_total") for n in names])
     s = pair.join(total, [subject, "profile_season"])
     s = s.select(

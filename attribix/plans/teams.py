@@ -89,7 +89,7 @@ def season_actor(spark, sf):
 
 def prior(spark, sf):
     calls, assigned = season_actor(spark, sf)
-    return T.prior_profile(calls, assigned, "actor_id", "season")
+    return T.prior_profile(calls, assigned, "actor_id", "season", roles.sessions(spark, sf))
 
 
 def static(spark, sf):
@@ -396,7 +396,7 @@ lookup AS (
 def pair_prior(spark, sf):
     return T.prior_pair_deltas(
         roles.subject_sessions(spark, sf), roles.team(spark, sf), "subject_id", "session_id", "actor_id",
-        "season", "y", "m", "cov", PAIR_MIN,
+        "season", "y", "m", "cov", PAIR_MIN, seasons=roles.sessions(spark, sf),
     )
 
 
@@ -453,7 +453,7 @@ def subject_dataset(spark, sf):
     totals = T.prior_sums(
         roles.subject_sessions(spark, sf).groupBy("subject_id", "season")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ty"), F.sum("m").alias("tm")),
-        ["subject_id"], "season", ["n", "ty", "tm"], "season",
+        ["subject_id"], "season", ["n", "ty", "tm"], "season", roles.sessions(spark, sf),
     ).filter(F.col("n") >= PAIR_MIN)
     return (
         feats.join(totals, ["subject_id", "season"])
