@@ -365,7 +365,7 @@ def decision_clean(spark, sf):
 
 @query(
     "html_unescape",
-    """WITH t AS (SELECT page_id, html, replace(replace(replace(replace(html, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS clean FROM pages)
+    """WITH t AS (SELECT page_id, html, regexp_replace(replace(replace(replace(html, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') AS clean FROM pages)
        SELECT page_id, CAST(length(html) AS INTEGER) AS n_raw, CAST(length(clean) AS INTEGER) AS n_clean, md5(clean) AS digest FROM t""",
 )
 def html_unescape(spark, sf):
