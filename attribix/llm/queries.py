@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from . import quality_rules, simhash_trie
+from . import packing, prefix_bpe, quality_rules, secrets, simhash_trie
 from .shared import prepared, table
+from .tokens import crc_of
+
+BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 QUERIES = {}
 ORACLES = {}
@@ -25,6 +32,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def crc32_of(ids, width):
+    """Unsigned CRC-32 of ids stored in ``width`` bytes each, as if stored in four."""
+
+    @F.arrow_udf(LongType())
+    def crc(values: pa.Array, widths: pa.Array) -> pa.Array:
+        return pa.array([crc_of(v.as_py(), f"<u{w.as_py()}") for v, w in zip(values, widths, strict=True)], pa.int64())
+
+    return crc(ids, width)
+
+
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 QUALITY_SQL = rf"""
@@ -84,6 +101,34 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_verdict", "kept")
 
 
+@query("op2_prefix_bpe")
+def op2_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.PATTERN
+    rows = prefix_bpe.encoded(table(spark, sf_dir, "documents"), path, pattern)
+    return rows.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op7_best_two_fit")
+def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
+    return rows.select(
+        "doc_id", "piece", "start", "length", crc32_of(F.col("ids"), F.col("width")).alias("ids_crc32"), "sequence_id",
+        "offset")
+
+
+@query("op9_secret_scans")
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.found(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    return rows.select(
+        "doc_id", of("assign"), of("access"), of("hex"), of("novel"),
+        F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"))
+
+
 @query("op10_simhash_trie")
 def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
