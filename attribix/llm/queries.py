@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from . import packing, prefix_bpe, quality_rules, secrets, simhash_trie
+from . import fuzzy_lines, packing, prefix_bpe, quality_rules, secrets, simhash_trie
 from .shared import prepared, table
 from .tokens import crc_of
 
@@ -110,6 +110,12 @@ def op2_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op5_fuzzy_lines")
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fuzzy_lines.deduplicated(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), "text")
+
+
 @query("op7_best_two_fit")
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
