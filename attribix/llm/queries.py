@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from . import fuzzy_lines, packing, prefix_bpe, quality_rules, secrets, simhash_trie
+from . import fuzzy_lines, host_reputation, packing, prefix_bpe, quality_rules, secrets, simhash_trie
 from .shared import prepared, table
 from .tokens import crc_of
 
@@ -124,6 +124,74 @@ def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
         "offset")
 
 
+def _level_sql(name: str, source: str, key: str, more: str = "") -> str:
+    """Posterior of one level in SQL; ``source`` has key, n, good, centre."""
+    h = host_reputation
+    return f"""
+{name}_m as (select avg(good / nullif(n, 0)) as m, var_pop(good / nullif(n, 0)) as v from {source}),
+{name}_w as (
+  select {key}{more}, n, good, centre, case when v is null then {h.WEIGHT_MIN} when v <= 0 then {h.WEIGHT_MAX}
+    else least(greatest(m * (1 - m) / v - 1, {h.WEIGHT_MIN}), {h.WEIGHT_MAX}) end as w
+  from {source}, {name}_m
+),
+{name} as (
+  select {key}{more}, mean, mean + {h.Z} * sqrt(greatest(mean * (1 - mean), 0) / (n + w + 1)) as upper
+  from (select *, (good + w * centre) / (n + w) as mean from {name}_w)
+)"""
+
+
+REPUTATION_SQL = rf"""
+with urls as (
+  select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)', 1), '{host_reputation.UPPER}', '{host_reputation.LOWER}') as host,
+    regexp_extract(coalesce(url, ''), '(?s)://[^/?#]*([^?#]*)', 1) as path
+  from pages
+),
+rules(verdict, rule) as (values {", ".join(f"('{v}', '{r}')" for v, r in host_reputation.RULES)}),
+hits as (
+  select host, path, max_by(verdict, length(rule) * 1000 + strpos(rule, '/')) as verdict,
+    max_by(rule, length(rule) * 1000 + strpos(rule, '/')) as rule
+  from (select distinct host, path from urls), rules
+  where (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1)))
+    and starts_with(path, substr(rule, strpos(rule, '/')))
+  group by host, path
+),
+marks as (select doc_id, count(*) as n, sum(quality) as good from labels where quality is not null group by doc_id),
+hosts as (
+  select host, coalesce(sum(n), 0) as n, coalesce(sum(good), 0) as good,
+    array_to_string(string_split(host, '.')[-2:], '.') as two, string_split(host, '.')[-1] as last,
+    array_to_string(string_split(host, '.')[-3:], '.') as three
+  from urls left join marks on page_id = doc_id group by host
+),
+named as (
+  select host, n, good, case when two in {host_reputation.TWO_LABEL_SUFFIXES} then two else last end as suffix,
+    case when two in {host_reputation.TWO_LABEL_SUFFIXES} then three else two end as domain
+  from hosts
+),
+suffix_in as (
+  select suffix, sum(n) as n, sum(good) as good, (select coalesce(sum(good) / nullif(sum(n), 0), 1.0) from named) as centre
+  from named group by suffix
+),
+{_level_sql("suffixes", "suffix_in", "suffix")},
+domain_in as (
+  select domain, suffix, sum(n) as n, sum(good) as good, any_value(mean) as centre
+  from named join suffixes using (suffix) group by domain, suffix
+),
+{_level_sql("domains", "domain_in", "domain")},
+host_in as (select host, n, good, mean as centre from named join domains using (domain)),
+{_level_sql("reputations", "host_in", "host")}
+select page_id, host, path, rule,
+  coalesce(verdict, case when upper < {host_reputation.MIN_GOOD} then 'block' else 'allow' end) as verdict,
+  round(mean, 9) as host_mean
+from urls join reputations using (host) left join hits using (host, path)
+"""
+
+
+@query("op8_host_reputation", REPUTATION_SQL)
+def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = host_reputation.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return rows.select("page_id", "host", "path", "rule", "verdict", F.round("host_mean", 9).alias("host_mean"))
+
+
 @query("op9_secret_scans")
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.found(table(spark, sf_dir, "documents"))
