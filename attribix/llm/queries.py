@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from . import fuzzy_lines, host_reputation, packing, prefix_bpe, quality_rules, secrets, simhash_trie
+from . import fuzzy_lines, host_reputation, packing, prefix_bpe, quality_rules, secrets, simhash_trie, token_shards
+from ..session import shared_folder
 from .shared import prepared, table
 from .tokens import crc_of
 
@@ -110,6 +111,14 @@ def op2_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op4_token_shards")
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark, "tokens")
+    token_shards.write(docs, folder, public_tokenizers.path(WORD_VOCABULARY))
+    rows = token_shards.read(token_shards.keys_of(docs), folder)
+    return rows.select("doc_id", "start", "n_tokens", crc32_of(F.col("ids"), F.col("width")).alias("ids_crc32"))
+
+
 @query("op5_fuzzy_lines")
 def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fuzzy_lines.deduplicated(table(spark, sf_dir, "documents"))
