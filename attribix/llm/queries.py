@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from . import fuzzy_lines, host_reputation, packing, prefix_bpe, quality_rules, secrets, simhash_trie, token_shards
+from . import fuzzy_lines, host_reputation, packing, prefix_bpe, quality_rules, secrets, simhash_trie, token_shards, voronoi_knn
 from ..session import shared_folder
 from .shared import prepared, table
 from .tokens import crc_of
@@ -125,6 +125,27 @@ def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), "text")
 
 
+KNN_SQL = f"""
+with v as (
+  select vec_id, [floor({voronoi_knn.SCALE:g} * x::double) for x in embedding] as e
+  from embeddings
+  where vec_id is not null and embedding is not null and list_count(embedding) = len(embedding)
+    and len([x for x in embedding if not isfinite(x)]) = 0
+),
+scored as (
+  select q.vec_id as query_id, c.vec_id as vec_id, list_dot_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % {voronoi_knn.EVERY} = 0
+),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= {voronoi_knn.K}
+"""
+
+
+@query("op6_voronoi_knn", KNN_SQL)
+def op6_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi_knn.top_k(table(spark, sf_dir, "embeddings"))
+
+
 @query("op7_best_two_fit")
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
