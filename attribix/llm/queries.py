@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from . import fuzzy_lines, host_reputation, packing, prefix_bpe, quality_rules, secrets, simhash_trie, token_shards, voronoi_knn
+from . import cotraining, fuzzy_lines, host_reputation, packing, prefix_bpe, quality_rules, secrets, simhash_trie, token_shards, voronoi_knn
 from ..session import shared_folder
 from .shared import prepared, table
 from .tokens import crc_of
@@ -111,6 +111,12 @@ def op2_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op3_cotraining")
+def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.scored(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op4_token_shards")
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark, "tokens")
