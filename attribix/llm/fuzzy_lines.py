@@ -250,3 +250,12 @@ def deduplicated(docs: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS, si
         .withColumn("text", F.when(F.col("__places").isNull(), F.col("text")).otherwise(stay))
         .drop("__d", "__wh", "__places")
     )
+
+
+def kept_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with the lines that stay, and ``n_chars``, where it exists, counted anew for documents that lost some."""
+    out = deduplicated(docs)
+    if "n_chars" in docs.columns:
+        count = F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

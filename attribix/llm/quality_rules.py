@@ -31,14 +31,14 @@ MIN_WORDS = 50
 MAX_REPEAT_SHARE = 50
 SYMBOLS = b"#*$%&|<>"
 MAX_SYMBOLS_PER_100_WORDS = 20
-MAX_DUP_LINE_SHARE = 30
+MAX_DUP_LINE_SHARE, MIN_DUP_LINES = 30, 3
 MIN_MEAN_CHARS, MAX_MEAN_CHARS = 2, 25
 
 #: Own rules of the method, next to the base: each is one column, true where the document fails.
 RULES = {
     "fail_base": f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_SHARE} * n_words",
     "fail_symbols": f"100 * n_symbols > {MAX_SYMBOLS_PER_100_WORDS} * n_words",
-    "fail_dup_lines": f"100 * n_dup_lines > {MAX_DUP_LINE_SHARE} * n_lines",
+    "fail_dup_lines": f"n_dup_lines >= {MIN_DUP_LINES} and 100 * n_dup_lines > {MAX_DUP_LINE_SHARE} * n_lines",
     "fail_word_length": f"word_chars < {MIN_MEAN_CHARS} * n_words or word_chars > {MAX_MEAN_CHARS} * n_words",
 }
 OWN = [r for r in RULES if r != "fail_base"]

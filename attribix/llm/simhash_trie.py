@@ -60,13 +60,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("h"), pa.array(found.view(np.int64))], names=["doc_id", "h", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every document, fp as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _fingerprints, "doc_id long, fp long")
+    """doc_id, h (hash of the text), fp (as a signed long) of every document."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("h")).mapInArrow(
+        _fingerprints, "doc_id long, h long, fp long")
 
 
 def linked_blocks(a: np.ndarray, b: np.ndarray | None, budget: int, top: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -215,7 +216,10 @@ def linked(distinct: DataFrame, budget: int = BUDGET, leaf: int = LEAF, stride:
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, leaf: int = LEAF, stride: int = STRIDE) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable), n_links (other fingerprints within the budget)."""
+    """doc_id, fp, component_id (smallest doc_id reachable), n_links (other fingerprints within the budget), and h and class.
+
+    class is one fingerprint of the component; h is the hash of the text.
+    """
     marks = checkpointed(fingerprints(docs))
     distinct = checkpointed(marks.groupBy("fp").agg(F.min("doc_id").alias("low")))
     stars = checkpointed(linked(distinct, budget, leaf, stride))
@@ -225,19 +229,23 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, leaf: int = LEAF, str
         distinct.join(roots, F.col("fp") == F.col("node"), "left")
         .select("fp", "low", F.coalesce("root", "fp").alias("class")))
     lowest = checkpointed(classed.groupBy("class").agg(F.min("low").alias("component_id")).withColumnRenamed("class", "__c"))
-    named = classed.join(lowest, F.col("class") == F.col("__c")).select("fp", "component_id")
+    named = classed.join(lowest, F.col("class") == F.col("__c")).select("fp", "class", "component_id")
     named = checkpointed(
-        named.join(links, "fp", "left").select(F.col("fp").alias("__fp"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return marks.join(named, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id", "n_links")
+        named.join(links, "fp", "left").select(F.col("fp").alias("__fp"), "class", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    return marks.join(named, F.col("fp") == F.col("__fp")).select(
+        "doc_id", "fp", "component_id", "n_links", "h", "class")
 
 
 def one_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id, all columns as they were.
 
-    Of rows that share this id one stays: the one whose text, then other columns, hash lowest. Rows without an id stay.
+    Rows without an id come last. Rows that share id and text are one document; of these, one row stays.
     """
-    found = near_duplicates(docs.where("doc_id is not null"), budget)
-    stay = checkpointed(found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct())
-    held = docs.join(stay, docs["doc_id"].cast("long") == F.col("__id"), "left_semi")
-    single = held.dropDuplicates(["doc_id"])
-    return single.unionByName(docs.where("doc_id is null"))
+    found = near_duplicates(docs, budget)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
+    stay = found.groupBy("class").agg(F.min(first).alias("f")).select(
+        F.col("f.none").alias("__none"), F.col("f.id").alias("__id"), F.col("f.h").alias("__h"))
+    names = ["__none", "__id", "__h"]
+    keyed = docs.withColumns({
+        "__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__h": F.xxhash64(F.col("text").cast("string"))})
+    return keyed.join(checkpointed(stay), names, "left_semi").dropDuplicates(names).drop(*names)

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attribix.llm import quality_rules, simhash_trie
+from attribix.llm import fuzzy_lines, packing, quality_rules, queries, secrets, simhash_trie
 from attribix.llm.shared import prepared, staged, table
 
 #: SQL has no counterpart of SimHash or of the tokenizer; the stages are tested against brute force.
@@ -28,9 +30,33 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash_trie.one_of_each(docs)
 
 
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with one occurrence of each group of like lines; a document may be left empty."""
+    prepared(spark)
+    return fuzzy_lines.kept_lines(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets masked."""
+    prepared(spark)
+    return secrets.redacted(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences."""
+    prepared(spark)
+    rows = packing.packed(docs, public_tokenizers.path(queries.WORD_VOCABULARY))
+    return rows.select(
+        "doc_id", "piece", "start", "length", queries.crc32_of(F.col("ids"), F.col("width")).alias("ids_crc32"),
+        "sequence_id", "offset")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", rules_stage),
+    ("line_dedup", lines_stage),
     ("simhash_near_dedup", near_dedup_stage),
+    ("secret_scans", secrets_stage),
+    ("best_fit_packing", packing_stage),
 ]
 
 
