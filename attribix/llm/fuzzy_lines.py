@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .shared import components
+from .shared import components, fresh
 
 BUDGET = 3
 BLOCKS = 5
@@ -236,26 +236,29 @@ def removed_lines(docs: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS, s
     return gone.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("wh")).agg(F.collect_set("place").alias("places"))
 
 
-def deduplicated(docs: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with ``text`` reduced to the lines that stay, and ``__lines`` and ``__removed`` counts of its lines."""
-    gone = checkpointed(removed_lines(docs, budget, blocks, similarity)).select(
-        F.col("d").alias("__d"), F.col("wh").alias("__wh"), F.col("places").alias("__places"))
+def deduplicated(
+    docs: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS, similarity: float = SIMILARITY,
+    counts: tuple[str, str] = ("n_lines", "n_removed"),
+) -> DataFrame:
+    """``docs`` with ``text`` reduced to the lines that stay, and two more columns: its lines, and how many were removed."""
+    d, wh, places = fresh(docs, "__d", "__wh", "__places")
+    gone = checkpointed(removed_lines(docs, budget, blocks, similarity)).toDF(d, wh, places)
     split = F.split(F.col("text").cast("string"), "\n")
-    joined = docs.join(
-        gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__wh")), "left")
-    stay = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("__places"), i)), "\n")
+    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[d]) & (F.xxhash64(docs["text"]) == gone[wh]), "left")
+    stay = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col(places), i)), "\n")
     return (
-        joined.withColumn("__lines", F.coalesce(F.size(split), F.lit(0)).cast("long"))
-        .withColumn("__removed", F.coalesce(F.size("__places"), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("__places").isNull(), F.col("text")).otherwise(stay))
-        .drop("__d", "__wh", "__places")
+        joined.withColumn(counts[0], F.coalesce(F.size(split), F.lit(0)).cast("long"))
+        .withColumn(counts[1], F.coalesce(F.size(places), F.lit(0)).cast("long"))
+        .withColumn("text", F.when(F.col(places).isNull(), F.col("text")).otherwise(stay))
+        .drop(d, wh, places)
     )
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines that stay, and ``n_chars``, where it exists, counted anew for documents that lost some."""
-    out = deduplicated(docs)
+    counts = tuple(fresh(docs, "__lines", "__removed"))
+    out = deduplicated(docs, counts=counts)
     if "n_chars" in docs.columns:
-        count = F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        count = F.when(F.col(counts[1]) > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .shared import ascii_words
+from .shared import ascii_words, fresh
 
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 50
@@ -145,12 +145,12 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
     Rows are found again by doc_id, source and a hash of the text, so rows that share an id are judged one by one.
     """
-    kept = judged(docs).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("__hash").alias("__h"))
+    names = fresh(docs, "__id", "__source", "__h")
+    kept = judged(docs).where("kept").select("doc_id", "source", "__hash").toDF(*names)
     return docs.join(
         kept,
-        docs["doc_id"].cast("long").eqNullSafe(kept["__id"])
-        & docs["source"].cast("string").eqNullSafe(kept["__source"])
-        & (F.xxhash64(docs["text"]) == kept["__h"]),
+        docs["doc_id"].cast("long").eqNullSafe(kept[names[0]])
+        & docs["source"].cast("string").eqNullSafe(kept[names[1]])
+        & (F.xxhash64(docs["text"]) == kept[names[2]]),
         "left_semi",
     )

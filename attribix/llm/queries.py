@@ -128,7 +128,7 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_fuzzy_lines")
 def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fuzzy_lines.deduplicated(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), "text")
+    return rows.select("doc_id", "n_lines", "n_removed", "text")
 
 
 KNN_SQL = f"""

@@ -37,6 +37,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def ascii_words(data: bytes) -> list[bytes]:
     r"""Words ``[^\x20\x09-\x0D]+`` of UTF-8 bytes; ``bytes.split`` knows exactly these six separators."""
     return data.split()

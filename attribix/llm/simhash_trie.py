@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .shared import UnionFind, ascii_words, components
+from .shared import UnionFind, ascii_words, components, fresh
 
 SEED = 42
 SHINGLE = 3
@@ -243,9 +243,9 @@ def one_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """
     found = near_duplicates(docs, budget)
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
+    names = fresh(docs, "__none", "__id", "__h")
     stay = found.groupBy("class").agg(F.min(first).alias("f")).select(
-        F.col("f.none").alias("__none"), F.col("f.id").alias("__id"), F.col("f.h").alias("__h"))
-    names = ["__none", "__id", "__h"]
-    keyed = docs.withColumns({
-        "__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__h": F.xxhash64(F.col("text").cast("string"))})
+        *[F.col(f"f.{part}").alias(name) for part, name in zip(("none", "id", "h"), names, strict=True)])
+    keys = (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64(F.col("text").cast("string")))
+    keyed = docs.withColumns(dict(zip(names, keys, strict=True)))
     return keyed.join(checkpointed(stay), names, "left_semi").dropDuplicates(names).drop(*names)
