@@ -84,15 +84,15 @@ def _two(left: dict[int, int], lengths: list[int], used: dict[int, int], room: i
     return best
 
 
-def bins(counts: dict[int, int], capacity: int = CAPACITY) -> Iterator[tuple[int, dict[int, int]]]:
-    """(repeats, {length: how many of it}) of every kind of bin. Counts are used up to zero."""
+def bins(counts: dict[int, int], capacity: int = CAPACITY, two: bool = True) -> Iterator[tuple[int, dict[int, int]]]:
+    """(repeats, {length: how many of it}) of every kind of bin. Counts are used up to zero. Without ``two``, greedy alone."""
     left = {x: n for x, n in counts.items() if n > 0}
     lengths = sorted(left)
     while lengths:
         used = _fill(left, lengths, capacity)
         gap = capacity - sum(x * n for x, n in used.items())
         smallest = min(used)
-        if gap and (pair := _two(left, lengths, used, gap + smallest, smallest)):
+        if two and gap and (pair := _two(left, lengths, used, gap + smallest, smallest)):
             used[smallest] -= 1
             for x in pair:
                 used[x] = used.get(x, 0) + 1
@@ -106,11 +106,16 @@ def bins(counts: dict[int, int], capacity: int = CAPACITY) -> Iterator[tuple[int
                 lengths.pop(bisect_right(lengths, x) - 1)
 
 
+def fewest(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
+    """Bins by best-two-fit, or by its greedy fill alone for the rare counts where the exchange costs a bin."""
+    return min((list(bins(counts, capacity, two)) for two in (True, False)), key=lambda found: sum(n for n, _ in found))
+
+
 def slots(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     """Rows length, first number, copies in a bin, first sequence, offset in it; by length, then first number."""
     taken: dict[int, int] = {}
     rows, sequence = [], 0
-    for repeats, used in bins(counts, capacity):
+    for repeats, used in fewest(counts, capacity):
         offset = 0
         for x in sorted(used, reverse=True):
             rows.append((x, taken.get(x, 0), used[x], sequence, offset))
