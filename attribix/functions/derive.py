@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import html
+import html.entities
+import json
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from attribix.functions.numeric import col
 
@@ -19,7 +18,7 @@ SEASON_TYPE_CODES = {"002": "RS", "004": "PO"}
 ERROR_DECISIONS = ["IC", "INC"]
 ARM_TOKENS = ["HAND", "ARM", "ARMS", "WRIST", "FOREARM", "FINGERS", "FINGER", "ARM_OR_HAND", "HAND_OR_ARM"]
 ARM_FRAGMENTS = "HAND|ARM|WRIST"
-BASIC_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 MIN_WINDOW = 0.05
 
 
@@ -115,23 +114,58 @@ def split_key(key: str | Column) -> tuple[Column, Column]:
     return F.regexp_extract(k, r"^(.*)_[^_]*$", 1), F.regexp_extract(k, r"_([^_]*)$", 1)
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: t if t is None or "&" not in t else html.unescape(t))
+def _names() -> tuple[dict[str, str], dict[str, str]]:
+    """Named entities with a semicolon, and the old ones that also stand without."""
+    full = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
+    return full, {k: v for k, v in html.entities.html5.items() if not k.endswith(";")}
 
 
-def html_unescape(c: str | Column, named_only: bool = False) -> Column:
-    """Replace HTML entities once, so that ``&amp;lt;`` gives ``&lt;``.
+def _lookup(names: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.from_json(F.lit(json.dumps(names)), "map<string,string>"), key)
 
-    The whole entity list has no built-in and runs on Arrow batches.
-    ``named_only`` takes the five basic entities and stays in the JVM.
+
+def _number_entity(digits: Column, base: int) -> Column:
+    """Character of a code point: the Windows characters for 128-159, U+FFFD for what is none, '' for what is forbidden."""
+    short = F.ltrim(digits, F.lit("0"))
+    code = F.when(F.length(short) <= 8, F.conv(F.when(short == "", "0").otherwise(short), base, 10).cast("bigint")).otherwise(F.lit(1 << 40))
+    windows = {i: bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)}
+    plane_end = code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE
+    forbidden = code.between(1, 8) | code.isin(11, 127) | code.between(14, 31) | code.between(0xFDD0, 0xFDEF) | plane_end
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return (
+        F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd")
+        .when(code == 13, "\r")
+        .when(code.between(128, 159), _lookup({str(k): v for k, v in windows.items()}, code.cast("string")))
+        .when(forbidden, "").otherwise(char)
+    )
+
+
+def _entity(e: Column) -> Column:
+    """Text of one match of ``ENTITY``. Without a semicolon the longest old name it begins with counts."""
+    full, old = _names()
+    body = F.rtrim(F.substring(e, 2, 1 << 20), F.lit(";"))
+    closed = F.endswith(e, F.lit(";"))
+    longest = max(map(len, old))
+    begins = [
+        F.when(F.length(body) >= n, F.concat(_lookup({k: v for k, v in old.items() if len(k) == n}, F.substring(body, 1, n)), F.substring(e, n + 2, 1 << 20)))
+        for n in range(longest, 1, -1)
+    ]
+    common = F.when(e == "&amp;", "&").when(e == "&lt;", "<").when(e == "&gt;", ">").when(e == "&quot;", '"').when(e == "&#39;", "'")
+    number = F.when(body.rlike("^#[xX]"), _number_entity(F.substring(body, 3, 1 << 20), 16)).otherwise(_number_entity(F.substring(body, 2, 1 << 20), 10))
+    named = F.coalesce(F.when(closed, _lookup(full, body)), F.when(~closed, _lookup(old, body)), *begins, e)
+    return F.coalesce(common, F.when(F.startswith(e, F.lit("&#")), number).otherwise(named))
+
+
+def html_unescape(c: str | Column) -> Column:
+    """Replace HTML entities once, so that ``&amp;lt;`` gives ``&lt;``; all named and numeric ones, in the JVM.
+
+    The text is cut at its entities; only rows that hold one do any work.
     """
-    if not named_only:
-        return _unescape(col(c))
-    out = col(c)
-    for entity, char in BASIC_ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    text = col(c)
+    found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    between = F.split(text, ENTITY)
+    joined = F.array_join(F.zip_with(between, found, lambda t, e: F.concat(t, F.when(e.isNull(), "").otherwise(_entity(e)))), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def anchor_window(

@@ -169,14 +169,14 @@ def adjustment_summary(pairs: DataFrame, raw: str = "raw_delta", adj: str = "adj
 
 def extreme_actors(pairs: DataFrame, subject: str, actor: str, delta: str) -> DataFrame:
     """Actor with the lowest and the highest delta for each subject; ties go to the lower actor."""
-    low, high = F.struct(F.col(delta), F.col(actor)), F.struct(F.col(delta), -F.col(actor))
+    low, high = F.struct(F.col(delta), F.col(actor)), F.struct(-F.col(delta), F.col(actor))
     return (
         pairs.filter(F.col(delta).isNotNull())
         .groupBy(subject)
         .agg(
             F.min_by(actor, low).alias("lowest_actor"),
             F.min(delta).alias("lowest_delta"),
-            F.max_by(actor, high).alias("highest_actor"),
+            F.min_by(actor, high).alias("highest_actor"),
             F.max(delta).alias("highest_delta"),
         )
     )

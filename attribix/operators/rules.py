@@ -29,6 +29,10 @@ LONG_FIELDS = [
     "contact_initiator", "arm_direction_at_contact", "ball_location_at_contact", "shooter_body_state",
     "shooter_initiates_contact", "hook_or_bar_arm", "both_hands_on_vertical_arc", "rising_without_release",
 ]
+TRIGGER_FIELDS = [
+    "shooter_initiates_contact", "hook_or_bar_arm", "both_hands_on_vertical_arc", "rising_without_release",
+    "contact_initiator", "arm_direction_at_contact",
+]
 TIMINGS = {"BEFORE": "PRE_COMMIT", "DURING": "IN_ACT", "AFTER": "IN_ACT"}
 GATES = ((0.85, 0.70, "PASS"), (0.70, None, "PROMISING"), (0.55, None, "MARGINAL"))
 
@@ -80,13 +84,16 @@ def add_describe_decision(df: DataFrame, obs: str = "obs", name: str = "decision
     """
     contact = primary_contact(f"{obs}.contacts", f"{obs}.primary_foul_contact_index")
     staged = df.withColumns({"__contact": contact, "__shot": token(f"{obs}.shot_type")})
+    # An object without any field is no contact.
+    filled = [F.col(f"__contact.{n}").cast("string") for n in ("order", "shooter_motion", "defender_body_part", "shooter_body_part", "description")]
+    staged = staged.withColumn("__none", F.coalesce(*filled).isNull())
     staged = staged.withColumns(
         {"__motion": token("__contact.shooter_motion"), "__arm": is_arm_token("__contact.defender_body_part")}
     )
     decision = decide(
         [
             (F.col("__shot").isin(DRIVE_SHOTS), "NO", "HIGH", "drive"),
-            (F.col("__contact").isNull(), "UNCLEAR", "LOW", "no_contacts"),
+            (F.col("__none"), "UNCLEAR", "LOW", "no_contacts"),
             (F.col("__motion").isin(ASCENT), "NO", "HIGH", "ascent_contact"),
             (F.col("__arm"), "NO", "HIGH", "arm_contact"),
             (F.col("__motion").isin(DESCENT), "YES", "HIGH", "descent_body_contact"),
@@ -94,7 +101,7 @@ def add_describe_decision(df: DataFrame, obs: str = "obs", name: str = "decision
         ],
         ("UNCLEAR", "LOW", "unclear"),
     )
-    return staged.withColumn(name, decision).drop("__contact", "__shot", "__motion", "__arm")
+    return staged.withColumn(name, decision).drop("__contact", "__none", "__shot", "__motion", "__arm")
 
 
 def observe_decision(obs: str = "obs") -> Column:
@@ -221,7 +228,7 @@ def normal_phase(obs: str = "obs", mode: str = "observation") -> Column:
         F.col(f"{obs}.phase").isNull() & F.col(f"{obs}.timing").isNotNull(),
         F.coalesce(timing_to_phase(f"{obs}.timing"), F.lit("UNKNOWN")),
     )
-    observed = F.coalesce(*[F.col(f"{obs}.{n}").cast("string") for n in SHORT_FIELDS + LONG_FIELDS]).isNotNull()
+    observed = F.coalesce(*[F.col(f"{obs}.{n}").cast("string") for n in SHORT_FIELDS + TRIGGER_FIELDS]).isNotNull()
     phase = F.when(observed, phase_from_observations(obs)).otherwise(
         F.coalesce(from_timing, upper(F.coalesce(F.col(f"{obs}.phase"), F.lit("UNKNOWN")), trim=False))
     )

@@ -5,38 +5,37 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attribix.functions.numeric import per_unit, ratio
 from attribix.operators.effects import COVARIATE_SLOPE, UNIT
 from attribix.operators.ordered import exact_quantiles
 
-MAX_WIDE = 64
-
 
 def team_sizes(team: DataFrame, session: str) -> DataFrame:
     return team.groupBy(session).agg(F.count(F.lit(1)).alias("n_actors"))
 
 
-def team_wide(team: DataFrame, session: str, actor: str, size: int | None = None, max_wide: int = MAX_WIDE) -> DataFrame:
-    """One row per session: team size and the sorted actors.
+def team_long(team: DataFrame, session: str, actor: str) -> DataFrame:
+    """One row per member: session, slot (from 1, in actor order), actor and n_actors. Teams may be of any size; no array is built."""
+    over = Window.partitionBy(session)
+    return team.select(
+        session, F.row_number().over(over.orderBy(actor)).alias("slot"), actor, F.count(F.lit(1)).over(over).alias("n_actors"))
+
+
+def team_wide(team: DataFrame, session: str, actor: str, size: int) -> DataFrame:
+    """One row per session of exactly ``size`` actors: team size and the sorted actors.
 
-    ``size`` keeps teams of exactly that size. Sizes are counted before any
-    array is built, so an array never exceeds ``max_wide``; a larger team keeps
-    its row and size, with a null array, and its members in the long form.
+    Sizes are counted before any array is built, so no array exceeds ``size``.
     """
-    limit = size or max_wide
-    sizes = team_sizes(team, session)
-    if size:
-        sizes = sizes.filter(F.col("n_actors") == size)
-    fitting = sizes.filter(F.col("n_actors") <= limit).select(session)
+    sizes = team_sizes(team, session).filter(F.col("n_actors") == size)
     arrays = (
-        team.join(fitting, session, "left_semi")
+        team.join(sizes.select(session), session, "left_semi")
         .groupBy(session)
         .agg(F.array_sort(F.collect_list(actor)).alias("actors"))
     )
-    return sizes.join(arrays, session, "left")
+    return sizes.join(arrays, session)
 
 
 def team_slots(team: DataFrame, session: str, actor: str, size: int) -> DataFrame:

@@ -154,7 +154,7 @@ def audit_documents(spark, sf):
     def event(decision, player):
         return F.struct(
             F.lit("Q4").alias("PeriodName"), F.col("o_orderpriority").alias("CallType"), decision.alias("CallRatingName"),
-            player.alias("CP"), F.lit("A &amp; B").alias("DP"),
+            player.alias("CP"), F.lit("D&#39;A &amp; Jos&eacute;").alias("DP"),
         )
 
     first = F.when(F.col("o_orderstatus") == "F", " inc ").when(F.col("o_orderstatus") == "P", "CC").otherwise("cnc")
@@ -175,7 +175,7 @@ def audit_documents(spark, sf):
          CASE WHEN event_index = 1 THEN CASE WHEN call_type = '1-URGENT' THEN 'IC' ELSE '' END
               ELSE CASE o_orderstatus WHEN 'F' THEN 'INC' WHEN 'P' THEN 'CC' ELSE 'CNC' END END AS review_decision,
          CASE WHEN event_index = 1 THEN CAST(call_type = '1-URGENT' AS INTEGER) ELSE CAST(o_orderstatus = 'F' AS INTEGER) END AS incorrect,
-         CASE WHEN event_index = 1 THEN 'x' ELSE '"C' || o_custkey || '"' END AS committing_player, 'A & B' AS disadvantaged_player
+         CASE WHEN event_index = 1 THEN 'x' ELSE '"C' || o_custkey || '"' END AS committing_player, 'D''A & José' AS disadvantaged_player
        FROM e""",
 )
 def audit_flatten(spark, sf):

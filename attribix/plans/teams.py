@@ -136,11 +136,12 @@ def folded(spark, sf):
 
 @query(
     "team_wide",
-    f"{BASE_SQL} SELECT session_id, count(*) AS n_actors, string_agg(CAST(actor_id AS VARCHAR), '|' ORDER BY actor_id) AS actors FROM team GROUP BY 1",
+    f"""{BASE_SQL} SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY actor_id) AS INTEGER) AS slot, actor_id,
+        count(*) OVER (PARTITION BY session_id) AS n_actors FROM team""",
 )
 def team_wide(spark, sf):
-    wide = T.team_wide(roles.team(spark, sf), "session_id", "actor_id")
-    return wide.withColumn("actors", F.array_join(F.transform("actors", lambda a: a.cast("string")), "|"))
+    """The ordered long form, which has no bound on the team."""
+    return T.team_long(roles.team(spark, sf), "session_id", "actor_id")
 
 
 @query(

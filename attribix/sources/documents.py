@@ -17,6 +17,7 @@ from attribix.sources import schemas
 
 # Patterns and names of the page formats.
 REPORT_LINK = r"L2MReport\.html\?gameId=(\d{10})"
+CUT_OFF_ENDINGS = ['"}', "null}", "false}", "true}"]
 PAGE_DATA_BLOCK = r'(?s)<script id="__NEXT_DATA__" type="application/json">(.*?)</script>'
 FIRST_ROLE = "crew_chief"
 OTHER_ROLE = "official_%d"
@@ -70,12 +71,17 @@ def envelope_rows(df: DataFrame, text: str, keys: Sequence[str], index: int = 0)
     """
     many = F.from_json(text, schemas.ENVELOPE_LIST)
     one = F.from_json(text, schemas.ENVELOPE_ONE)
-    as_list = F.coalesce(many["resultSets"], many["resultSet"])
+    # An empty list under the first name is none.
+    as_list = F.coalesce(F.when(F.size(many["resultSets"]) > 0, many["resultSets"]), many["resultSet"])
     single = F.coalesce(one["resultSets"], one["resultSet"])
     chosen = F.coalesce(F.try_element_at(as_list, F.lit(index + 1)), single)
     rows = df.select(*keys, chosen.alias("__set"))
     rows = rows.select(*keys, F.col("__set.headers").alias("__h"), F.posexplode("__set.rowSet").alias("row_pos", "__row"))
-    return rows.select(*keys, "row_pos", F.map_from_arrays("__h", "__row").alias("row"))
+    # Cut to the shorter side; of equal headers the last counts.
+    pairs = F.slice(F.arrays_zip(F.col("__h").alias("h"), F.col("__row").alias("v")), 1, F.least(F.size("__h"), F.size("__row")))
+    names = F.transform(pairs, lambda p: p["h"])
+    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["h"]))
+    return rows.select(*keys, "row_pos", F.map_from_entries(last).alias("row"))
 
 
 def audit_events(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -89,9 +95,9 @@ def audit_events(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.col("e.CallType").alias("call_type"),
         derive.decision_code("e.CallRatingName").alias("review_decision"),
         derive.is_error_decision("e.CallRatingName").alias("incorrect"),
-        derive.html_unescape("e.CP", named_only=True).alias("committing_player"),
-        derive.html_unescape("e.DP", named_only=True).alias("disadvantaged_player"),
-        derive.html_unescape("e.Comment", named_only=True).alias("comment"),
+        derive.html_unescape("e.CP").alias("committing_player"),
+        derive.html_unescape("e.DP").alias("disadvantaged_player"),
+        derive.html_unescape("e.Comment").alias("comment"),
         F.col("e.Difficulty").alias("difficulty"),
     )
 
@@ -182,6 +188,6 @@ def brace_slice(text: str | Column) -> Column:
 def parse_answer(text: str | Column, schema: str) -> Column:
     """A JSON object out of free text. A cut-off object is tried again with the usual closings."""
     chunk = brace_slice(text)
-    attempts = [chunk, *[F.concat(chunk, F.lit(s)) for s in ('"}', "null}", "false}", "true}")]]
+    attempts = [chunk, *[F.concat(chunk, F.lit(s)) for s in CUT_OFF_ENDINGS]]
     valid = [F.when(F.try_parse_json(a).isNotNull(), F.from_json(a, schema)) for a in attempts]
     return F.when(chunk != "", F.coalesce(*valid))

@@ -94,7 +94,9 @@ def append_new(incoming: DataFrame, path: str, keys: Sequence[str]) -> None:
     spark = incoming.sparkSession
     try:
         existing = spark.read.schema(incoming.schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         existing = None
     fresh = incoming if existing is None else only_new(incoming, existing, keys)
     fresh.write.mode("append").parquet(path)

@@ -1,5 +1,9 @@
 """Scalar derivations on the edge rows."""
 
+import html
+import html.entities
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,9 +72,13 @@ def test_slug_and_keys(spark):
 
 
 def test_html_unescape(spark):
-    got = one(spark, "t string", [("a &amp;lt; &#233; &#xE9; &eacute; &quot;x&quot;",), (None,), ("plain",)], f=D.html_unescape("t"), n=D.html_unescape("t", named_only=True))
-    assert got[0] == ('a &lt; é é é "x"', 'a &lt; &#233; &#xE9; &eacute; "x"')
-    assert got[1:] == [(None, None), ("plain", "plain")]
+    rnd = random.Random(4)
+    parts = ["&", "amp", "lt", "notin", "not", "eacute", ";", "#", "x", "233", "xE9", "0", "128", "13", "1114112", "99999999999", "frac12", " ", "é", "AElig", "&#", "&#x", "D800", "FFFF", "NotEqualTilde"]
+    texts = ["a &amp;lt; &#233; &#xE9; &eacute; &quot;x&quot;", "plain", "", "D&#39;Angelo Jos&eacute;", "&notit; &amp &#; &bogus; &#x110000; &#128; &#0;"]
+    texts += ["".join(rnd.choices(parts, k=rnd.randint(1, 12))) for _ in range(600)]
+    texts += [f"&{n}" for n in html.entities.html5] + [f"&#{n};" for n in (*range(0, 200), 0xD7FF, 0xFDD0, 0xFFFE, 0x1F600, 0x10FFFF)]
+    got = one(spark, "t string", [(t,) for t in [*texts, None]], f=D.html_unescape("t"))
+    assert [g[0] for g in got] == [*map(html.unescape, texts), None]
 
 
 def test_anchor_window_and_frames(spark):

@@ -122,3 +122,9 @@ def test_row_order_does_not_matter(spark, rows):
     a = rows(E.adjusted_delta(sums(spark, data, team), 5).select("subject", "actor", "n_with", F.round("adj_delta", 6)))
     b = rows(E.adjusted_delta(sums(spark, data[::-1], team[::-1]), 5).select("subject", "actor", "n_with", F.round("adj_delta", 6)))
     assert a == b
+
+
+def test_extreme_actors_may_be_text(spark):
+    rows = [("s", "bob", 1.0), ("s", "al", 1.0), ("s", "cy", -1.0), ("s", "dee", -1.0), ("t", "x", None)]
+    got = E.extreme_actors(spark.createDataFrame(rows, "s string, a string, d double"), "s", "a", "d").collect()
+    assert [tuple(r) for r in got] == [("s", "cy", -1.0, "al", 1.0)]

@@ -86,10 +86,10 @@ def test_primary_contact_fallbacks(spark):
     def text(i, contacts='[{"shooter_motion":"ascent"},{"shooter_motion":"descent","defender_body_part":"hip"}]'):
         return '{"shot_type":"jump","contacts":%s,"primary_foul_contact_index":%s}' % (contacts, i)
 
-    texts = [text("0"), text("1"), text("-1"), text("9"), text('"x"'), text("null"), text("0", "[]"), '{"shot_type":"drive"}', "broken"]
+    texts = [text("0"), text("1"), text("-1"), text("9"), text('"x"'), text("null"), text("0", "[]"), '{"shot_type":"drive"}', "broken", text("0", "[{}]")]
     df = D.from_text(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "t", R.DESCRIBE_SCHEMA, "obs")
     got = [r.d.rule for r in R.add_describe_decision(df, "obs", "d").orderBy("i").collect()]
-    assert got == ["ascent_contact", "descent_body_contact", "descent_body_contact", "descent_body_contact", "ascent_contact", "ascent_contact", "no_contacts", "drive", "no_contacts"]
+    assert got == ["ascent_contact", "descent_body_contact", "descent_body_contact", "descent_body_contact", "ascent_contact", "ascent_contact", "no_contacts", "drive", "no_contacts", "no_contacts"]
 
 
 def test_spatial_keeps_a_stated_label(spark):
@@ -103,6 +103,8 @@ def test_phase_flags_are_three_valued(spark):
     texts = [good, good.replace('"could_still_abort":false,', ""), '{"hook_or_bar_arm":true}', '{"timing":"after"}', '{"phase":"in_act"}', "{}", '{"who_initiated":"DEFENDER","ball_state_at_contact":"RELEASED"}']
     got = decide(spark, R.PHASE_SCHEMA, texts, R.normal_phase)
     assert [tuple(g) for g in got] == [("IN_ACT", "DURING"), ("PRE_COMMIT", "BEFORE"), ("PRE_COMMIT", "BEFORE"), ("IN_ACT", "DURING"), ("IN_ACT", "DURING"), ("UNKNOWN", "UNKNOWN"), ("IN_ACT", "AFTER")]
+    only = decide(spark, R.PHASE_SCHEMA, ['{"phase":"IN_ACT","ball_location_at_contact":"HIP"}', '{"phase":"IN_ACT","hook_or_bar_arm":false,"ball_location_at_contact":"HIP"}'], R.normal_phase)
+    assert [g.phase for g in only] == ["IN_ACT", "PRE_COMMIT"]
     direct = decide(spark, R.PHASE_SCHEMA, ['{"timing":"after"}', '{"timing":"late"}'], lambda o: R.normal_phase(o, "direct"))
     assert [tuple(g) for g in direct] == [("IN_ACT", "AFTER"), ("UNKNOWN", "UNKNOWN")]
 

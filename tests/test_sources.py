@@ -37,11 +37,20 @@ def test_envelope_shapes(spark):
     assert sorted(tuple(r) for r in got) == [(i, p, *v) for i in range(4) for p, v in ((0, ("1", None)), (1, ("2", "x")))]
 
 
+def test_envelopes_with_repeated_headers_and_short_rows(spark):
+    sets = [{"headers": ["A", "B", "A"], "rowSet": [["1", "2", "3"], ["4"], ["5", "6", "7", "8"], []]}]
+    texts = [json.dumps({"resultSets": sets}), json.dumps({"resultSets": [], "resultSet": sets[0] | {"rowSet": [["9", None]]}})]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {(r.i, r.row_pos): r.row for r in D.envelope_rows(df, "t", ["i"]).collect()}
+    assert got == {(0, 0): {"A": "3", "B": "2"}, (0, 1): {"A": "4"}, (0, 2): {"A": "7", "B": "6"}, (0, 3): {}, (1, 0): {"A": "9", "B": None}}
+
+
 def test_audit_documents(spark):
-    texts = [json.dumps({"game": [{"GameDate": "2019-01-01"}], "l2m": [{"CallRatingName": " inc ", "CP": "A &amp; B"}, {"CallRatingName": None}]}), json.dumps({"game": [], "l2m": []}), "{}"]
+    texts = [json.dumps({"game": [{"GameDate": "2019-01-01"}], "l2m": [{"CallRatingName": " inc ", "CP": "A &amp; B", "DP": "D&#39;Angelo Jos&eacute;"}, {"CallRatingName": None}]}), json.dumps({"game": [], "l2m": []}), "{}"]
     docs = D.from_text(spark.createDataFrame(list(enumerate(texts)), "game_id int, t string"), "t", schemas.AUDIT)
     ev = D.audit_events(docs, ["game_id"]).collect()
     assert [(r.event_index, r.review_decision, r.incorrect, r.committing_player) for r in ev] == [(0, "INC", 1, "A & B"), (1, "", 0, None)]
+    assert ev[0].disadvantaged_player == "D'Angelo José"
     rep = {r.game_id: (r.game_date, r.event_count, r.incorrect_count, r.has_report) for r in D.audit_reports(docs, ["game_id"]).collect()}
     assert rep == {0: ("2019-01-01", 2, 1, 1), 1: (None, 0, 0, 0), 2: (None, 0, 0, 0)}
 
@@ -95,6 +104,9 @@ def test_resumable_append_and_partitions(spark, tmp_path):
     S.append_new(spark.createDataFrame([(2, "changed"), (3, "c")], "id int, v string"), path, ["id"])
     S.append_new(first, path, ["id"])
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    (tmp_path / "bad").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        S.append_new(first, str(tmp_path / "bad"), ["id"])
     S.write_parquet(first, str(tmp_path / "p"), ["v"])
     plan = spark.read.parquet(str(tmp_path / "p")).filter("v = 'a'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(v" in plan

@@ -12,8 +12,11 @@ from attribix.operators import teams as T
 
 def test_team_wide_and_slots(spark):
     team = spark.createDataFrame([(1, 3), (1, 1), (1, 2), (2, 5), (2, 4), (3, 1), (3, 2), (3, 3), (3, 4)], "session int, actor int")
-    wide = {r.session: (r.n_actors, r.actors) for r in T.team_wide(team, "session", "actor", max_wide=3).collect()}
-    assert wide == {1: (3, [1, 2, 3]), 2: (2, [4, 5]), 3: (4, None)}
+    wide = {r.session: (r.n_actors, r.actors) for r in T.team_wide(team, "session", "actor", 3).collect()}
+    assert wide == {1: (3, [1, 2, 3])}
+    many = team.union(spark.createDataFrame([(9, i) for i in range(65)], "session int, actor int"))
+    long = T.team_long(many, "session", "actor").filter("session = 9").orderBy("slot").collect()
+    assert [(r.slot, r.actor, r.n_actors) for r in long] == [(i + 1, i, 65) for i in range(65)]
     slots = sorted((r.session, r.slot, r.actor) for r in T.team_slots(team, "session", "actor", 3).collect())
     assert slots == [(1, 1, 1), (1, 2, 2), (1, 3, 3)]
 
