@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -13,10 +15,17 @@ from pyspark.sql import functions as F
 from attribix.session import checkpoint_root, checkpointed
 
 # Hyperparameters of the published classifiers.
+LOGISTIC_ROUNDS = 1000
 MLP_HIDDEN = (256, 64)
-GBT = {"maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.8}
+MLP_ROUNDS = 500
+MLP_HELD_OUT = 0.15
+MLP_PATIENCE = 10
+GBT = {"maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 5}
 GBT_ROUNDS = 200
 
+#: Rounds of the perceptron between two looks at the held-out rows.
+MLP_STEP = 10
+
 
 def vectors(df: DataFrame, array: str, out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.col(array)))
@@ -49,26 +58,53 @@ def logistic(train: DataFrame, test: DataFrame, label: str, c: float = 1.0) -> D
     fit_on, apply_to = scaled(checkpointed(balanced_weights(train, label)), test)
     total = fit_on.agg(F.sum("weight")).first()[0]
     lr = LogisticRegression(
-        labelCol=label, weightCol="weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=200
+        labelCol=label, weightCol="weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=LOGISTIC_ROUNDS
     )
     return _positive(lr.fit(fit_on).transform(apply_to))
 
 
-def perceptron(train: DataFrame, test: DataFrame, label: str, width: int, hidden: Sequence[int] = MLP_HIDDEN, rounds: int = 100, seed: int = 42) -> DataFrame:
+def perceptron(
+    train: DataFrame, test: DataFrame, label: str, width: int, hidden: Sequence[int] = MLP_HIDDEN, rounds: int = MLP_ROUNDS, seed: int = 42,
+    held_out: float = MLP_HELD_OUT, patience: int = MLP_PATIENCE,
+) -> DataFrame:
+    """Multilayer perceptron with early stopping: training goes on in steps from the weights so far until the accuracy on
+    ``held_out`` of the training rows has not risen for ``patience`` steps, and the best weights count."""
     fit_on, apply_to = scaled(checkpointed(train), test)
-    mlp = MultilayerPerceptronClassifier(labelCol=label, layers=[width, *hidden, 2], maxIter=rounds, seed=seed)
-    return _positive(mlp.fit(fit_on).transform(apply_to))
+    side = F.pmod(F.xxhash64("features", F.lit(seed)), F.lit(1000)) < int(1000 * held_out)
+    fit_on = checkpointed(fit_on.withColumn("__held", side))
+    learn, watch = fit_on.filter("not __held"), fit_on.filter("__held")
+    right = F.avg((F.col("prediction") == F.col(label)).cast("double"))
+    best, best_model, weights, waited = -1.0, None, None, 0
+    for _ in range(0, rounds, MLP_STEP):
+        mlp = MultilayerPerceptronClassifier(labelCol=label, layers=[width, *hidden, 2], maxIter=MLP_STEP, seed=seed)
+        if weights is not None:
+            mlp.setInitialWeights(weights)
+        model = mlp.fit(learn)
+        weights = model.weights
+        score = model.transform(watch).agg(right).first()[0] or 0.0
+        waited = 0 if score > best else waited + 1
+        if score > best:
+            best, best_model = score, model
+        if waited >= patience:
+            break
+    return _positive(best_model.transform(apply_to)).drop("__held")
 
 
 def boosted_out_of_fold(df: DataFrame, label: str, fold: str, k: int, rounds: int = GBT_ROUNDS, seed: int = 42) -> DataFrame:
-    """Score of every row from the trees that did not see its fold."""
+    """Score of every row from the trees that did not see its fold. Class weights are those of the rows a fold is fitted on.
+
+    The folds are fitted side by side, as each keeps only a part of the cluster busy.
+    """
     checkpoint_root(df.sparkSession)
-    weighted = checkpointed(balanced_weights(df, label))
+    rows = checkpointed(df)
     gbt = GBTClassifier(labelCol=label, weightCol="weight", maxIter=rounds, seed=seed, checkpointInterval=10, **GBT)
-    parts = []
-    for i in range(k):
-        model = gbt.fit(weighted.filter(F.col(fold) != i))
-        parts.append(_positive(model.transform(weighted.filter(F.col(fold) == i))))
+
+    def one(i: int) -> DataFrame:
+        model = gbt.fit(checkpointed(balanced_weights(rows.filter(F.col(fold) != i), label)))
+        return _positive(model.transform(rows.filter(F.col(fold) == i)))
+
+    with ThreadPool(k) as pool:
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(one), range(k))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -6,14 +6,13 @@ from pyspark.sql import functions as F
 
 from attribix.operators import classifiers as C
 from attribix.operators import labels as L
-from attribix.plans import roles
+from attribix.plans import roles, scans
 from attribix.plans.registry import query
 from attribix.plans.shape import rounded
 from attribix.session import shared_folder
 from attribix.streaming import ingest
 
 SEED = 42
-QUERY_GBT_ROUNDS = 20
 
 
 def examples(spark, sf):
@@ -37,32 +36,49 @@ def embed_logreg(spark, sf):
 @query("embed_mlp")
 def embed_mlp(spark, sf):
     train, val = split(spark, sf)
-    return rounded(C.perceptron(train, val, "target", 64, rounds=50).select("vec_id", "target", "score"))
+    return rounded(C.perceptron(train, val, "target", 64).select("vec_id", "target", "score"))
 
 
 @query("gbt_oof")
 def gbt_oof(spark, sf):
-    """The published model takes 200 rounds; the query takes fewer to keep the check short."""
     rows = examples(spark, sf)
     fold = L.stratified_kfold(rows.select("vec_id", "target"), "vec_id", "target", 5, SEED).select("vec_id", "fold")
-    out = C.boosted_out_of_fold(rows.join(fold, "vec_id"), "target", "fold", 5, QUERY_GBT_ROUNDS, SEED)
+    out = C.boosted_out_of_fold(rows.join(fold, "vec_id"), "target", "fold", 5, seed=SEED)
     return rounded(out.select("vec_id", "target", "fold", "score"))
 
 
 @query(
     "stream_profile",
-    """WITH d AS (SELECT date_trunc('day', ts) AS day, event_type, value FROM events), m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)
-       SELECT strftime(day, '%Y-%m-%d') AS window_start, event_type, count(*) AS n_events, (round(sum(value) + 0.0000001, 4) + 0.0) AS total
-       FROM d CROSS JOIN m WHERE day + INTERVAL 1 DAY <= mark GROUP BY day, event_type""",
+    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n_events,
+         (round(sum(value) + 0.0000001, 4) + 0.0) AS total FROM events GROUP BY ALL""",
 )
 def stream_profile(spark, sf):
-    """The events table is read as a stream; only windows the watermark has closed are in the result."""
+    """The events table is read as a stream; open windows are in the result as well as closed ones."""
     schema = roles.table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select("ts", "event_type", "value")
     profile = ingest.windowed_profile(
         stream, "ts", ["event_type"], [F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("total")]
     )
     folder = shared_folder(spark, "stream-profile")
-    ingest.append_available(profile, f"{folder}/out", f"{folder}/state").awaitTermination()
-    out = spark.read.schema(profile.schema).parquet(f"{folder}/out")
+    ingest.upsert_available(profile, f"{folder}/out", f"{folder}/state").awaitTermination()
+    shape = "window_start timestamp, event_type string, n_events long, total double"
+    out = ingest.latest(spark, f"{folder}/out", shape, ["window_start", "event_type"])
     return rounded(out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")))
+
+
+@query(
+    "stream_ingest",
+    """WITH a AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, unnest([0, 1]) AS pos FROM orders)
+       SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS game_id, CAST(pos + 1 AS BIGINT) AS event_num, o_orderpriority AS location
+       FROM a WHERE pos = 0 OR o_orderstatus = 'P'""",
+)
+def stream_ingest(spark, sf):
+    """Session files in three deliveries: two thirds of the sessions, all of them again, and the finished ones once more."""
+    docs = scans.session_documents(spark, sf)
+    folder = shared_folder(spark, "stream-ingest")
+    deliveries = [docs.filter("o_orderstatus <> 'F'"), docs, docs.filter("o_orderstatus = 'F'")]
+    for i, part in enumerate(deliveries):
+        part.select("text").write.text(f"{folder}/in/delivery={i}")
+        stream = ingest.session_stream(spark, f"{folder}/in", multi_line=False).select("game_id", "event_num", "location")
+        ingest.ingest_available(stream, f"{folder}/out", f"{folder}/state", ["game_id", "event_num"]).awaitTermination()
+    return ingest.read_batches(spark, f"{folder}/out", "game_id string, event_num long, location string").drop(ingest.BATCH)

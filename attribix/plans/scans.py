@@ -47,6 +47,12 @@ SHORT = "left(s_name, 1) || '.' || right(s_name, 4)"
     FROM t WHERE event_type = 'Foul'""",
 )
 def nested_flatten(spark, sf):
+    parsed = D.from_text(session_documents(spark, sf), "text", schemas.SESSION)
+    return D.flatten_sessions(parsed).select("game_id", "pos", "event_num", "actor_name", "margin", "location", "video_available")
+
+
+def session_documents(spark, sf):
+    """One JSON text per order, with its status."""
     orders = roles.table(spark, sf, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"
     )
@@ -72,8 +78,7 @@ def nested_flatten(spark, sf):
             ).alias("actions"),
         ).alias("game")
     )
-    parsed = D.from_text(orders.select(F.to_json(doc).alias("text")), "text", schemas.SESSION)
-    return D.flatten_sessions(parsed).select("game_id", "pos", "event_num", "actor_name", "margin", "location", "video_available")
+    return orders.select("o_orderstatus", F.to_json(doc).alias("text"))
 
 
 @query(

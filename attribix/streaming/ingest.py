@@ -1,4 +1,8 @@
-"""Incremental forms of the session ingest and of the actor profile."""
+"""Incremental forms of the session ingest and of the actor profile.
+
+Both write one folder for each micro-batch, named by its id. A batch that runs again after a failure overwrites its own
+folder and looks at those of earlier batches only, so the table is the same however often a batch is repeated.
+"""
 
 from __future__ import annotations
 
@@ -11,36 +15,70 @@ from pyspark.sql.streaming import StreamingQuery
 from attribix.sources import schemas
 from attribix.sources.documents import flatten_sessions
 
+BATCH = "batch_id"
 
-def session_stream(spark: SparkSession, path: str, late: str = "7 days", files_per_batch: int = 1000) -> DataFrame:
-    """Event rows from session files as they arrive; a re-delivered event is dropped.
 
-    The file time is the event time, so the state of seen events is bounded by ``late``.
-    """
+def session_stream(spark: SparkSession, path: str, files_per_batch: int = 1000, multi_line: bool = True) -> DataFrame:
+    """Event rows from session files as they arrive, of whatever age. ``multi_line`` files hold one session each."""
     raw = (
         spark.readStream.schema(schemas.SESSION)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("maxFilesPerTrigger", files_per_batch)
         .json(path)
     )
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
-    docs = raw.select(F.struct("game").alias("doc"), stem.alias("stem"), F.col("_metadata.file_modification_time").alias("arrived"))
-    rows = flatten_sessions(docs, fallback_id="stem", extra=["arrived"])
-    return rows.withWatermark("arrived", late).dropDuplicatesWithinWatermark(["game_id", "event_num"])
+    return flatten_sessions(raw.select(F.struct("game").alias("doc"), stem.alias("stem")), fallback_id="stem")
+
+
+def read_batches(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
+    """Rows of all batches, or of those before one, with their batch id."""
+    full = f"{schema}, {BATCH} long" if isinstance(schema, str) else schema.add(BATCH, "long")
+    rows = spark.read.schema(full).parquet(path)
+    return rows if before is None else rows.filter(F.col(BATCH) < before)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def ingest_available(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str]) -> StreamingQuery:
+    """Append what has arrived and is not written yet, and stop.
+
+    A key counts as written whenever it came, as there is no age limit; within a batch one row of a key is taken.
+    """
+    shape = _ddl(stream)
+
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates(list(keys))
+        if number > 0:
+            written = read_batches(batch.sparkSession, path, shape, number).select(*keys)
+            fresh = fresh.join(written, list(keys), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_profile(
     events: DataFrame, ts: str, keys: Sequence[str], aggs: Sequence[Column], width: str = "1 day", late: str = "1 day"
 ) -> DataFrame:
-    """Counts per key and tumbling window; a window is final once the watermark has passed it."""
+    """Counts per key and tumbling window. State older than ``late`` is dropped once its last counts are out."""
     timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     out = timed.groupBy(F.window(ts, width).alias("w"), *keys).agg(*aggs)
     return out.select(F.col("w.start").alias("window_start"), *[c for c in out.columns if c != "w"])
 
 
-def append_available(stream: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> StreamingQuery:
-    """Process what is there and stop. The file sink's log makes a retried batch write once."""
-    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    return writer.trigger(availableNow=True).start(path)
+def upsert_available(profile: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the windows each batch has changed, open ones too, and stop. :func:`latest` gives the present table."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
+
+    writer = profile.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str, schema: str, keys: Sequence[str]) -> DataFrame:
+    """The last written row of each key."""
+    rows = read_batches(spark, path, schema)
+    values = [c for c in rows.columns if c not in (*keys, BATCH)]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), BATCH).alias("v"))
+    return newest.select(*keys, "v.*")

@@ -137,7 +137,7 @@ def test_stream_ingest_drops_redelivery_and_resumes(spark, tmp_path):
     (src / "b.json").write_text(session_doc("0021400001", [foul(2, "y")]))
 
     def run():
-        ingest.append_available(ingest.session_stream(spark, str(src)), str(out), str(state)).awaitTermination()
+        ingest.ingest_available(ingest.session_stream(spark, str(src)), str(out), str(state), ["game_id", "event_num"]).awaitTermination()
         return sorted((r.game_id, r.event_num) for r in spark.read.parquet(str(out)).collect())
 
     assert run() == [("0021400001", 1), ("0021400001", 2)]
