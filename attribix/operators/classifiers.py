@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attribix.operators.keyed import value_map
 from attribix.session import checkpoint_root, checkpointed
 
 # Hyperparameters of the published classifiers.
@@ -36,11 +37,11 @@ def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> Da
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Weight n / (classes * class size); one row per class is joined back."""
+    """Weight n / (classes * class size), from a map of the classes."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__c"))
     total = counts.agg(F.struct(F.sum("__c").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
     weights = counts.withColumn("__t", total).select(label, (F.col("__t.n") / (F.col("__t.k") * F.col("__c"))).alias(out))
-    return df.join(weights, label)
+    return df.withColumn("__w", value_map(weights, label, out)).withColumn(out, F.col("__w")[F.col(label)][out]).drop("__w")
 
 
 def _positive(df: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from attribix.functions.numeric import per_unit, pearson, ratio
 from attribix.operators.profiles import first_per_key
+from attribix.operators.keyed import spread_join
 
 # Exposure scale and covariate slope of the published adjustment.
 UNIT = 36.0
@@ -185,13 +186,13 @@ def extreme_actors(pairs: DataFrame, subject: str, actor: str, delta: str) -> Da
 def baseline_delta(rows: DataFrame, subject: str, rate: str, is_base: Column) -> DataFrame:
     """Each row's rate minus the subject's mean rate over its base-period rows.
 
-    The base is aggregated first and joined, so one subject with many rows does
-    not become one window task.
+    The base is aggregated first and joined to rows dealt over many parts, so one
+    subject with many rows becomes neither one window nor one join task.
     """
     base = rows.groupBy(subject).agg(
         F.avg(F.when(is_base, F.col(rate))).alias("base_rate"), F.count_if(is_base).alias("base_n")
     )
-    return rows.join(base, subject, "left").withColumn("rate_delta", F.col(rate) - F.col("base_rate"))
+    return spread_join(rows, base, [subject]).withColumn("rate_delta", F.col(rate) - F.col("base_rate"))
 
 
 def flag_breakdown(rows: DataFrame, subject: str, flag: Column, measures: Sequence[str]) -> DataFrame:

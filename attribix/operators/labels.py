@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attribix.functions.numeric import col
+from attribix.operators.keyed import value_map
 from attribix.operators.ordered import row_numbers
 from attribix.operators.profiles import first_per_key
 
@@ -62,21 +63,23 @@ def shuffle_bucket(name: str) -> Column:
 
 
 def quota_sample(
-    df: DataFrame, key: str, session: str, season: str, n: int, n_seasons: int, seed: int, cap: int = 2
+    df: DataFrame, key: str, session: str, season: str, n: int, seed: int, cap: int = 2, all_if_few: bool = False
 ) -> DataFrame:
     """Seeded sample of ``n`` rows: at most ``cap`` per session, an equal quota per season, then a top-up.
 
-    When there are no more candidates than asked for, all are returned and the
-    caps do not apply. Every ranking keeps a bounded number of rows per group,
-    which Spark limits before the shuffle.
+    ``all_if_few`` returns all candidates, without the caps, when there are no more than asked for. Every ranking keeps
+    a bounded number of rows per group, which Spark limits before the shuffle.
     """
-    quota = max(1, n // n_seasons)
     drawn = df.withColumn("__r", shuffle_key(key, seed))
     order = [F.col("__r"), F.col(key)]
     in_session = F.row_number().over(Window.partitionBy(session).orderBy(*order))
     eligible = drawn.withColumn("__s", in_session).filter(F.col("__s") <= cap)
+    seasons = df.agg(F.greatest(F.count_distinct(season), F.lit(1))).scalar()
     in_season = F.row_number().over(Window.partitionBy(season).orderBy(*order))
-    first = eligible.withColumn("__q", in_season).filter(F.col("__q") <= quota).select(*df.columns, "__r", F.lit(0).alias("__pass"))
+    # No quota exceeds n, so the ranking is limited before the shuffle; the exact quota follows.
+    ranked = eligible.withColumn("__q", in_season).filter(F.col("__q") <= n)
+    quota = F.greatest(F.lit(1), F.floor(F.lit(n) / seasons))
+    first = ranked.filter(F.col("__q") <= quota).select(*df.columns, "__r", F.lit(0).alias("__pass"))
     # The top-up is always among the n first eligible rows, whatever the first pass took.
     rest = (
         eligible.orderBy(*order).limit(n)
@@ -84,6 +87,8 @@ def quota_sample(
         .select(*df.columns, "__r", F.lit(1).alias("__pass"))
     )
     sample = first.unionByName(rest).orderBy("__pass", *order).limit(n).select(*df.columns)
+    if not all_if_few:
+        return sample
     total = df.agg(F.count(F.lit(1))).scalar()
     few = df.withColumn("__t", total).filter(F.col("__t") <= n).select(*df.columns)
     return sample.withColumn("__t", total).filter(F.col("__t") > n).select(*df.columns).unionByName(few)
@@ -109,10 +114,10 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2
     """Add ``fold`` with exact class counts. Ranks within a class are taken in digest buckets."""
     drawn = df.withColumn("__r", shuffle_key(key, seed))
     ranked = row_numbers(drawn, [label], ["__r", key], shuffle_bucket("__r"), "__rn")
-    quotas = held_out_quotas(df, label, test_size).select(label, "n_val")
+    quotas = value_map(held_out_quotas(df, label, test_size), label, "n_val")
     return (
-        ranked.join(quotas, label)
-        .withColumn("fold", F.when(F.col("__rn") <= F.col("n_val"), "val").otherwise("train"))
+        ranked.withColumn("__q", quotas).filter(F.map_contains_key("__q", F.col(label)))
+        .withColumn("fold", F.when(F.col("__rn") <= F.col("__q")[F.col(label)]["n_val"], "val").otherwise("train"))
         .select(*df.columns, "fold")
     )
 

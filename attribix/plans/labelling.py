@@ -85,10 +85,7 @@ def candidates(spark, sf):
         SELECT key, session_id, season FROM q CROSS JOIN k ORDER BY CASE WHEN qn <= 300 // k.n THEN 0 ELSE 1 END, r, key LIMIT 300""",
 )
 def quota_sample(spark, sf):
-    n_seasons = roles.sessions(spark, sf).join(
-        roles.events(spark, sf).filter("event_type = 'R'").select("session_id"), "session_id", "left_semi"
-    ).agg(F.countDistinct("season")).first()[0]
-    return L.quota_sample(candidates(spark, sf), "key", "session_id", "season", 300, n_seasons, SEED)
+    return L.quota_sample(candidates(spark, sf), "key", "session_id", "season", 300, SEED)
 
 
 @query(
@@ -285,19 +282,15 @@ def ensemble_vote(spark, sf):
 
 
 def coded(spark, sf, *columns):
-    """Distinct combinations of a few categorical event columns with their row counts.
-
-    The columns fix the observation text, so equal texts are counted first and
-    each is written, parsed and judged once.
-    """
+    """One row per event: its session, and the categorical columns its answer is written from."""
     rows = roles.table(spark, sf, "lineitem").select(
-        F.col("l_returnflag").alias("rf"), F.col("l_linestatus").alias("ls"), F.col("l_linenumber").alias("ln"),
+        F.col("l_orderkey").alias("ok"), F.col("l_returnflag").alias("rf"), F.col("l_linestatus").alias("ls"), F.col("l_linenumber").alias("ln"),
         F.round(F.col("l_tax") * 100).cast("int").alias("tx"), F.round(F.col("l_discount") * 100).cast("int").alias("dc"),
     )
-    return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("ok", *columns)
 
 
-CODED_SQL = """coded AS (SELECT l_returnflag AS rf, l_linestatus AS ls, l_linenumber AS ln, CAST(round(l_tax * 100) AS INTEGER) AS tx,
+CODED_SQL = """coded AS (SELECT l_orderkey AS ok, l_returnflag AS rf, l_linestatus AS ls, l_linenumber AS ln, CAST(round(l_tax * 100) AS INTEGER) AS tx,
   CAST(round(l_discount * 100) AS INTEGER) AS dc FROM lineitem)"""
 
 
@@ -320,14 +313,14 @@ INDEX = ((0, "0"), (1, "1"), (2, "5"), (3, "-1"), (4, "x"))
 
 @query(
     "rule_decide",
-    f"""WITH {CODED_SQL}, o AS (SELECT rf, ls, ln, tx, count(*) AS n FROM coded GROUP BY ALL),
+    f"""WITH {CODED_SQL}, o AS (SELECT ok, rf, ls, ln, tx FROM coded),
         p AS (SELECT *, CASE WHEN ln = 7 THEN NULL WHEN tx IN (1, 2, 3) THEN 'DESCENT' ELSE coalesce({pick_sql('ln', *MOTION)}, '') END AS motion0,
                 CASE WHEN tx IN (1, 2, 3) THEN 'hip' ELSE CASE ls WHEN 'F' THEN 'fore-arm' ELSE 'feet' END END AS part FROM o),
         t AS (SELECT *, replace(replace(upper(motion0), ' ', '_'), '-', '_') AS motion FROM p),
         d AS (SELECT *, CASE WHEN rf = 'N' THEN 'NO|HIGH|drive' WHEN motion IS NULL THEN 'UNCLEAR|LOW|no_contacts'
                 WHEN motion IN ('ASCENT', 'AT_APEX') THEN 'NO|HIGH|ascent_contact' WHEN part = 'fore-arm' THEN 'NO|HIGH|arm_contact'
                 WHEN motion IN ('DESCENT', 'AFTER_RELEASE') THEN 'YES|HIGH|descent_body_contact' WHEN motion = 'ON_GROUND' THEN 'NO|MEDIUM|on_ground' ELSE 'UNCLEAR|LOW|unclear' END AS v FROM t)
-        SELECT rf, ls, ln, tx, split_part(v, '|', 1) AS label, split_part(v, '|', 2) AS confidence, split_part(v, '|', 3) AS rule, n FROM d""",
+        SELECT rf, ls, ln, tx, split_part(v, '|', 1) AS label, split_part(v, '|', 2) AS confidence, split_part(v, '|', 3) AS rule, ok FROM d""",
 )
 def rule_decide(spark, sf):
     """The primary contact index may be unreadable or out of range; both fall back."""
@@ -339,7 +332,7 @@ def rule_decide(spark, sf):
     )
     text = F.to_json(F.struct(pick("rf", *SHOT).alias("shot_type"), contacts.alias("contacts"), pick("tx", *INDEX).alias("primary_foul_contact_index")))
     rows = D.from_text(coded(spark, sf, "rf", "ls", "ln", "tx").withColumn("text", text), "text", R.DESCRIBE_SCHEMA, "obs")
-    return R.add_describe_decision(rows, "obs", "d").select("rf", "ls", "ln", "tx", "d.*", "n")
+    return R.add_describe_decision(rows, "obs", "d").select("rf", "ls", "ln", "tx", "d.*", "ok")
 
 
 OBS = {
@@ -367,21 +360,21 @@ OBS_COLS = ", ".join(f"{up_sql(OBS, n)} AS {a}" for n, a in zip(OBS, ("shot", "a
 
 @query(
     "rule_observe",
-    f"""WITH {CODED_SQL}, o AS (SELECT rf, ls, ln, tx, dc, count(*) AS n FROM coded GROUP BY ALL), f AS (SELECT *, {OBS_COLS} FROM o),
+    f"""WITH {CODED_SQL}, o AS (SELECT ok, rf, ls, ln, tx, dc FROM coded), f AS (SELECT *, {OBS_COLS} FROM o),
         d AS (SELECT *, CASE WHEN shot = 'DRIVE' OR air = 'NO' THEN 'NO|not_airborne' WHEN who = 'SHOOTER' THEN 'NO|shooter_initiated' WHEN body = 'ARM_OR_HAND' THEN 'NO|arm_contact'
            WHEN feet = 'DIRECTLY_UNDER' AND who = 'DEFENDER' AND air = 'YES' THEN 'YES|feet_under' WHEN feet IN ('NEAR_BUT_NOT_UNDER', 'AWAY_FROM_LANDING') THEN 'NO|feet_clear'
            WHEN timing IN ('BEFORE_RELEASE', 'AT_RELEASE') AND body <> 'FEET_OR_LOWER_LEGS' THEN 'NO|early_contact' ELSE 'UNCLEAR|unclear' END AS v FROM f)
-        SELECT rf, ls, ln, tx, dc, n, split_part(v, '|', 1) AS label, CASE WHEN v LIKE 'UNCLEAR%' THEN 'LOW' ELSE 'MEDIUM' END AS confidence, split_part(v, '|', 2) AS rule,
+        SELECT rf, ls, ln, tx, dc, ok, split_part(v, '|', 1) AS label, CASE WHEN v LIKE 'UNCLEAR%' THEN 'LOW' ELSE 'MEDIUM' END AS confidence, split_part(v, '|', 2) AS rule,
           CASE WHEN feet = 'DIRECTLY_UNDER' THEN 'YES' WHEN feet <> '' THEN 'NO' ELSE 'UNCLEAR' END AS in_zone,
           CASE WHEN timing = 'AFTER_RELEASE_DESCENDING' THEN 'DURING_DESCENT_OR_LANDING' WHEN timing <> '' THEN 'DURING_SHOT_MOTION' ELSE 'UNCLEAR' END AS vs_descent FROM d""",
 )
 def rule_observe(spark, sf):
     keys = ["rf", "ls", "ln", "tx", "dc"]
     rows = observations(spark, sf, OBS, keys, R.OBSERVE_SCHEMA).select(
-        *keys, "n", R.observe_decision().alias("d"), R.zone_from_feet("obs.defender_feet_at_shooter_landing").alias("in_zone"),
+        *keys, "ok", R.observe_decision().alias("d"), R.zone_from_feet("obs.defender_feet_at_shooter_landing").alias("in_zone"),
         R.descent_from_timing("obs.contact_timing").alias("vs_descent"),
     )
-    return rows.select(*keys, "d.*", "in_zone", "vs_descent", "n")
+    return rows.select(*keys, "d.*", "in_zone", "vs_descent", "ok")
 
 
 SPATIAL = {
@@ -400,20 +393,20 @@ SPATIAL = {
 
 @query(
     "rule_fallback",
-    f"""WITH {CODED_SQL}, o AS (SELECT rf, ls, ln, tx, dc, count(*) AS n FROM coded GROUP BY ALL),
+    f"""WITH {CODED_SQL}, o AS (SELECT ok, rf, ls, ln, tx, dc FROM coded),
         d AS (SELECT *, CASE WHEN rf = 'A' THEN 'YES|stated' WHEN ln = 1 THEN 'NO|shooter_initiated' WHEN ln = 2 THEN 'NO|whistle_early' WHEN tx = 0 THEN 'NO|whistle_arm'
             WHEN tx = 1 AND ln = 3 THEN 'YES|whistle_feet' WHEN ls = 'F' THEN 'NO|shot_type' WHEN tx = 2 AND dc IN (1, 2) THEN 'YES|under_on_descent'
             WHEN tx = 4 AND dc IN (1, 2) THEN 'YES|in_zone_on_descent' WHEN tx IN (3, 5) THEN 'NO|clear_of_zone' ELSE 'UNCLEAR|unclear' END AS v FROM o)
-        SELECT rf, ls, ln, tx, dc, n, split_part(v, '|', 1) AS label, CASE ls WHEN 'O' THEN 'HIGH' ELSE 'LOW' END AS confidence, split_part(v, '|', 2) AS rule FROM d""",
+        SELECT rf, ls, ln, tx, dc, ok, split_part(v, '|', 1) AS label, CASE ls WHEN 'O' THEN 'HIGH' ELSE 'LOW' END AS confidence, split_part(v, '|', 2) AS rule FROM d""",
 )
 def rule_fallback(spark, sf):
     keys = ["rf", "ls", "ln", "tx", "dc"]
-    return observations(spark, sf, SPATIAL, keys, R.SPATIAL_SCHEMA).select(*keys, "n", R.spatial_decision().alias("d")).select(*keys, "d.*", "n")
+    return observations(spark, sf, SPATIAL, keys, R.SPATIAL_SCHEMA).select(*keys, "ok", R.spatial_decision().alias("d")).select(*keys, "d.*", "ok")
 
 
 @query(
     "rule_phase",
-    f"""WITH {CODED_SQL}, o AS (SELECT rf, ls, ln, tx, dc, count(*) AS n FROM coded GROUP BY ALL),
+    f"""WITH {CODED_SQL}, o AS (SELECT ok, rf, ls, ln, tx, dc FROM coded),
         f AS (SELECT *, CASE ln WHEN 1 THEN 'SHOOTER' WHEN 2 THEN 'DEFENDER' END AS who, CASE tx WHEN 0 THEN 'RELEASED' WHEN 1 THEN 'ON_RELEASE_PATH' WHEN 2 THEN 'GATHERING' END AS ball,
                 CASE dc WHEN 0 THEN 'HORIZONTAL_HOOK' WHEN 1 THEN 'VERTICAL_SHOT_ARC' END AS arm FROM o),
         p AS (SELECT *, CASE
@@ -422,7 +415,7 @@ def rule_fallback(spark, sf):
                WHEN ball = 'RELEASED' OR (ball = 'ON_RELEASE_PATH' AND arm = 'VERTICAL_SHOT_ARC') THEN 'IN_ACT' ELSE 'PRE_COMMIT' END
             WHEN rf = 'N' THEN CASE WHEN ln = 1 THEN 'PRE_COMMIT' WHEN tx = 1 THEN 'PRE_COMMIT' WHEN dc = 0 THEN 'PRE_COMMIT' WHEN ls = 'O' THEN 'IN_ACT' WHEN ln = 2 AND tx = 2 AND dc = 2 THEN 'IN_ACT' ELSE 'PRE_COMMIT' END
             ELSE CASE WHEN ln <= 2 THEN 'PRE_COMMIT' WHEN ln <= 4 THEN 'IN_ACT' ELSE 'UNKNOWN' END END AS phase FROM f)
-        SELECT rf, ls, ln, tx, dc, n, phase, CASE WHEN phase = 'PRE_COMMIT' THEN 'BEFORE' WHEN phase = 'UNKNOWN' THEN 'UNKNOWN'
+        SELECT rf, ls, ln, tx, dc, ok, phase, CASE WHEN phase = 'PRE_COMMIT' THEN 'BEFORE' WHEN phase = 'UNKNOWN' THEN 'UNKNOWN'
           WHEN (rf = 'A' AND ball = 'RELEASED') OR (rf = 'N' AND ls = 'O') THEN 'AFTER' ELSE 'DURING' END AS timing FROM p""",
 )
 def rule_phase(spark, sf):
@@ -455,7 +448,7 @@ def rule_phase(spark, sf):
         )
     )
     rows = D.from_text(coded(spark, sf, *keys).withColumn("text", text), "text", R.PHASE_SCHEMA, "obs")
-    return rows.select(*keys, "n", R.normal_phase().alias("p")).select(*keys, "p.*", "n")
+    return rows.select(*keys, "ok", R.normal_phase().alias("p")).select(*keys, "p.*", "ok")
 
 
 @query(

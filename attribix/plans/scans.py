@@ -361,11 +361,11 @@ def decision_clean(spark, sf):
     lines = roles.table(spark, sf, "lineitem").select("l_partkey", "l_returnflag", "l_linestatus").join(part, "l_partkey")
     raw = F.when(F.col("l_returnflag") == "R", " inc ").when(F.col("l_returnflag") == "A", "Ic")
     body = F.concat(F.lower("p_type"), F.when(F.col("l_linestatus") == "F", "-fore arm ").otherwise(" knee"))
-    counted = lines.select(raw.alias("raw"), body.alias("part")).groupBy("raw", "part").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(
+    cleaned = lines.select(raw.alias("raw"), body.alias("part")).select(
         "raw", "part", derive.decision_code("raw").alias("decision"), derive.is_error_decision("raw").alias("incorrect"),
-        derive.token("part").alias("token"), derive.is_arm_token("part").alias("is_arm"), "n",
+        derive.token("part").alias("token"), derive.is_arm_token("part").alias("is_arm"),
     )
+    return cleaned.groupBy(*cleaned.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -8,6 +8,7 @@ from attribix.functions.numeric import pearson, per_unit, ratio
 from attribix.operators import models as M
 from attribix.operators import profiles as P
 from attribix.operators import teams as T
+from attribix.operators.keyed import spread_join, value_map
 from attribix.plans import effects as FX
 from attribix.plans import roles
 from attribix.plans.profiles import target
@@ -114,11 +115,12 @@ def dataset(spark, sf):
     by_session = roles.sessions(spark, sf).select("session_id", F.col("season").alias("profile_season"), "season_type")
     looked_up = (
         slots.join(by_session, "session_id")
-        .join(defaults.select("profile_season"), "profile_season", "left_semi")
+        .withColumn("by_season", value_map(defaults, "profile_season", *RATES))
+        .filter(F.map_contains_key("by_season", F.col("profile_season")))
         .join(profile.select("actor_id", "profile_season", *RATES, F.lit(True).alias("known")), ["actor_id", "profile_season"], "left")
     )
-    members = T.with_defaults(
-        looked_up.withColumn("league", league), defaults, ["profile_season"], RATES, {v: F.col("league")[v] for v in RATES}
+    members = looked_up.withColumn("league", league).withColumns(
+        {v: F.coalesce(v, F.col("by_season")[F.col("profile_season")][v], F.col("league")[v]) for v in RATES}
     )
     feats = T.team_features(members, "session_id", RATES, F.col("known"), SIZE)
     counts = P.session_counts(roles.events(spark, sf), "session_id", target())
@@ -408,10 +410,15 @@ def pair_members(spark, sf):
     by_season = T.median_defaults(deltas, ["season"], ["adj_delta"]).withColumnRenamed("adj_delta", "d_season")
     rows = roles.subject_sessions(spark, sf).filter(F.col("m") >= MIN_EXPOSURE).select("subject_id", "session_id", "season", "season_type", "y", "m")
     slots = T.team_slots(roles.team(spark, sf), "session_id", "actor_id", SIZE)
-    return (
+    joined = (
         rows.join(slots, "session_id")
-        .join(by_season, "season")
-        .join(by_subject, ["subject_id", "season"], "left")
+        .withColumn("by_season", value_map(by_season, "season", "d_season"))
+        .filter(F.map_contains_key("by_season", F.col("season")))
+        .withColumn("d_season", F.col("by_season")[F.col("season")]["d_season"])
+        .drop("by_season")
+    )
+    return (
+        spread_join(joined, by_subject, ["subject_id", "season"], ["session_id", "actor_id"])
         .join(deltas.select("subject_id", "actor_id", "season", "adj_delta"), ["subject_id", "actor_id", "season"], "left")
         .withColumn("known", F.col("adj_delta").isNotNull())
         .withColumn("delta", F.coalesce("adj_delta", "d_subject", "d_season"))

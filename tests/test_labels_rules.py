@@ -31,26 +31,27 @@ def candidates(spark, n=400):
 
 def test_quota_sample_holds_its_caps(spark):
     df, _ = candidates(spark)
-    got = L.quota_sample(df, "key", "session", "season", 60, 4, 42).collect()
+    got = L.quota_sample(df, "key", "session", "season", 60, 42).collect()
     assert len(got) == 60 == len({r.key for r in got})
     assert max(Counter(r.session for r in got).values()) <= 2
     assert min(Counter(r.season for r in got).values()) >= 15
-    again = L.quota_sample(df.repartition(7), "key", "session", "season", 60, 4, 42).collect()
+    again = L.quota_sample(df.repartition(7), "key", "session", "season", 60, 42).collect()
     assert {r.key for r in got} == {r.key for r in again}
-    other = L.quota_sample(df, "key", "session", "season", 60, 4, 43).collect()
+    other = L.quota_sample(df, "key", "session", "season", 60, 43).collect()
     assert {r.key for r in got} != {r.key for r in other}
 
 
 def test_small_season_is_topped_up_from_the_others(spark):
     rows = [(f"a{i}", i, 2010) for i in range(3)] + [(f"b{i}", 100 + i, 2011) for i in range(60)]
-    got = L.quota_sample(spark.createDataFrame(rows, "key string, session int, season int"), "key", "session", "season", 20, 2, 1).collect()
+    got = L.quota_sample(spark.createDataFrame(rows, "key string, session int, season int"), "key", "session", "season", 20, 1).collect()
     assert Counter(r.season for r in got) == {2010: 3, 2011: 17}
 
 
 def test_too_few_candidates_are_all_returned(spark):
     rows = [(f"k{i}", 1, 2010) for i in range(6)]
-    got = L.quota_sample(spark.createDataFrame(rows, "key string, session int, season int"), "key", "session", "season", 6, 1, 42)
-    assert got.count() == 6
+    df = spark.createDataFrame(rows, "key string, session int, season int")
+    assert L.quota_sample(df, "key", "session", "season", 6, 42, all_if_few=True).count() == 6
+    assert L.quota_sample(df, "key", "session", "season", 6, 42).count() == 2
 
 
 def test_split_reproduces_the_published_counts(spark):
