@@ -72,41 +72,42 @@ def pair_audit_rate(events: DataFrame, team: DataFrame, subject: str, session: s
     )
 
 
-def _substrings(text: Column, size: int) -> Column:
-    starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
-    pieces = F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
-    return F.when(F.length(text) >= size, pieces).otherwise(F.array().cast("array<string>"))
+def _pieces(text: Column, lengths: Column) -> Column:
+    """Distinct substrings of each of the lengths."""
+    none = F.array().cast("array<string>")
 
+    def of(n: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, n))).otherwise(none)
 
-def _grams(text: Column, n: int = GRAM) -> Column:
-    """Distinct substrings of 1 to ``n`` characters."""
-    return F.array_distinct(F.concat(*[_substrings(text, size) for size in range(1, n + 1)]))
+    return F.array_distinct(F.flatten(F.transform(lengths, of)))
 
 
-def match_prefix(names: DataFrame, name: str, targets: DataFrame, first: str, last: str, order: str, target: str) -> DataFrame:
-    """Names matched to the first target whose surname they contain and whose first
-    three first-name letters stand within their first ten characters.
+def _holding(names: DataFrame, name: str, text: Column, targets: DataFrame, last: str) -> DataFrame:
+    """Distinct names with each target whose surname ``text`` contains.
 
-    The three letters are a join key against the short substrings of the name's
-    head, so no name meets a target it cannot match.
+    The whole surname is the join key against the substrings of the lengths that occur among the surnames, so unrelated
+    targets share no key.
     """
-    keyed = targets.select(F.substring(first, 1, GRAM).alias("__g"), last, order, target)
-    pieces = names.select(name).distinct().select(name, F.explode(_grams(F.substring(name, 1, HEAD))).alias("__g"))
-    hits = pieces.join(keyed, "__g").filter(F.contains(F.col(name), F.col(last)))
+    lengths = targets.agg(F.collect_set(F.length(last))).scalar()
+    pieces = names.select(name).distinct().withColumn("__lengths", lengths).select(name, F.explode(_pieces(text, F.col("__lengths"))).alias("__p"))
+    return pieces.join(targets, F.col("__p") == F.col(last))
+
+
+def match_prefix(names: DataFrame, name: str, targets: DataFrame, first: str, last: str, order: str, target: str) -> DataFrame:
+    """Names matched to the first target whose surname they contain and whose first
+    three first-name letters stand within their first ten characters."""
+    wanted = targets.select(F.substring(first, 1, GRAM).alias("__g"), F.col(last).alias("__last"), order, target)
+    hits = _holding(names, name, F.col(name), wanted, "__last").filter(F.contains(F.substring(name, 1, HEAD), F.col("__g")))
     return hits.groupBy(name).agg(F.min_by(target, order).alias(target))
 
 
 def match_contains(
     names: DataFrame, name: str, targets: DataFrame, last: str, order: str, target: str, first: str | None = None
 ) -> DataFrame:
-    """Names matched, case-insensitively, to the first target whose surname (and first name) they contain.
-
-    The start of the surname is the join key against the substrings of the name.
-    """
+    """Names matched, case-insensitively, to the first target whose surname (and first name) they contain."""
     cols = [F.lower(last).alias("__last"), *([F.lower(first).alias("__first")] if first else [])]
-    keyed = targets.select(F.substring(F.lower(last), 1, GRAM).alias("__g"), *cols, order, target)
-    pieces = names.select(name).distinct().select(name, F.explode(_grams(F.lower(name))).alias("__g"))
-    hit = F.contains(F.lower(name), F.col("__last"))
+    hits = _holding(names, name, F.lower(name), targets.select(*cols, order, target), "__last")
     if first:
-        hit = hit & F.contains(F.lower(name), F.col("__first"))
-    return pieces.join(keyed, "__g").filter(hit).groupBy(name).agg(F.min_by(target, order).alias(target))
+        hits = hits.filter(F.contains(F.lower(name), F.col("__first")))
+    return hits.groupBy(name).agg(F.min_by(target, order).alias(target))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attribix.functions.numeric import col
+from attribix.operators.keyed import spread_join
 from attribix.operators.ordered import lookahead, order_bucket
 
 
@@ -98,13 +99,66 @@ def nearest_to_anchor(
     return best.select(*keys, F.col("__b")[ident].alias(ident), F.col("__b.__d").alias("dist"), *[F.col("__b")[c].alias(c) for c in (x, y, *carry)])
 
 
+#: Bits of a coordinate in the places' common order.
+DEPTH = 31
+#: Shifts and masks that put a zero between each two bits of a coordinate.
+GAPS = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+
+
+def _gapped(v: Column) -> Column:
+    for shift, mask in GAPS:
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return v
+
+
+def with_cells(places: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """``places`` with a grid cell (__cx, __cy) whose side __side is at least their smallest distance.
+
+    Cells of halved sides form a tree over a group's square. In the order of the interleaved coordinates two places
+    that share a deep cell stand next to each other, so the deepest cell that still holds two shows between neighbours.
+    Its diagonal bounds the answer, and as no cell of half its side holds two places, a cell of the bound's size holds
+    at most 16 (unless places are closer than 2^-31 of the square).
+    """
+    box = places.groupBy(*keys).agg(
+        F.min(x).alias("__x0"), F.min(y).alias("__y0"), F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y)).alias("__span")
+    ).filter("__span > 0")
+    boxed = spread_join(places, box, keys, [x, y], "inner")
+    top = (1 << DEPTH) - 1
+
+    def steps(v, low):
+        return F.least(F.floor((F.col(v) - F.col(low)) / F.col("__span") * float(1 << DEPTH)), F.lit(top))
+
+    coded = boxed.withColumn("__z", _gapped(steps(x, "__x0")).bitwiseOR(F.shiftleft(_gapped(steps(y, "__y0")), 1)))
+    ahead = lookahead(coded.select(*keys, "__z", "__span", x, y), keys, ["__z", x, y], F.shiftright("__z", 34), ["__z"], 1, "__ahead")
+    apart = F.get(F.col("__ahead"), F.lit(0))["__z"].bitwiseXOR(F.col("__z"))
+    shared = F.when(apart == 0, F.lit(2 * DEPTH)).otherwise(2 * DEPTH - F.length(F.bin(apart)))
+    bound = ahead.groupBy(*keys).agg(F.max(F.floor(shared / 2)).alias("__depth")).filter("__depth IS NOT NULL")
+    side = F.col("__span") / F.pow(F.lit(2.0), F.col("__depth")) * (2 ** 0.5 * (1 + 1e-9))
+    cells = spread_join(boxed, bound, keys, [x, y], "inner").withColumn("__side", side)
+    return cells.withColumns({
+        "__cx": F.floor((F.col(x) - F.col("__x0")) / F.col("__side")), "__cy": F.floor((F.col(y) - F.col("__y0")) / F.col("__side"))})
+
+
+def near_pairs(cells: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """(keys, dist, a, b) of places in one cell or two that touch, not further apart than the side."""
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    left = cells.select(*keys, "a", F.col(x).alias("__x"), F.col(y).alias("__y"), "__side", "__cx", "__cy", F.explode(around).alias("o")).select(
+        *keys, "a", "__x", "__y", "__side", (F.col("__cx") + F.col("o.i")).alias("__cx"), (F.col("__cy") + F.col("o.j")).alias("__cy")
+    )
+    right = cells.select(*keys, F.col("a").alias("b"), x, y, "__cx", "__cy")
+    return (
+        left.join(right, [*keys, "__cx", "__cy"])
+        .filter(F.col("a") < F.col("b"))
+        .withColumn("dist", distance("__x", "__y", x, y))
+        .filter(F.col("dist") <= F.col("__side"))
+        .select(*keys, "dist", "a", "b")
+    )
+
+
 def closest_pair(df: DataFrame, keys: Sequence[str], ident: str, x: str, y: str) -> DataFrame:
     """The two closest points of each group, without pairing all points.
 
-    Neighbours in x order give an upper bound ``d`` on the smallest distance.
-    On a grid of side ``d`` the answer lies in one cell or two adjacent ones,
-    and distinct points at least the answer apart can only be few per cell.
-    Points at one place are counted once and answered on their own.
+    Points at one place are counted once and answered on their own; the places meet on a grid (:func:`with_cells`).
     """
     keys = list(keys)
     rows = df.select(*keys, ident, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -115,24 +169,7 @@ def closest_pair(df: DataFrame, keys: Sequence[str], ident: str, x: str, y: str)
         .groupBy(*keys, "a").agg(F.min(ident).alias("b"))
         .select(*keys, F.lit(0.0).alias("dist"), "a", "b")
     )
-    stepped = lookahead(places.select(*keys, "a", x, y), keys, [x, y], order_bucket(x), [x, y], 1, "__ahead")
-    step = F.get(F.col("__ahead"), F.lit(0))
-    bound = stepped.groupBy(*keys).agg(F.min(distance(x, y, step[x], step[y])).alias("__side")).filter("__side > 0")
-    cells = places.join(bound, keys).withColumns(
-        {"__cx": F.floor(F.col(x) / F.col("__side")), "__cy": F.floor(F.col(y) / F.col("__side"))}
-    )
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = cells.select(*keys, F.col("a"), F.col(x).alias("__x"), F.col(y).alias("__y"), "__side", "__cx", "__cy", F.explode(around).alias("o")).select(
-        *keys, "a", "__x", "__y", "__side", (F.col("__cx") + F.col("o.i")).alias("__cx"), (F.col("__cy") + F.col("o.j")).alias("__cy")
-    )
-    right = cells.select(*keys, F.col("a").alias("b"), x, y, "__cx", "__cy")
-    near = (
-        left.join(right, [*keys, "__cx", "__cy"])
-        .filter(F.col("a") < F.col("b"))
-        .withColumn("dist", distance("__x", "__y", x, y))
-        .filter(F.col("dist") <= F.col("__side"))
-        .select(*keys, "dist", "a", "b")
-    )
+    near = near_pairs(with_cells(places, keys, x, y), keys, x, y)
     return near.unionByName(twins).groupBy(*keys).agg(F.min(F.struct("dist", "a", "b")).alias("p")).select(
         *keys, F.col("p.a").alias(f"{ident}_a"), F.col("p.b").alias(f"{ident}_b"), F.col("p.dist").alias("dist")
     )

@@ -12,7 +12,7 @@ from attribix.session import checkpointed
 
 PERSONS, FRAMES = 3, 12
 JOINTS = (*T.POSE_JOINTS, "left_wrist", "right_wrist")
-SCALE, CENTRE = 800.0, 500.0
+SCALE, CENTRE, SHIFT = 800.0, 500.0, 20.0
 
 
 def keypoints(spark, sf):
@@ -25,8 +25,9 @@ def keypoints(spark, sf):
     joints = F.array(
         *[
             F.struct(
-                F.lit(j).alias("joint"), (CENTRE + SCALE * v(2 * i)).alias("x"),
-                (CENTRE + SCALE * v(2 * i + 1) + 40.0 * (len(JOINTS) - i)).alias("y"), F.abs(F.lit(0.45) + v(30 + i) * 2).alias("conf"),
+                F.lit(j).alias("joint"), (CENTRE + SCALE * v(2 * i) + SHIFT * v(54 + i % 10)).alias("x"),
+                (CENTRE + SCALE * v(2 * i + 1) + SHIFT * v(22 + i % 8) + 40.0 * (len(JOINTS) - i)).alias("y"),
+                F.abs(F.lit(0.45) + v(30 + i) * 2).alias("conf"),
             )
             for i, j in enumerate(JOINTS)
         ]
@@ -36,7 +37,8 @@ def keypoints(spark, sf):
         F.floor(F.col("vec_id") / step).alias("clip"),
         F.floor(F.pmod(F.col("vec_id"), F.lit(step)) / PERSONS).alias("frame"),
         F.pmod(F.col("vec_id"), F.lit(PERSONS)).alias("person"),
-        (CENTRE + SCALE * v(50)).alias("x1"), (CENTRE + SCALE * v(51)).alias("y1"),
+        (CENTRE + SCALE * v(50) - SHIFT * F.abs(sum((v(i) for i in range(41, 45)), F.lit(0.0)))).alias("x1"),
+        (CENTRE + SCALE * v(51) - SHIFT * F.abs(sum((v(i) for i in range(45, 50)), F.lit(0.0)))).alias("y1"),
         (CENTRE + 120 + SCALE * v(50) + 100 * v(52)).alias("x2"), (CENTRE + 300 + SCALE * v(51) + 100 * v(53)).alias("y2"),
         F.inline(joints),
     )

@@ -104,15 +104,16 @@ def tail_velocity(spark, sf):
 
 
 def points(spark, sf):
-    """The first two vector dimensions as a point; the label is its frame."""
+    """Each two values of a vector in a row are a point; the label is its frame."""
     e = roles.table(spark, sf, "embeddings")
-    return e.select(
-        F.col("label").alias("frame"), F.col("vec_id").alias("person"),
-        F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"),
-    )
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1), lambda i: F.struct(
+        (F.col("vec_id") * 32 + i).alias("person"), F.get("embedding", 2 * i).cast("double").alias("x"),
+        F.get("embedding", 2 * i + 1).cast("double").alias("y")))
+    return e.select(F.col("label").alias("frame"), F.inline(pairs))
 
 
-POINT_SQL = "pt AS (SELECT label AS frame, vec_id AS person, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
+POINT_SQL = """pt AS (SELECT label AS frame, vec_id * 32 + i AS person, CAST(embedding[2 * i + 1] AS DOUBLE) AS x, CAST(embedding[2 * i + 2] AS DOUBLE) AS y
+  FROM (SELECT *, unnest(range(len(embedding) // 2)) AS i FROM embeddings))"""
 
 
 @query(

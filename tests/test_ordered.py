@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from attribix.functions.numeric import order_bucket
@@ -135,3 +136,15 @@ def test_closest_pair_against_all_pairs(spark):
         if pairs:
             want[g] = min(pairs)[1:]
     assert got == want
+
+
+@pytest.mark.parametrize("n", [2000, 20000])
+def test_close_pairs_stay_few(spark, n):
+    """Two far rows of points that alternate in x, so that neighbours in x say nothing of the smallest distance."""
+    data = [(0, i, float(i), 0.0 if i % 2 else 1e6) for i in range(n)]
+    places = spark.createDataFrame(data, "g int, a int, x double, y double")
+    cells = Q.with_cells(places, ["g"], "x", "y")
+    assert cells.groupBy("__cx", "__cy").count().agg(F.max("count")).first()[0] <= 16
+    assert Q.near_pairs(cells, ["g"], "x", "y").count() <= 4 * n
+    best = Q.closest_pair(places.withColumnRenamed("a", "i"), ["g"], "i", "x", "y").first()
+    assert (best.i_a, best.i_b, best.dist) == (0, 2, 2.0)
