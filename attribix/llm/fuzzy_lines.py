@@ -1,14 +1,14 @@
 """Fuzzy line dedup: one occurrence of each group of lines that read the same.
 
-Lines are normalised (lower case, numbers to 0, words only). Equal ones are one entry with its first occurrence. The
-SimHash of an entry covers its words and word pairs. Fingerprints within ``BUDGET`` bits differ in at most that many of
+Lines are normalised (lower case, numbers to 0, ASCII punctuation and white space to one space). Equal ones are one
+entry with its first occurrence. The SimHash of an entry covers its words and word pairs. Fingerprints within ``BUDGET`` bits differ in at most that many of
 ``BLOCKS`` blocks, so they agree in the others: entries are joined on every choice of that many equal blocks, the
 Hamming distance is part of the join, and the edit similarity of the normalised lines decides. The linked entries form
 connected groups, and of each group the first occurrence stays, by doc_id, then by place in the document.
 
-Defined results: a line without a letter or digit is never removed, so null and empty texts stay as they are. Rows that
-share doc_id and text are one document here: the same lines go from each. Rows with a null doc_id come first in the
-order. A document may lose all its lines; its row stays with what is left. An empty table gives an empty result. Other
+Defined results: a line of ASCII punctuation and white space alone is never removed, so null and empty texts stay as
+they are. Rows that share a doc_id have the same place in the order: what several of them hold as their line of one
+number stays in each. Rows with a null doc_id share the place before all others. A document may lose all its lines; its row stays with what is left. An empty table gives an empty result. Other
 columns of the table are not touched, whatever their names.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .shared import components, fresh
+from .shared import LOCAL_NODES, UnionFind, components, fresh
 
 BUDGET = 3
 BLOCKS = 5
@@ -38,50 +39,57 @@ CHUNK = 1 << 15
 #: Words whose hashes are held at a time, besides one line.
 HELD = 1 << 18
 
-_RUN = re.compile(r"[^\W\d_]+|\d+")
+_PLAIN = bytes(
+    b if b > 127 or b == 10 or chr(b).isalpha() else 48 if chr(b).isdigit() else 32 for b in range(256))
+_ZEROS = re.compile(b"00+")
 
 
-def normal_words(line: str) -> list[str]:
-    return ["0" if w[0].isdecimal() else w for w in _RUN.findall(line.lower())]
+def normal_lines(text: str | None) -> list[list[bytes]]:
+    """Words of every line of the text, in lower case, each number as 0."""
+    data = (text or "").lower().encode().translate(_PLAIN)
+    if b"00" in data:
+        data = _ZEROS.sub(b"0", data)
+    return [line.split() for line in data.split(b"\n")]
 
 
 def normal(line: str) -> str:
-    """Words of the line in lower case, each number as 0, one space between."""
-    return " ".join(normal_words(line))
+    """The normalised line."""
+    return b" ".join(normal_lines(line)[0]).decode()
 
 
 def simhashes(hashes: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """Fingerprint of each line from the hashes of all their words in a row; no line is empty."""
+    """Fingerprint of each line from the hashes of all their words in a row, over words and pairs of words side by side.
+
+    No line is empty.
+    """
+    sizes = np.array(sizes)
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    pairs = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + (hashes[1:] ^ (hashes[1:] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    pairs = np.zeros_like(hashes)
+    pairs[:-1] = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + (hashes[1:] ^ (hashes[1:] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     pairs ^= pairs >> np.uint64(32)
+    pairs[ends - 1] = 0  # no pair across the end of a line
     out = np.empty(len(sizes), np.uint64)
+    bits = lambda x: np.unpackbits(x.astype(">u8").view(np.uint8)).reshape(-1, 64)
     lo = 0
     while lo < len(sizes):
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CHUNK, "right")))
         a, b = int(starts[lo]), int(ends[hi - 1])
-        at = starts[lo:hi] - a
-        ones = np.zeros((hi - lo, 64), np.int64)
-        for i in range(a, b, CHUNK) if hi - lo == 1 else [a]:
-            j = min(b, i + CHUNK)
-            words = np.unpackbits(hashes[i:j].astype(">u8").view(np.uint8)).reshape(-1, 64)
-            two = np.unpackbits(pairs[i : min(j, len(pairs))].astype(">u8").view(np.uint8)).reshape(-1, 64)
-            if len(two) < j - i:
-                two = np.concatenate([two, np.zeros((1, 64), np.uint8)])
-            two[ends[lo:hi][(ends[lo:hi] > i) & (ends[lo:hi] <= j)] - 1 - i] = 0  # no pair across the end of a line
-            ones += np.add.reduceat(words.astype(np.int32) + two, at if hi - lo > 1 else [0], axis=0)
-        total = 2 * np.array(sizes[lo:hi]) - 1
-        bits = np.packbits(ones * 2 > total[:, None], axis=1)
-        out[lo:hi] = bits.view(">u8").ravel().astype(np.uint64)
+        if hi - lo > 1:
+            both = bits(hashes[a:b]) + bits(pairs[a:b])
+            ones = np.add.reduceat(both, starts[lo:hi] - a, axis=0, dtype=np.int64)
+        else:
+            parts = [x[i : min(i + CHUNK, b)] for x in (hashes, pairs) for i in range(a, b, CHUNK)]
+            ones = sum(bits(x).sum(0, dtype=np.int64) for x in parts)[None, :]
+        out[lo:hi] = np.packbits(ones * 2 > 2 * sizes[lo:hi, None] - 1, axis=1).view(">u8").ravel().astype(np.uint64)
         lo = hi
     return out
 
 
-_words: dict[str, int] = {}
+_words: dict[bytes, int] = {}
 
 
-def _hash(word: str) -> int:
+def _hash(word: bytes) -> int:
     h = xxhash.xxh64_intdigest(word)
     if len(_words) < REMEMBERED:
         _words[word] = h
@@ -105,12 +113,13 @@ def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return made
 
         for i, text in enumerate(batch.column("text").to_pylist()):
-            for k, line in enumerate((text or "").split("\n")):
-                if words := normal_words(line):
+            for k, words in enumerate(normal_lines(text)):
+                if words:
                     row.append(i)
                     place.append(k)
-                    names.append(xxhash.xxh3_128_digest(" ".join(words)))
-                    hashes += [known(w) or _hash(w) for w in words]
+                    names.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                    found = list(map(known, words))
+                    hashes += [_hash(w) if h is None else h for h, w in zip(found, words)] if None in found else found
                     sizes.append(len(words))
                     if len(hashes) > HELD:
                         yield out()
@@ -133,15 +142,26 @@ def masks(budget: int = BUDGET, blocks: int = BLOCKS) -> list[int]:
 
 
 def close_fingerprints(fps: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS) -> DataFrame:
-    """Distinct pairs (fp, other), fp the smaller, of distinct fingerprints within ``budget`` bits."""
-    keys = F.array(*[
-        F.struct(F.lit(i).cast("tinyint").alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("v"))
-        for i, m in enumerate(masks(budget, blocks))])
-    keyed = fps.select("fp", F.explode(keys).alias("k")).select("k.t", "k.v", "fp")
+    """Pairs (fp, other), fp the smaller, of distinct fingerprints within ``budget`` bits, each once.
+
+    A key is the agreeing blocks and a number for their choice in one; keys of two choices that meet by chance are sorted
+    out by the distance. A pair that agrees in several choices counts in the first.
+    """
+    chosen = masks(budget, blocks)
+    marks = [xxhash.xxh64_intdigest(str(i)) - (1 << 63) for i in range(len(chosen))]
+
+    def key(fp, mask, mark):
+        return fp.bitwiseAND(F.lit(mask).cast("long")).bitwiseXOR(F.lit(mark).cast("long"))
+
+    keyed = fps.select("fp", F.explode(F.array(*[key(F.col("fp"), m, x) for m, x in zip(chosen, marks, strict=True)])).alias("k"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= budget
-    return a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.fp") < F.col("b.fp")) & near).select(
-        F.col("a.fp").alias("fp"), F.col("b.fp").alias("other")).distinct()
+    apart = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    first = None
+    for mask, mark in zip(chosen, marks, strict=True):
+        agrees, here = apart.bitwiseAND(F.lit(mask).cast("long")) == 0, key(F.col("a.fp"), mask, mark)
+        first = F.when(agrees, here) if first is None else first.when(agrees, here)
+    on = (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(apart) <= budget) & (F.col("a.k") == first)
+    return a.join(b, on).select(F.col("a.fp").alias("fp"), F.col("b.fp").alias("other"))
 
 
 def edit_distance(a: str, b: str, at_most: int) -> int:
@@ -180,59 +200,74 @@ def edit_distance(a: str, b: str, at_most: int) -> int:
 def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     """Whether 1 - edits / longer length is at least ``similarity``."""
     most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y, strict=True) if v != w) <= most:
+        return True  # changing word for word is one way, so the fewest edits are no more
     return edit_distance(a, b, most) <= most
 
 
-def links(entries: DataFrame, docs: DataFrame, budget: int, blocks: int, similarity: float) -> DataFrame:
-    """(a, b) of entries whose fingerprints are close and whose normalised lines are alike."""
-    fps = checkpointed(entries.select("fp").distinct())
-    close = checkpointed(close_fingerprints(fps, budget, blocks))
-    same = entries.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", F.col("fp").alias("other"))
-    close = close.union(same)
+def _position(doc: str, place: str):
+    """Place of a line among all lines as one number, which sorts like (doc_id, place) and aggregates without sorting."""
+    return F.coalesce(F.col(doc), F.lit(-(2**63)).cast("long")).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col(place)
+
+
+def links(rows: DataFrame, entries: DataFrame, docs: DataFrame, budget: int, blocks: int, similarity: float) -> DataFrame:
+    """(a, b) of entries whose fingerprints are close and whose normalised lines are alike; pairs that follow from others may be left out."""
+    close = checkpointed(close_fingerprints(entries.select("fp").distinct(), budget, blocks))
+    same = entries.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("fp", F.col("fp").alias("other"))
     left = entries.select(F.col("fp").alias("f1"), F.col("entry").alias("a"), F.col("first").alias("a_first"))
     right = entries.select(F.col("fp").alias("f2"), F.col("entry").alias("b"), F.col("first").alias("b_first"))
     pairs = checkpointed(
-        close.join(left, F.col("fp") == F.col("f1")).join(right, F.col("other") == F.col("f2"))
+        close.union(same).join(left, F.col("fp") == F.col("f1")).join(right, F.col("other") == F.col("f2"))
         .where("fp <> other or a < b").select("a", "a_first", "b", "b_first"))
-    wanted = pairs.select(F.col("a").alias("entry"), F.col("a_first").alias("first")).union(pairs.select("b", "b_first")).distinct()
-    wanted = checkpointed(wanted.select("entry", F.col("first.d").alias("d"), F.col("first.h").alias("wh"), F.col("first.place").alias("place")))
+    # The line of each entry is taken from its first occurrence.
+    ends = pairs.select(F.col("a").alias("e"), F.col("a_first").alias("f")).union(pairs.select("b", "b_first")).distinct()
+    wanted = checkpointed(
+        rows.join(checkpointed(ends), (F.col("entry") == F.col("e")) & (F.col("position") == F.col("f")))
+        .groupBy("e").agg(F.min("doc_id").alias("d"), F.min("h").alias("wh"), F.min("place").alias("at")))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
-    held = source.join(
-        wanted.select("d", "wh").distinct(), source["doc_id"].eqNullSafe(F.col("d")) & (F.col("h") == F.col("wh")), "left_semi"
-    ).dropDuplicates(["doc_id", "h"])
-    held = held.select("doc_id", "h", F.split("text", "\n").alias("ls"))
-    texts = checkpointed(
-        wanted.join(held, held["doc_id"].eqNullSafe(F.col("d")) & (F.col("h") == F.col("wh")))
-        .select(F.col("entry").alias("e"), F.col("ls")[F.col("place")].alias("line")))
+    on = source["doc_id"].eqNullSafe(F.col("d")) & (source["h"] == F.col("wh"))
+    # Repeated rows give a line more than once.
+    texts = checkpointed(wanted.join(source, on).select("e", F.split("text", "\n")[F.col("at")].alias("line")).distinct())
     two = (
         pairs.select("a", "b").join(texts.select(F.col("e").alias("a"), F.col("line").alias("x")), "a")
         .join(texts.select(F.col("e").alias("b"), F.col("line").alias("y")), "b").select("a", "b", "x", "y")
     )
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What the pairs so far have connected needs no look at its lines.
+        found, shown = UnionFind(), lru_cache(4096)(normal)
         for batch in batches:
-            ok = pa.array([
-                alike(normal(x.as_py()), normal(y.as_py()), similarity)
-                for x, y in zip(batch.column("x"), batch.column("y"), strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(ok)
+            ok = []
+            for a, b, x, y in zip(*batch.columns, strict=True):
+                a, b = a.as_py(), b.as_py()
+                ok.append(found.root(a) != found.root(b) and alike(shown(x.as_py()), shown(y.as_py()), similarity))
+                if ok[-1]:
+                    found.join(a, b)
+            if len(found.up) > LOCAL_NODES:
+                found = UnionFind()
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return two.mapInArrow(verify, "a binary, b binary")
 
 
 def removed_lines(docs: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
     """d, wh (doc_id and hash of the text) and places (of the lines to remove) of every document that loses lines."""
-    rows = checkpointed(lines(docs))
-    here = F.struct(F.col("doc_id").alias("d"), "h", "place")
-    entries = checkpointed(rows.groupBy("entry").agg(F.min(here).alias("first"), F.min("fp").alias("fp")))
-    roots = components(links(entries, docs, budget, blocks, similarity), "a", "b")
+    rows = checkpointed(lines(docs).withColumn("position", _position("doc_id", "place")))
+    entries = checkpointed(rows.groupBy("entry").agg(
+        F.min("position").alias("first"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")))
+    roots = components(links(rows, entries, docs, budget, blocks, similarity), "a", "b")
     members = roots.union(roots.select("root", "root")).distinct().toDF("node", "root")
     named = checkpointed(members.join(entries, F.col("node") == F.col("entry")).select("entry", "root", "first"))
     keep = checkpointed(named.groupBy("root").agg(F.min("first").alias("kept")))
-    grouped = checkpointed(named.select(F.col("entry").alias("__g"), "root").join(keep, "root").select("__g", "kept"))
-    final = checkpointed(
-        entries.join(grouped, F.col("entry") == F.col("__g"), "left")
-        .select(F.col("entry").alias("__e"), F.coalesce("kept", "first").alias("kept")))
-    gone = rows.join(final, F.col("entry") == F.col("__e")).where(~here.eqNullSafe(F.col("kept")))
+    grouped = checkpointed(named.select(F.col("entry").alias("g"), "root").join(keep, "root").select("g", "kept"))
+    # Only lines of entries that occur again, or in a group, can go.
+    again = checkpointed(
+        entries.join(grouped, F.col("entry") == F.col("g"), "left").where("n > 1 or g is not null")
+        .select(F.col("entry").alias("e"), F.coalesce("kept", "first").alias("kept")))
+    gone = rows.select("doc_id", "h", "place", "entry", "position").join(again, F.col("entry") == F.col("e")).where("position <> kept")
     return gone.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("wh")).agg(F.collect_set("place").alias("places"))
 
 

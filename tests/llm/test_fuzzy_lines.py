@@ -31,7 +31,9 @@ def test_edit_distance():
 
 
 def simhash(words):
-    hashes = [xxhash.xxh64_intdigest(w) for w in words]
+    hashes, top = [xxhash.xxh64_intdigest(w) for w in words], (1 << 64) - 1
+    pairs = [(x * 0x9E3779B97F4A7C15 + (y ^ (y >> 29)) * 0xBF58476D1CE4E5B9) & top for x, y in zip(hashes, hashes[1:])]
+    hashes += [p ^ (p >> 32) for p in pairs]
     return sum((2 * sum(h >> k & 1 for h in hashes) > len(hashes)) << k for k in range(64))
 
 
