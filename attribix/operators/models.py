@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attribix.functions.numeric import add, col, pearson, ratio
+from attribix.operators.keyed import spread_join
 
 # Penalties tried for ridge.
 RIDGE_ALPHAS = (1.0, 10.0, 100.0)
@@ -25,6 +26,11 @@ class Moments:
     mean: np.ndarray
     cov: np.ndarray
 
+    def of(self, features: Sequence[str], some: Sequence[str]) -> "Moments":
+        """Those of some of the features and the target."""
+        at = [*(list(features).index(c) for c in some), len(self.mean) - 1]
+        return Moments(self.n, self.mean[at], self.cov[np.ix_(at, at)])
+
 
 @dataclass(frozen=True)
 class LinearModel:
@@ -102,7 +108,7 @@ def group_mean_predictor(rows: DataFrame, train: DataFrame, key: str, target: st
     """Training mean of the row's key, the overall training mean for an unseen key."""
     means = train.groupBy(key).agg(F.avg(target).alias("__mean"))
     overall = train.agg(F.avg(target)).scalar()
-    return rows.join(means, key, "left").withColumn(out, F.coalesce(F.col("__mean"), overall)).drop("__mean")
+    return spread_join(rows, means, [key]).withColumn(out, F.coalesce(F.col("__mean"), overall)).drop("__mean")
 
 
 def regression_metrics(scored: DataFrame, y: str, predictions: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -131,3 +137,13 @@ def best_model(metrics: DataFrame, excluded: Column, model: str = "model", score
 
 def holdout(season: str, train: tuple[int, int], test: tuple[int, int]) -> Column:
     return F.when(F.col(season).between(*train), "train").when(F.col(season).between(*test), "test")
+
+
+def with_holdout(df: DataFrame, season: str, train: tuple[int, int], test: tuple[int, int] | None) -> DataFrame:
+    """Add ``fold``. Where no row lies in the test seasons, or none are given, all seasons outside the training ones are the test."""
+    inside = F.col(season).between(*train)
+    if test is None:
+        return df.withColumn("fold", F.when(inside, "train").otherwise("test"))
+    held = F.col(season).between(*test)
+    some = df.agg(F.coalesce(F.bool_or(held), F.lit(False))).scalar()
+    return df.withColumn("fold", F.when(inside, "train").when(held | ~some, "test"))

@@ -464,7 +464,7 @@ def subject_dataset(spark, sf):
         ["subject_id"], "season", ["n", "ty", "tm"], "season", roles.sessions(spark, sf),
     ).filter(F.col("n") >= PAIR_MIN)
     return (
-        feats.join(totals, ["subject_id", "season"])
+        spread_join(feats, totals, ["subject_id", "season"], ["session_id"], "inner")
         .withColumn("rate", per_unit("y", "m"))
         .withColumn("prior_baseline", per_unit("ty", "tm"))
         .withColumn("baseline_plus_team", F.col("prior_baseline") + F.col("d"))

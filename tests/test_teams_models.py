@@ -142,3 +142,10 @@ def test_group_mean_and_imputing_use_training_rows(spark):
     med = T.median_defaults(df.limit(3), [], ["u", "v"])
     assert tuple(med.first()) == (2.0, 6.0)
     assert sorted(tuple(r) for r in M.impute(df, med, ["u", "v"]).collect()) == [(1.0, 6.0), (2.0, 1.0), (2.0, 5.0), (9.0, 7.0)]
+
+
+def test_holdout_falls_back_to_all_other_seasons(spark):
+    df = spark.createDataFrame([(2010,), (2011,), (2012,), (2015,)], "season int")
+    folds = lambda test: {r.season: r.fold for r in M.with_holdout(df, "season", (2010, 2011), test).collect()}
+    assert folds((2012, 2013)) == {2010: "train", 2011: "train", 2012: "test", 2015: None}
+    assert folds((2020, 2021)) == folds(None) == {2010: "train", 2011: "train", 2012: "test", 2015: "test"}
