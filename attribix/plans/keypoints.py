@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attribix.operators import labels as L
 from attribix.operators import trajectory as T
 from attribix.plans import roles
 from attribix.plans.registry import query
@@ -11,6 +12,7 @@ from attribix.plans.shape import r, rounded
 from attribix.session import checkpointed
 
 PERSONS, FRAMES = 3, 12
+SEED = 42
 JOINTS = (*T.POSE_JOINTS, "left_wrist", "right_wrist")
 SCALE, CENTRE, SHIFT = 800.0, 500.0, 20.0
 
@@ -75,6 +77,30 @@ def track_quality(spark, sf):
     return rounded(T.track_quality(points, frame_table(points)))
 
 
+@query(
+    "quality_summary",
+    f"""WITH {ANKLES_SQL}, q AS (SELECT clip, avg(n) AS mean_persons, avg(CASE WHEN n >= 2 THEN 1.0 ELSE 0.0 END) AS two_persons_share,
+          avg(CASE WHEN nb >= 1 THEN 1.0 ELSE 0.0 END) AS one_both_ankles_share, avg(CASE WHEN nb >= 2 THEN 1.0 ELSE 0.0 END) AS two_both_ankles_share,
+          sum(cs) / (2 * sum(n)) AS ankle_confidence FROM f GROUP BY 1)
+        SELECT count(*) AS n_clips, {", ".join(f"{r(f'avg({c})')} AS {c}" for c in ("mean_persons", "two_persons_share", "one_both_ankles_share", "two_both_ankles_share", "ankle_confidence"))},
+          avg(one_both_ankles_share) >= 0.8 AS meets_one_bar, avg(two_both_ankles_share) >= 0.6 AS meets_two_bar FROM q""",
+)
+def quality_summary(spark, sf):
+    points = keypoints(spark, sf)
+    return rounded(T.quality_summary(T.track_quality(points, frame_table(points))))
+
+
+@query("traj_matrix")
+def traj_matrix(spark, sf):
+    """The features of all clips with label, fold and filled gaps. A clip's label is the first label of its vectors."""
+    frames, found, shooter, defender = assigned(spark, sf)
+    features = T.trajectory_features(found, shooter, defender, frames)
+    vectors = roles.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / (PERSONS * FRAMES)).alias("clip"), "vec_id", "label")
+    labels = vectors.groupBy("clip").agg(F.min_by((F.col("label") % 2).cast("int"), "vec_id").alias("label"))
+    split = L.stratified_split(labels, "clip", "label", 0.2, SEED).select("clip", "fold")
+    return rounded(T.feature_matrix(features, labels, split))
+
+
 @query("traj_roles")
 def traj_roles(spark, sf):
     _, found, _, _ = assigned(spark, sf)

@@ -264,6 +264,39 @@ def rule_grid(spark, sf):
     return rounded(out.select("zone", "overlap", "min_dist", "contact_h", "tp", "fp", "precision", "recall", "score"))
 
 
+GRID_HIT = "(t.zone > g.zone OR t.overlap - 4 >= g.overlap OR (t.min_dist < g.min_dist AND t.contact_h < g.contact_h))"
+
+
+@query(
+    "grid_holdout",
+    f"""WITH t AS (SELECT l_returnflag = 'R' AS truth, l_discount * 5 AS zone, l_linenumber AS overlap, l_tax * 10 AS min_dist, l_quantity / 40 AS contact_h,
+            CASE WHEN md5(l_orderkey || '#{SEED}') < '4' THEN 'val' ELSE 'train' END AS fold, count(*) AS n FROM lineitem GROUP BY ALL), {GRID_SQL},
+        k AS (SELECT fold, g.zone, g.overlap, g.min_dist, g.contact_h, coalesce(sum(n) FILTER (WHERE truth AND {GRID_HIT}), 0) AS tp,
+                coalesce(sum(n) FILTER (WHERE NOT truth AND {GRID_HIT}), 0) AS fp, sum(n) FILTER (WHERE truth) AS pos FROM t CROSS JOIN g GROUP BY ALL),
+        m AS (SELECT *, coalesce(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 0) AS precision, tp / CAST(pos AS DOUBLE) AS recall FROM k),
+        e AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM m),
+        b AS (SELECT zone, overlap, min_dist, contact_h FROM e WHERE fold = 'train'
+              ORDER BY round(f1 - 0.1 * greatest(0, 0.6 - precision), 12) DESC, zone, overlap, min_dist, contact_h LIMIT 1)
+        SELECT fold, zone, overlap, min_dist, contact_h, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, {r('precision')} AS precision,
+          {r('recall')} AS recall, {r('f1')} AS f1 FROM e JOIN b USING (zone, overlap, min_dist, contact_h)""",
+)
+def grid_holdout(spark, sf):
+    """The best grid point of the training fold, and what it gives on either fold."""
+    fold = F.when(F.md5(F.concat(F.col("l_orderkey").cast("string"), F.lit(f"#{SEED}")).cast("binary")) < "4", "val").otherwise("train")
+    li = roles.table(spark, sf, "lineitem").select(
+        fold.alias("fold"), (F.col("l_returnflag") == "R").alias("truth"), (F.col("l_discount") * 5).alias("zone"),
+        (F.col("l_linenumber") - 4).alias("overlap"), (F.col("l_tax") * 10).alias("min_dist"), (F.col("l_quantity") / 40).alias("contact_h"),
+    )
+    grids = [
+        E.rule_grid(li.filter(F.col("fold") == f), F.col("truth"), "zone", "overlap", "min_dist", "contact_h").withColumn("fold", F.lit(f))
+        for f in ("train", "val")
+    ]
+    point = ["zone", "overlap", "min_dist", "contact_h"]
+    best = E.best_grid_point(grids[0]).select(*point)
+    both = grids[0].unionByName(grids[1]).join(best, point, "left_semi")
+    return rounded(both.select("fold", *point, "tp", "fp", "precision", "recall", "f1"))
+
+
 @query(
     "ensemble_vote",
     f"""WITH {SCORED_SQL}, v AS (SELECT truth, grp, tax >= 0.04 AS rules, score AS trees, tax * 12 AS model FROM scored),

@@ -326,6 +326,22 @@ def team_pair_z(spark, sf):
     return rounded(out, z_score=3)
 
 
+@query(
+    "pair_z_summary",
+    f"""{SCORE_SQL}, k AS (SELECT a.actor_id AS actor_a, b.actor_id AS actor_b, n_target - ols_team_sum AS e
+          FROM slot a JOIN slot b ON a.session_id = b.session_id AND a.actor_id < b.actor_id JOIN scored s ON s.session_id = a.session_id),
+        g AS (SELECT avg(e) AS mean_e, count(*) AS n, stddev_samp(e) AS sd FROM k GROUP BY actor_a, actor_b HAVING count(*) >= {PAIR_Z_MIN}),
+        z AS (SELECT CASE WHEN sd > 1e-9 THEN mean_e / (sd / sqrt(n)) END AS z FROM g)
+        SELECT count(*) AS n_pairs, count(*) FILTER (WHERE abs(z) > 1.96) AS n_significant, {r('count(*) * 0.05')} AS n_expected,
+          {r('avg(abs(z))', 3)} AS mean_abs_z FROM z""",
+)
+def pair_z_summary(spark, sf):
+    """How many pairs stand out, against the twentieth that chance alone gives."""
+    res = scored(spark, sf).withColumn("residual", F.col("n_target") - F.col("ols_team_sum"))
+    out = T.team_pair_z(roles.team(spark, sf), res, "session_id", "actor_id", "residual", SIZE, PAIR_Z_MIN)
+    return rounded(T.pair_z_summary(out.withColumn("z_score", F.when(F.col("std_residual") > 1e-9, F.col("z_score")))), mean_abs_z=3)
+
+
 @query(
     "signal_diag",
     f"""{PRIOR_SQL}, {LINE_SQL},
