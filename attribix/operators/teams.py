@@ -24,24 +24,20 @@ def team_long(team: DataFrame, session: str, actor: str) -> DataFrame:
         session, F.row_number().over(over.orderBy(actor)).alias("slot"), actor, F.count(F.lit(1)).over(over).alias("n_actors"))
 
 
-def team_wide(team: DataFrame, session: str, actor: str, size: int) -> DataFrame:
-    """One row per session of exactly ``size`` actors: team size and the sorted actors.
+def team_slots(team: DataFrame, session: str, actor: str, size: int) -> DataFrame:
+    """Members of exact-size teams with their slot, numbered from 1 in actor order.
 
-    Sizes are counted before any array is built, so no array exceeds ``size``.
+    Of any team at most ``size`` + 1 members leave a task, which is enough to tell its size from ``size``.
     """
-    sizes = team_sizes(team, session).filter(F.col("n_actors") == size)
-    arrays = (
-        team.join(sizes.select(session), session, "left_semi")
-        .groupBy(session)
-        .agg(F.array_sort(F.collect_list(actor)).alias("actors"))
-    )
-    return sizes.join(arrays, session)
+    over = Window.partitionBy(session)
+    few = team.select(session, actor).withColumn("slot", F.row_number().over(over.orderBy(actor))).filter(F.col("slot") <= size + 1)
+    return few.withColumn("__n", F.count(F.lit(1)).over(over)).filter(F.col("__n") == size).select(session, "slot", actor)
 
 
-def team_slots(team: DataFrame, session: str, actor: str, size: int) -> DataFrame:
-    """Members of exact-size teams with their slot, numbered from 1 in actor order."""
-    wide = team_wide(team, session, actor, size)
-    return wide.select(session, F.posexplode("actors").alias("slot", actor)).withColumn("slot", F.col("slot") + 1)
+def team_wide(team: DataFrame, session: str, actor: str, size: int) -> DataFrame:
+    """One row per session of exactly ``size`` actors: team size and the sorted actors."""
+    return team_slots(team, session, actor, size).groupBy(session).agg(
+        F.count(F.lit(1)).alias("n_actors"), F.array_sort(F.collect_list(actor)).alias("actors"))
 
 
 def prior_sums(

@@ -217,9 +217,9 @@ def avg_rank(spark, sf):
         {r('greatest(abs(u - na * CAST(nb AS DOUBLE) / 2) - 0.5, 0) / sqrt(na * CAST(nb AS DOUBLE) / 12 * (n + 1 - ties / (n * (n - 1))))')} AS z FROM u""",
 )
 def mann_whitney(spark, sf):
-    rows = baseline_delta(
-        FX.rated(spark, sf).select("subject_id", "season_type", "rate"), "subject_id", "rate", F.col("season_type") == "RS"
-    ).select(F.round("rate_delta", 6).alias("v"), "season_type")
+    rates = checkpointed(FX.rated(spark, sf).select("subject_id", "season_type", "rate"))
+    rows = baseline_delta(rates, "subject_id", "rate", F.col("season_type") == "RS")
+    rows = checkpointed(rows.select(F.round("rate_delta", 6).alias("v"), "season_type"))
     return rounded(S.mann_whitney(rows, "v", F.col("season_type") == "PO", p_values=False))
 
 

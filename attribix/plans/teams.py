@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from attribix.functions.numeric import pearson, per_unit, ratio
 from attribix.operators import models as M
-from attribix.operators import profiles as P
 from attribix.operators import teams as T
 from attribix.operators.keyed import spread_join, value_map
 from attribix.plans import effects as FX
@@ -75,21 +74,23 @@ KEEP = [
 ]
 
 
-def season_actor(spark, sf):
-    by_season = roles.sessions(spark, sf).select("session_id", "season")
-    calls = (
-        roles.events(spark, sf).filter(target()).groupBy("session_id", "actor_id").agg(F.count(F.lit(1)).alias("n"))
-        .join(by_season, "session_id").groupBy("actor_id", "season").agg(F.sum("n").alias("n_events"))
-    )
-    assigned = (
-        roles.team(spark, sf).join(by_season, "session_id")
-        .groupBy("actor_id", "season").agg(F.count(F.lit(1)).alias("n_assigned"))
+def worked(spark, sf):
+    """One written row per (session, actor): its events, and how many count. All that the models read of the events."""
+    ev = roles.events(spark, sf).select("session_id", "actor_id", target().alias("t"))
+    return checkpointed(ev.groupBy("session_id", "actor_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("t").alias("n_target")))
+
+
+def season_actor(spark, sf, rows=None):
+    rows = worked(spark, sf) if rows is None else rows
+    both = (
+        rows.join(roles.sessions(spark, sf).select("session_id", "season"), "session_id")
+        .groupBy("actor_id", "season").agg(F.sum("n_target").alias("n_events"), F.count(F.lit(1)).alias("n_assigned"))
     )
-    return calls, assigned
+    return both.filter("n_events > 0").select("actor_id", "season", "n_events"), both.select("actor_id", "season", "n_assigned")
 
 
-def prior(spark, sf):
-    calls, assigned = season_actor(spark, sf)
+def prior(spark, sf, rows=None):
+    calls, assigned = season_actor(spark, sf, rows)
     return T.prior_profile(calls, assigned, "actor_id", "season", roles.sessions(spark, sf))
 
 
@@ -108,10 +109,11 @@ def dataset(spark, sf):
     The profile has three readers, so it is written once; it holds one row per
     actor and season.
     """
-    profile = checkpointed(prior(spark, sf))
+    rows = worked(spark, sf)
+    profile = checkpointed(prior(spark, sf, rows))
     defaults = T.median_defaults(profile, ["profile_season"], RATES)
     league = T.median_defaults(profile, [], RATES).select(F.struct(*RATES)).scalar()
-    slots = T.team_slots(roles.team(spark, sf), "session_id", "actor_id", SIZE)
+    slots = T.team_slots(rows, "session_id", "actor_id", SIZE)
     by_session = roles.sessions(spark, sf).select("session_id", F.col("season").alias("profile_season"), "season_type")
     looked_up = (
         slots.join(by_session, "session_id")
@@ -123,7 +125,8 @@ def dataset(spark, sf):
         {v: F.coalesce(v, F.col("by_season")[F.col("profile_season")][v], F.col("league")[v]) for v in RATES}
     )
     feats = T.team_features(members, "session_id", RATES, F.col("known"), SIZE)
-    counts = P.session_counts(roles.events(spark, sf), "session_id", target())
+    counts = rows.groupBy("session_id").agg(F.sum("n").alias("n_events"), F.sum("n_target").alias("n_target"))
+    counts = counts.withColumn("target_rate", F.col("n_target") / F.col("n_events"))
     return (
         feats.filter("n_profiled >= 2")
         .join(counts, "session_id")
