@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .shared import LOCAL_NODES, UnionFind, components, fresh
+from .shared import LOCAL_NODES, UnionFind, components, fresh, takes_over
 
 BUDGET = 3
 BLOCKS = 5
@@ -97,6 +97,7 @@ def _hash(word: bytes) -> int:
 
 
 def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    takes_over("lines", _words.clear)
     known = _words.get
     for batch in batches:
         row, place, names, hashes, sizes = [], [], [], [], []

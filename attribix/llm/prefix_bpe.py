@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import takes_over
+
 #: Pieces a worker remembers at most. The frequent ones come early, so full memory is left as it
 #: is until it has failed ``STALE`` times as often; then it starts anew.
 REMEMBERED = 300_000
@@ -315,6 +317,7 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 
 def encoder(path: str, pattern: str) -> Encoder:
     """This worker's encoder of a vocabulary file."""
+    takes_over("bytes", _encoders.clear)
     if (path, pattern) not in _encoders:
         _encoders[path, pattern] = Encoder(Vocabulary.load(path), pattern)
     return _encoders[path, pattern]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +37,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_keepers: dict[str, Callable[[], None]] = {}
+
+
+def takes_over(name: str, forget: Callable[[], None]) -> None:
+    """Called where a task begins. A Python worker serves many stages; what the tasks of one operator have remembered
+    goes when one of another begins."""
+    for other in [k for k in _keepers if k != name]:
+        _keepers.pop(other)()
+    if name not in _keepers:
+        _keepers[name] = forget
+        pa.default_memory_pool().release_unused()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until no column of ``df`` has it."""
     taken, out = {c.lower() for c in df.columns}, []

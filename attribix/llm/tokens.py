@@ -12,6 +12,8 @@ import zlib
 
 import numpy as np
 
+from .shared import takes_over
+
 #: Words and letter runs a worker remembers at most. The frequent ones come early, so a full memory is left as it is
 #: until it has failed ``STALE`` times as often; then it starts anew.
 REMEMBERED = 300_000
@@ -86,6 +88,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 def word_encoder(path: str) -> WordEncoder:
     """This worker's encoder of the vocabulary file."""
+    takes_over("tokens", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
