@@ -189,12 +189,12 @@ def top_k(table: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVOTS
     # Blocks of candidates: rings of a cell, large ones in parts.
     edge = F.create_map(*[F.lit(x) for j, r in radius.items() for x in (j, float(r) + 1e-9)])
     ringed = points.withColumn("ring", F.floor(F.col("d") * RINGS / edge[F.col("cell")]))
-    counted = checkpointed(ringed.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n"))).select(
-        F.col("cell").alias("__c"), F.col("ring").alias("__r"), F.ceil(F.col("n") / BLOCK).alias("shares"))
+    # At most ``pivots`` times ``RINGS`` + 1 counts reach the driver.
+    counted = [((r[0], r[1]), -(-r[2] // BLOCK)) for r in ringed.groupBy("cell", "ring").agg(F.count(F.lit(1))).collect()]
+    shares = F.create_map(*[x for (cell, ring), n in counted for x in (F.lit(cell * (RINGS + 1) + ring), F.lit(n))])
     blocks = checkpointed(
-        ringed.join(counted, (F.col("cell") == F.col("__c")) & (F.col("ring") == F.col("__r")))
-        .withColumn("nth", F.pmod(F.xxhash64("vec_id", "v"), F.col("shares"))).groupBy("cell", "ring", "nth").agg(
-            F.max("d").alias("far"), F.collect_list(F.struct("vec_id", "v")).alias("block")))
+        ringed.withColumn("nth", F.pmod(F.xxhash64("vec_id", "v"), shares[F.col("cell") * (RINGS + 1) + F.col("ring").cast("int")]))
+        .groupBy("cell", "ring", "nth").agg(F.max("d").alias("far"), F.collect_list(F.struct("vec_id", "v")).alias("block")))
     wanted = blocks.select("cell", "ring", "nth", "far").join(limits, "cell").where("far >= least")
     place = F.row_number().over(Window.partitionBy("part").orderBy("cell", "ring", "nth")) - 1
     work = (
