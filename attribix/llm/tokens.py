@@ -33,12 +33,19 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    """Ids as the library gives them with ``add_special_tokens=False``.
+
+    With ``added`` the names of added tokens in a text are those tokens, which is the library's default; without, they
+    are plain text.
+    """
+
+    def __init__(self, path: str, remembered: int = REMEMBERED, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.letters = _byte_letters()
@@ -63,12 +70,16 @@ class WordEncoder:
         ids = self.model.tokenize(shown)
         return self._keep(self.runs, run, np.array([t.id for t in ids], self.dtype).tobytes() if len(ids) > 1 else self.end(ids[0].id))
 
+    def _names_added(self, text: str) -> bool:
+        low = text.lower() if self.added else ""
+        return any(name in low for name in self.added)
+
     def _word(self, word: bytes) -> bytes:
         runs = self.runs
         if word.isalpha():
             run = word.lower().decode()
             ids = runs.get(run) or self._run(run)
-        elif _PLAIN.fullmatch(text := word.decode()):
+        elif _PLAIN.fullmatch(text := word.decode()) and not self._names_added(text):
             ids = b"".join([runs.get(r) or self._run(r) for r in _RUNS.findall(text.lower())])
         else:
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -90,7 +101,7 @@ def word_encoder(path: str) -> WordEncoder:
     """This worker's encoder of the vocabulary file."""
     takes_over("tokens", _encoders.clear)
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path, added=True)
     return _encoders[path]
 
 
