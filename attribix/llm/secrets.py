@@ -3,7 +3,9 @@
 A candidate is a long string of letters and digits that follows a sensitive word on its line. The compressor is primed
 with a dictionary of common identifiers and with the text around the candidate, without the candidate itself. What the
 candidate adds to the compressed size of its lead is its novelty: names, paths and repeated values cost few bytes, keys
-and passwords nearly one byte a character. Candidates that add at least ``NOVELTY`` bytes a character are reported.
+and passwords nearly one byte a character. Candidates that add at least ``NOVELTY`` bytes a character are reported. Long
+ones, of more than ``WHOLE``, are compressed in pieces of at most ``PIECE`` characters, each primed with those before it: in longer runs entropy
+coding makes even random strings of few symbols cheap. The lines of a private key block are judged as one string.
 
 Defined results: a null or empty text has no spans. Repeated rows and null doc_ids come out as they went in. Matches of
 one kind never overlap; spans of different kinds may. An empty table gives an empty result. Further columns are not
@@ -35,12 +37,16 @@ SENSITIVE = (
 )
 _LEAD = re.compile("|".join(w.decode() for w in SENSITIVE), re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}")
+_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*-----", re.ASCII)
+#: Lines of a block, also with line ends written as escapes.
+_BLOCK_LINE = re.compile(r"(?:(?<=\s)|(?<=\\[nr]))[A-Za-z0-9+/=]+(?=\s|\\[nr])")
 _LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 
 #: Characters between the sensitive word and the candidate at most; characters of surrounding text on each side.
 REACH = 48
 AROUND = 1024
 NOVELTY = 0.7
+WHOLE, PIECE = 64, 48
 
 IDENTIFIERS = b"""
 access account address algorithm alias android application arguments array assert async attribute author authorization
@@ -70,11 +76,16 @@ def novelty(text: str, start: int, end: int) -> float:
     value = text[start:end]
     before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
     primer = IDENTIFIERS + (after + "\n" + before).replace(value, "").encode()
-    packer = zstandard.ZstdCompressor(
-        level=3, dict_data=zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-        write_content_size=False, write_checksum=False, write_dict_id=False)
-    lead = before[-16:].encode()
-    return (len(packer.compress(lead + value.encode())) - len(packer.compress(lead))) / len(value)
+    pieces = 1 if len(value) <= WHOLE else -(-len(value) // PIECE)
+    cuts = [len(value) * i // pieces for i in range(pieces + 1)]
+    lead, added = before[-16:].encode(), 0
+    for lo, hi in zip(cuts, cuts[1:]):
+        known = primer + value[max(0, lo - AROUND) : lo].encode()
+        packer = zstandard.ZstdCompressor(
+            level=3, dict_data=zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+            write_content_size=False, write_checksum=False, write_dict_id=False)
+        added += len(packer.compress(lead + value[lo:hi].encode())) - len(packer.compress(lead))
+    return added / len(value)
 
 
 def spans_of(text: str | None) -> list[tuple[str, int, int]]:
@@ -94,8 +105,11 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def _novel(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
-    """Candidates of each sensitive word, up to its line's end; none that touches a base span."""
+    """Lines of key blocks, and candidates of each sensitive word, up to its line's end; none that touches a base span."""
     taken, done = sorted((s, e) for _, s, e in base), 0
+    block = [(s, e) for s, e in _key_blocks(text) if not any(x < e and s < y for x, y in taken)]
+    yield from (("novel", s, e) for s, e in block)
+    taken += block
     for word in _LEAD.finditer(text):
         stop = text.find("\n", word.end())
         stop = len(text) if stop < 0 else stop
@@ -111,6 +125,21 @@ def _novel(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str, i
                 yield "novel", start, end
 
 
+def _key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the lines of private key blocks that hold a novel string."""
+    end = 0
+    for head in _BLOCK.finditer(text):
+        if head.start() < end:
+            continue
+        end = text.find("-----END", head.end())
+        if end < 0:
+            return
+        lines = [m.span() for m in _BLOCK_LINE.finditer(text, head.end(), end)]
+        value = "".join([text[s:e] for s, e in lines])
+        if len(value) >= 16 and novelty(text[: head.end()] + value + text[end:], head.end(), head.end() + len(value)) >= NOVELTY:
+            yield from lines
+
+
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
