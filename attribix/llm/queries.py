@@ -127,7 +127,7 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_fuzzy_lines")
 def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fuzzy_lines.deduplicated(table(spark, sf_dir, "documents"))
+    rows = fuzzy_lines.deduplicated(table(spark, sf_dir, "documents"), bands=fuzzy_lines.BANDS)
     return rows.select("doc_id", "n_lines", "n_removed", "text")
 
 

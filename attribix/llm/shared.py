@@ -6,10 +6,10 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root, configure
+from ..session import checkpoint_root, checkpointed, configure
 
 #: Rows of one Arrow batch; whole texts go through Python, so a batch is kept to a few MB.
 BATCH_ROWS = "256"
@@ -153,3 +153,40 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             break
         last = now
     return edges
+
+
+#: Rounds in which the members of a key are held against one of them, before all that are still apart meet.
+LEADERS = 1
+
+
+def linked_by_keys(met: DataFrame, near: Column, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b) of nodes that share a key k, pass ``near`` (on a_size and b_size) and are let through by ``verified``.
+
+    ``met`` has node, size, k. Pairs that follow from others are left out: a large group of like nodes is first linked
+    to few of its members, and only pairs that no links connect are looked at in the end.
+    """
+    met = checkpointed(met.distinct())
+    links, named = None, met.withColumn("root", F.col("node"))
+    for turn in range(LEADERS + 1):
+        if turn < LEADERS:
+            lead = checkpointed(named.groupBy(F.col("k").alias("__k")).agg(
+                F.min_by(F.struct("node", "size", "root"), F.xxhash64("node", F.lit(turn))).alias("lead"),
+                F.min("root").alias("__low"), F.max("root").alias("__high")).where("__low <> __high").select("__k", "lead.*")
+                .toDF("__k", "other", "b_size", "b_root"))
+            both = named.withColumnRenamed("size", "a_size").join(lead, F.col("k") == F.col("__k")).where("root <> b_root")
+        else:
+            open_keys = checkpointed(named.groupBy(F.col("k").alias("__o")).agg(
+                F.min("root").alias("__low"), F.max("root").alias("__high")).where("__low <> __high").select("__o"))
+            left = checkpointed(named.join(open_keys, F.col("k") == F.col("__o")).select("node", "size", "k", "root"))
+            right = left.toDF("other", "b_size", "__k", "b_root")
+            both = left.withColumnRenamed("size", "a_size").join(right, F.col("k") == F.col("__k")).where(
+                "node < other and root <> b_root")
+        pairs = checkpointed(both.where(near).select(
+            F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+        found = checkpointed(verified(pairs))
+        links = found if links is None else links.union(found)
+        if turn < LEADERS:
+            roots = components(links, "a", "b").toDF("__n", "__r")
+            named = checkpointed(met.join(roots, F.col("node") == F.col("__n"), "left").select(
+                "node", "size", "k", F.coalesce("__r", "node").alias("root")))
+    return links

@@ -1,0 +1,41 @@
+"""The wide search against edit similarity alone, without a filter by fingerprints."""
+
+import random
+
+from attribix.llm import fuzzy_lines as L
+from attribix.llm.shared import UnionFind
+
+
+def edited(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(2, 9)))
+    rows = []
+    for _ in range(60):
+        words = [word() for _ in range(rng.choice([3, 6, 10, 15, 20, 30, 50]))]
+        rows.append(" ".join(words))
+        for _ in range(rng.choice([1, 1, 3])):
+            copy = list(words)
+            copy[rng.randrange(len(copy))] = word()
+            rows.append(" ".join(copy))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_a_changed_word_is_found(make):
+    """Groups by edit similarity of all pairs; the search may miss few of them and joins none that are apart."""
+    rows = edited(3)
+    found = UnionFind()
+    for i, a in rows:
+        for j, b in rows[:i]:
+            if L.alike(a, b):
+                found.join(j, i)
+    want = {i for i, _ in rows if found.root(i) != i}
+    got = {r.doc_id for r in L.deduplicated(make(rows), bands=L.BANDS).where("n_removed > 0").collect()}
+    assert got <= want
+    assert len(got) >= 0.95 * len(want)
+
+
+def test_the_stage_takes_a_changed_word(make):
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen".split()
+    rows = [(i, " ".join([*words[:i], f"other{i}", *words[i + 1 :]])) for i in range(1, 12)]
+    assert sum(r.text != "" for r in L.kept_lines(make(rows)).collect()) == 1
