@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fill_middle, lexical
+from . import fill_middle, html_extract, lexical
 from .queries import query
 from .shared import table
 
@@ -69,3 +70,9 @@ select * from ranked where rank <= {lexical.K}
 @query("op13_block_max_search", SEARCH_SQL)
 def op13_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top_documents(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+@query("op12_block_labeller")
+def op12_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_extract.extracted(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
