@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attribix.operators import labels as L
 from attribix.operators import trajectory as T
-from attribix.plans import roles
+from attribix.plans import keypoint_sql, roles
 from attribix.plans.registry import query
 from attribix.plans.shape import r, rounded
 from attribix.session import checkpointed
@@ -90,18 +90,22 @@ def quality_summary(spark, sf):
     return rounded(T.quality_summary(T.track_quality(points, frame_table(points))))
 
 
-@query("traj_matrix")
-def traj_matrix(spark, sf):
+def matrix(spark, sf):
     """The features of all clips with label, fold and filled gaps. A clip's label is the first label of its vectors."""
     frames, found, shooter, defender = assigned(spark, sf)
     features = T.trajectory_features(found, shooter, defender, frames)
     vectors = roles.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / (PERSONS * FRAMES)).alias("clip"), "vec_id", "label")
     labels = vectors.groupBy("clip").agg(F.min_by((F.col("label") % 2).cast("int"), "vec_id").alias("label"))
     split = L.stratified_split(labels, "clip", "label", 0.2, SEED).select("clip", "fold")
-    return rounded(T.feature_matrix(features, labels, split))
+    return T.feature_matrix(features, labels, split)
+
+
+@query("traj_matrix", keypoint_sql.MATRIX_SQL)
+def traj_matrix(spark, sf):
+    return rounded(matrix(spark, sf))
 
 
-@query("traj_roles")
+@query("traj_roles", keypoint_sql.ROLES_SQL)
 def traj_roles(spark, sf):
     _, found, _, _ = assigned(spark, sf)
     return rounded(
@@ -112,7 +116,7 @@ def traj_roles(spark, sf):
     )
 
 
-@query("traj_features")
+@query("traj_features", keypoint_sql.FEATURES_SQL)
 def traj_features(spark, sf):
     frames, found, shooter, defender = assigned(spark, sf)
     return rounded(T.trajectory_features(found, shooter, defender, frames))
