@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attribix.functions.numeric import ratio
 from attribix.operators.keyed import value_map
-from attribix.session import checkpoint_root, checkpointed
+from attribix.session import checkpoint_root, checkpointed, shared_folder
 
 # Hyperparameters of the published classifiers.
 LOGISTIC_ROUNDS = 1000
@@ -91,8 +92,8 @@ def perceptron(
     return _positive(best_model.transform(apply_to)).drop("__held")
 
 
-def boosted_out_of_fold(df: DataFrame, label: str, fold: str, k: int, rounds: int = GBT_ROUNDS, seed: int = 42) -> DataFrame:
-    """Score of every row from the trees that did not see its fold. Class weights are those of the rows a fold is fitted on.
+def boosted_models(df: DataFrame, label: str, fold: str, folds: Sequence[int], rounds: int = GBT_ROUNDS, seed: int = 42) -> dict[int, GBTClassificationModel]:
+    """Trees of each fold, fitted on the rows of all others with class weights of those rows.
 
     The folds are fitted side by side, as each keeps only a part of the cluster busy.
     """
@@ -100,18 +101,54 @@ def boosted_out_of_fold(df: DataFrame, label: str, fold: str, k: int, rounds: in
     rows = checkpointed(df)
     gbt = GBTClassifier(labelCol=label, weightCol="weight", maxIter=rounds, seed=seed, checkpointInterval=10, **GBT)
 
-    def one(i: int) -> DataFrame:
-        model = gbt.fit(checkpointed(balanced_weights(rows.filter(F.col(fold) != i), label)))
-        return _positive(model.transform(rows.filter(F.col(fold) == i)))
+    def one(i: int) -> GBTClassificationModel:
+        return gbt.fit(checkpointed(balanced_weights(rows.filter(F.col(fold) != i), label)))
+
+    with ThreadPool(len(folds)) as pool:
+        return dict(zip(folds, pool.map(inheritable_thread_target(df.sparkSession)(one), folds)))
+
+
+def boosted_scores(df: DataFrame, models: Mapping[int, GBTClassificationModel], fold: str) -> DataFrame:
+    """Score of every row from the trees that did not see its fold."""
+    out = None
+    for i, model in models.items():
+        part = _positive(model.transform(df.filter(F.col(fold) == i)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
 
-    with ThreadPool(k) as pool:
-        parts = pool.map(inheritable_thread_target(df.sparkSession)(one), range(k))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def boosted_out_of_fold(df: DataFrame, label: str, fold: str, k: int, rounds: int = GBT_ROUNDS, seed: int = 42) -> DataFrame:
+    rows = checkpointed(df)
+    return boosted_scores(rows, boosted_models(rows, label, fold, range(k), rounds, seed), fold)
+
+
+def tree_splits(spark: SparkSession, models: Mapping[int, GBTClassificationModel], names: Sequence[str]) -> DataFrame:
+    """Every split of every tree as a row: fold, tree, node, feature, threshold, gain, and gain times the weight of its rows.
+
+    A fitted model is written to the shared folder and its node table read back, so any number of nodes can be aggregated.
+    """
+    name = F.array(*[F.lit(n) for n in names])
+    out = None
+    for fold, model in models.items():
+        path = shared_folder(spark, "trees")
+        model.write().save(path)
+        nodes = spark.read.parquet(f"{path}/data")
+        node = F.col("nodeData")
+        part = nodes.filter(node["leftChild"] >= 0).select(
+            F.lit(fold).alias("fold"), F.col("treeID").alias("tree"), node["id"].alias("node"),
+            name[node["split"]["featureIndex"]].alias("feature"), node["split"]["leftCategoriesOrThreshold"][0].alias("threshold"),
+            node["gain"].alias("gain"), (node["gain"] * node["impurityStats"][0]).alias("weighted_gain"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def importances(model, names: Sequence[str]) -> list[tuple[str, float]]:
-    """Feature names with their gain shares, largest first."""
-    return sorted(zip(names, model.featureImportances.toArray().tolist()), key=lambda t: (-t[1], t[0]))
+def gain_importances(splits: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Per fold and feature: splits, mean gain of a split, and the share of the fold's weighted gain; unused features have 0."""
+    found = splits.groupBy("fold", "feature").agg(
+        F.count(F.lit(1)).alias("n_splits"), F.avg("gain").alias("mean_gain"), F.sum("weighted_gain").alias("total_gain"))
+    every = found.select("fold").distinct().select("fold", F.explode(F.array(*[F.lit(n) for n in names])).alias("feature"))
+    whole = found.groupBy("fold").agg(F.sum("total_gain").alias("__all"))
+    return (
+        every.join(found, ["fold", "feature"], "left").join(whole, "fold")
+        .select("fold", "feature", F.coalesce("n_splits", F.lit(0)).alias("n_splits"), F.coalesce("mean_gain", F.lit(0.0)).alias("mean_gain"),
+                F.coalesce(ratio("total_gain", "__all"), F.lit(0.0)).alias("share")))

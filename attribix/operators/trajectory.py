@@ -38,6 +38,9 @@ FEATURES = (
     "shooter_defender_distance_at_peak", "shooter_vertical_symmetry", "defender_closing_speed",
     "landing_zone_incursion_onset", "role_assignment_confidence", "has_missing_data",
 )
+#: Features that say how the others were found; no model learns from them.
+EXCLUDED = ("has_missing_data", "role_assignment_confidence", "shooter_landing_frame_offset")
+LEARNED = tuple(f for f in FEATURES if f not in EXCLUDED)
 PROGRESS_BLOCK = 4096
 
 

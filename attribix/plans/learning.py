@@ -39,14 +39,6 @@ def embed_mlp(spark, sf):
     return rounded(C.perceptron(train, val, "target", 64).select("vec_id", "target", "score"))
 
 
-@query("gbt_oof")
-def gbt_oof(spark, sf):
-    rows = examples(spark, sf)
-    fold = L.stratified_kfold(rows.select("vec_id", "target"), "vec_id", "target", 5, SEED).select("vec_id", "fold")
-    out = C.boosted_out_of_fold(rows.join(fold, "vec_id"), "target", "fold", 5, seed=SEED)
-    return rounded(out.select("vec_id", "target", "fold", "score"))
-
-
 @query(
     "stream_profile",
     """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n_events,

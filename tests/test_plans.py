@@ -9,7 +9,7 @@ from attribix.plans import catalog
 from attribix.session import configure
 
 SF = "/root/testdata/sf0.001"
-EAGER = {"embed_logreg", "embed_mlp", "gbt_oof", "stream_profile", "stream_ingest"}
+EAGER = {"embed_logreg", "embed_mlp", "gbt_oof", "gbt_importances", "stacked_vote", "stream_profile", "stream_ingest"}
 
 
 def plan(df):
