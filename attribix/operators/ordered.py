@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attribix.functions.numeric import col, order_bucket
+from attribix.operators.keyed import spread_join
+from attribix.session import checkpointed
 
 CELL = "__cell"
 
@@ -37,6 +39,38 @@ def _over_cells(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*(group or [F.lit(0)])).orderBy(f"{CELL}.b")
 
 
+#: Rows of a bucket beyond which it is cut at its next level.
+BUCKET_ROWS = 1_000_000
+
+
+def with_split_buckets(
+    df: DataFrame, keys: Sequence[str], levels: Sequence[Column], bound: int = BUCKET_ROWS, name: str = "bucket"
+) -> DataFrame:
+    """Add a bucket that is as fine as the rows need: a group's stretch of more than ``bound`` rows is cut at the next level.
+
+    ``levels`` go from coarse to fine and each must not decrease along the order among rows with equal earlier levels. The
+    rows are counted by the first level; only stretches that are too long are counted by the next one, so a table without
+    any costs one aggregation. The bucket is a struct of the levels, null below the level a row needs. At most one row in
+    ``bound`` is a long stretch, so the tables joined here stay small; the rows are dealt over parts in these joins.
+    """
+    out = df.withColumn("__open", F.lit(True))
+    used: list[Column] = []
+    for i, level in enumerate(levels):
+        out = out.withColumn(f"__l{i}", F.when(F.col("__open"), level))
+        used.append(F.col(f"__l{i}"))
+        if i + 1 == len(levels):
+            break
+        prefix = F.struct(*[F.col(k).alias(f"k{n}") for n, k in enumerate(keys)], *[u.alias(f"l{n}") for n, u in enumerate(used)])
+        marked = out.withColumn("__prefix", prefix)
+        long = checkpointed(
+            marked.filter("__open").groupBy("__prefix").agg(F.count(F.lit(1)).alias("__c")).filter(F.col("__c") > bound)
+            .select("__prefix", F.lit(True).alias("__long")))
+        if long.isEmpty():
+            break
+        out = spread_join(marked, long, ["__prefix"]).withColumn("__open", F.col("__open") & F.coalesce("__long", F.lit(False))).drop("__prefix", "__long")
+    return out.withColumn(name, F.struct(*[u.alias(f"l{n}") for n, u in enumerate(used)])).select(*df.columns, name)
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],

@@ -13,9 +13,10 @@ from attribix.plans.shape import r, rounded
 POSITION_BLOCK = 4096
 
 
-def day():
-    """Bucket of an event: its day, which never decreases along the event order."""
-    return F.date_trunc("DAY", F.col("ts").cast("timestamp"))
+def event_levels():
+    """Ever shorter stretches of the event order: day, hour, second, instant, and leading bits of the id among events of one instant."""
+    at = F.col("ts").cast("timestamp")
+    return [F.date_trunc("DAY", at), F.date_trunc("HOUR", at), F.date_trunc("SECOND", at), at, *[F.shiftright("event_id", n) for n in (40, 30, 20, 10)]]
 
 
 def line_bucket():
@@ -26,6 +27,11 @@ def stream_events(spark, sf):
     return roles.table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value")
 
 
+def bucketed(rows, bound=O.BUCKET_ROWS):
+    """Events with a bucket within their user; a user's busy day, hour or second is cut further."""
+    return O.with_split_buckets(rows, ["user_id"], event_levels(), bound)
+
+
 def lines(spark, sf):
     return roles.events(spark, sf).select("session_id", "pos", "part_id", "actor_id", "event_type", "status")
 
@@ -42,7 +48,7 @@ LINE_ORDER = ["pos", "part_id", "actor_id"]
 )
 def seq_exact_n(spark, sf):
     out = Q.followed_by_exactly(
-        stream_events(spark, sf), ["user_id"], ["ts", "event_id"], day(), "event_type", "purchase", "view", 3, ["event_id", "value"]
+        bucketed(stream_events(spark, sf)), ["user_id"], ["ts", "event_id"], F.col("bucket"), "event_type", "purchase", "view", 3, ["event_id", "value"]
     )
     return out.select("user_id", "event_id", "next_event_id", "next_value")
 
@@ -76,7 +82,8 @@ def first_match(spark, sf):
        SELECT user_id, CAST(max(len) AS BIGINT) AS longest, CAST(least(max(len), 2) AS BIGINT) AS longest_parity FROM c GROUP BY 1""",
 )
 def longest_run(spark, sf):
-    out = O.longest_run(stream_events(spark, sf).select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], day(), F.col("value") > 20)
+    rows = bucketed(stream_events(spark, sf).select("user_id", "ts", "event_id", "value"))
+    out = O.longest_run(rows, ["user_id"], ["ts", "event_id"], F.col("bucket"), F.col("value") > 20)
     return out.withColumn("longest_parity", F.least("longest", F.lit(2).cast("bigint")))
 
 
@@ -87,8 +94,8 @@ def longest_run(spark, sf):
        SELECT user_id, event_id, best, prev IS NULL OR value > prev AS is_best FROM e""",
 )
 def running_best(spark, sf):
-    rows = stream_events(spark, sf).select("user_id", "event_id", "ts", "value")
-    out = O.running_max(rows, ["user_id"], ["ts", "event_id"], day(), "value", "best", "prev")
+    rows = bucketed(stream_events(spark, sf).select("user_id", "event_id", "ts", "value"))
+    out = O.running_max(rows, ["user_id"], ["ts", "event_id"], F.col("bucket"), "value", "best", "prev")
     return out.select("user_id", "event_id", "best", (F.col("prev").isNull() | (F.col("value") > F.col("prev"))).alias("is_best"))
 
 

@@ -4,11 +4,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attribix.functions.numeric import order_bucket
 from attribix.operators import ordered as O
 from attribix.operators import sequence as Q
+from attribix.plans import sequences
 
 
 def skewed(n=400, seed=1):
@@ -148,3 +150,51 @@ def test_close_pairs_stay_few(spark, n):
     assert Q.near_pairs(cells, ["g"], "x", "y").count() <= 4 * n
     best = Q.closest_pair(places.withColumnRenamed("a", "i"), ["g"], "i", "x", "y").first()
     assert (best.i_a, best.i_b, best.dist) == (0, 2, 2.0)
+
+
+def busy(n=3000):
+    """One user's events within one second, many of them at one instant, and some events of others."""
+    rnd = random.Random(12)
+    rows = [("hot", 1_700_000_000_000_000 + rnd.choice([0, 0, 0, 7, 250_000, 999_999]), i * 3) for i in range(n)]
+    rows += [(rnd.choice(["a", None]), 1_700_000_000_000_000 + rnd.randrange(10**12), 10_000 + i) for i in range(400)]
+    return [(k, t, i, float(rnd.randint(0, 50)), rnd.choice(["purchase", "view", "view"])) for k, t, i in rows]
+
+
+def busy_frame(spark):
+    shape = "user_id string, us long, event_id long, value double, event_type string"
+    return spark.createDataFrame(busy(), shape).withColumn("ts", F.timestamp_micros("us"))
+
+
+@pytest.mark.parametrize("bound", [40, 1_000_000])
+def test_a_busy_second_is_cut(spark, bound):
+    rows = busy_frame(spark)
+    cut = sequences.bucketed(rows, bound)
+    assert cut.columns == [*rows.columns, "bucket"]
+    sizes = [r["count"] for r in cut.groupBy("user_id", "bucket").count().collect()]
+    assert sum(sizes) == 3400
+    if bound == 40:
+        # 2^10 / 3 ids share the finest level; every other stretch is within the bound.
+        assert max(sizes) <= 342 and len(sizes) > 15
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    backwards = cut.withColumn("before", F.lag("bucket").over(order)).filter("before > bucket").count()
+    assert backwards == 0
+
+
+def test_cut_buckets_change_no_result(spark):
+    rows = busy_frame(spark)
+    cut, whole = sequences.bucketed(rows, 40), rows.withColumn("bucket", F.lit(0))
+    keys, order, at = ["user_id"], ["ts", "event_id"], F.col("bucket")
+
+    def same(make):
+        a, b = (sorted(map(repr, make(df).drop("bucket").collect())) for df in (cut, whole))
+        assert a == b and a
+
+    same(lambda df: O.longest_run(df, keys, order, at, F.col("value") > 20))
+    same(lambda df: O.running_max(df, keys, order, at, "value", "best", "prev"))
+    same(lambda df: Q.followed_by_exactly(df, keys, order, at, "event_type", "purchase", "view", 3, ["event_id", "value"]))
+
+
+def test_few_rows_cost_one_aggregation(spark):
+    cut = sequences.bucketed(busy_frame(spark))
+    assert len(cut.schema["bucket"].dataType.fields) == 1
+    assert sequences.bucketed(busy_frame(spark).filter("false")).count() == 0
