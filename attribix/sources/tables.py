@@ -80,6 +80,25 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str], files: int = 1) -> None:
+    """Write the partitions that ``df`` has rows of and leave all others as they are; the first run creates the table.
+
+    The rows of a partition are dealt over ``files`` tasks, so a large one is not written by a single task. A repeated
+    write of the same rows gives the same table.
+    """
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+    dealt = df.repartition(*[F.col(c) for c in partition_by], part)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
+def read_partitions(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table of :func:`replace_partitions` with a declared schema, partition columns included.
+
+    Filters on partition columns, also those that come from a joined table, decide which folders are read.
+    """
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
