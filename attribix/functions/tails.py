@@ -1,83 +1,98 @@
-"""Tail probabilities for statistics that are already aggregated to a few rows."""
+"""Tail probabilities as column expressions, for statistics that are already aggregated to a few rows.
+
+Series and continued fractions run as ``aggregate`` over a sequence whose length follows from the arguments.
+"""
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_EPS = 3e-16
-_TINY = 1e-300
+from attribix.functions.numeric import col
+
+#: Arguments of the log gamma series are moved up by so much first.
+SHIFT = 8
+TINY = 1e-300
+#: Standard deviations beyond which a normal tail is below any printed digit.
+FAR = 12.0
+
 
+def log_gamma(x: Column) -> Column:
+    """ln Gamma for positive x: Stirling's series beyond ``SHIFT``."""
+    y = x + SHIFT
+    low = x
+    for i in range(1, SHIFT):
+        low = low * (x + i)
+    y2 = y * y
+    series = (1 / F.lit(12.0) - (1 / F.lit(360.0) - (1 / F.lit(1260.0) - 1 / (1680 * y2)) / y2) / y2) / y
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(low)
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > _TINY else _TINY)
-    h = d
-    for m in range(1, 1000):
-        for num in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 + num * d
-            d = 1.0 / (d if abs(d) > _TINY else _TINY)
-            c = 1.0 + num / c
-            c = c if abs(c) > _TINY else _TINY
-            h *= d * c
-        if abs(d * c - 1.0) < _EPS:
-            break
-    return h
 
+def _away(v: Column) -> Column:
+    """v, kept away from zero."""
+    return F.when(F.abs(v) < TINY, F.lit(TINY)).otherwise(v)
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function; its terms grow in number like the root of the larger parameter."""
+    terms = F.sequence(F.lit(1), (F.lit(60) + F.ceil(4 * F.sqrt(F.greatest(a, b)))).cast("int"))
+    first = 1 / _away(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
 
-def t_two_sided(t: float, df: float) -> float:
-    return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
+    def step(acc, top):
+        d = 1 / _away(1 + top * acc["d"])
+        c = _away(1 + top / acc["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
 
+    def both(acc, m):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        # A transform gives the inner step its own value, so that it is worked out once.
+        inner = F.transform(F.array(step(acc, even)), lambda half: step(half, odd))
+        return inner[0]
 
-def f_upper(f: float, df1: float, df2: float) -> float:
-    return incomplete_beta(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * f))
+    return F.aggregate(terms, start, both)["h"]
 
 
-def normal_two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2.0))
+def incomplete_beta(a: Column, b: Column, x: Column, rest: Column) -> Column:
+    """Regularised incomplete beta function at x; ``rest`` is 1 - x, given apart as it may be tiny."""
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(rest))
+    near = x < (a + 1) / (a + b + 2)
+    inside = F.when(near, front * _beta_fraction(a, b, x) / a).otherwise(1 - front * _beta_fraction(b, a, rest) / b)
+    return F.when(x <= 0, 0.0).when(rest <= 0, 1.0).otherwise(F.least(F.greatest(inside, F.lit(0.0)), F.lit(1.0)))
 
 
-def correlation_p(r: float, n: float) -> float | None:
-    """Two-sided p of a correlation, from the t distribution with n-2 degrees."""
-    if r is None or n is None or math.isnan(r) or n < 3:
-        return None
-    if abs(r) >= 1.0:
-        return 0.0
-    return t_two_sided(r * math.sqrt((n - 2) / (1.0 - r * r)), n - 2)
+def t_two_sided(t: str | Column, df: str | Column) -> Column:
+    t, df = col(t).cast("double"), col(df).cast("double")
+    total = df + t * t
+    return F.when(df > 0, incomplete_beta(df / 2, F.lit(0.5), df / total, t * t / total))
 
 
-def _rowwise(fn, *series: pd.Series) -> pd.Series:
-    return pd.Series([None if any(pd.isna(v) for v in row) else fn(*row) for row in zip(*series)], dtype="float64")
+def p_correlation(r: str | Column, n: str | Column) -> Column:
+    """Two-sided p of a correlation, from the t distribution with n - 2 degrees of freedom."""
+    r, n = col(r).cast("double"), col(n).cast("double")
+    inside = incomplete_beta((n - 2) / 2, F.lit(0.5), 1 - r * r, r * r)
+    return F.when(r.isNotNull() & (n > 2), F.when(F.abs(r) >= 1, 0.0).otherwise(inside))
 
 
-@F.pandas_udf(T.DoubleType())
-def p_correlation(r: pd.Series, n: pd.Series) -> pd.Series:
-    return _rowwise(correlation_p, r, n)
+def p_f(f: str | Column, df1: str | Column, df2: str | Column) -> Column:
+    """Upper tail of the F distribution."""
+    f, d1, d2 = (col(c).cast("double") for c in (f, df1, df2))
+    total = d2 + d1 * f
+    return F.when(f.isNotNull() & (d1 > 0) & (d2 > 0), incomplete_beta(d2 / 2, d1 / 2, d2 / total, d1 * f / total))
 
 
-@F.pandas_udf(T.DoubleType())
-def p_normal(z: pd.Series) -> pd.Series:
-    return _rowwise(normal_two_sided, z)
+def p_normal(z: str | Column) -> Column:
+    """Two-sided tail of the standard normal distribution: the error function's series without cancelling terms."""
+    x = F.abs(col(z).cast("double")) / math.sqrt(2)
+    start = F.struct(x.alias("term"), x.alias("sum"))
 
+    def step(acc, n):
+        term = acc["term"] * 2 * x * x / (2 * n + 1)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-@F.pandas_udf(T.DoubleType())
-def p_f(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    return _rowwise(f_upper, f, df1, df2)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, step)["sum"]
+    inside = 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * series
+    return F.when(x > FAR / 2, 0.0).when(x.isNotNull(), F.greatest(inside, F.lit(0.0)))

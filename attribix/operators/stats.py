@@ -6,13 +6,16 @@ Ranks are computed on counted distinct values, so ties cost one row each.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attribix.functions.numeric import col, order_bucket, pearson, ratio
 from attribix.functions.tails import p_correlation, p_f, p_normal
 from attribix.operators.ordered import average_ranks, exact_quantiles, running_totals
+from attribix.session import checkpointed
 
 
 def stack_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], keep: Sequence[str] = ()) -> DataFrame:
@@ -48,6 +51,7 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), min_n: int =
             ratio(F.sum(c * dx * dy), F.sqrt(F.sum(c * dx * dx)) * F.sqrt(F.sum(c * dy * dy))).alias("spearman_rho"),
         )
         .filter(F.col("n") >= min_n)
+        .withColumn("spearman_p", p_correlation("spearman_rho", "n"))
     )
 
 
@@ -57,31 +61,51 @@ def _point_ranks(points: DataFrame, by: Sequence[str], value: str, name: str) ->
     return cum.select(*by, value, "n_group", (F.col("__cum") - (F.col("__t") - 1) / F.lit(2.0)).alias(name))
 
 
-def correlations(stacked: DataFrame, by: Sequence[str], min_n: int = 10, p_values: bool = True) -> DataFrame:
-    """Pearson and Spearman for each stacked metric pair with at least ``min_n`` rows."""
+def correlations(stacked: DataFrame, by: Sequence[str], min_n: int = 10) -> DataFrame:
+    """Pearson and Spearman with their p values for each stacked metric pair with at least ``min_n`` rows."""
     keys = [*by, "x", "y"]
     lin = stacked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson("vx", "vy").alias("pearson_r")).filter(F.col("n") >= min_n)
-    out = lin.join(spearman(stacked, "vx", "vy", keys).drop("n"), keys)
-    if not p_values:
-        return out
-    n = F.col("n").cast("double")
-    return out.withColumn("pearson_p", p_correlation("pearson_r", n)).withColumn("spearman_p", p_correlation("spearman_rho", n))
+    out = lin.join(spearman(stacked, "vx", "vy", keys).drop("n", "spearman_p"), keys)
+    return out.withColumn("pearson_p", p_correlation("pearson_r", "n")).withColumn("spearman_p", p_correlation("spearman_rho", "n"))
 
 
-def mann_whitney(df: DataFrame, value: str, in_a: Column, p_values: bool = True) -> DataFrame:
-    """Two-sided U test of the rows in group a against the rest: one row.
+#: Both samples below this size and no ties: the exact distribution of U. This is the published rule of the statistic.
+EXACT_BELOW = 50
 
-    The p value is the tie-corrected normal approximation with continuity
-    correction; exact tables for tiny tie-free samples are not included.
+
+@lru_cache(None)
+def _u_shares(n: int, m: int) -> np.ndarray:
+    """Share of the arrangements of n and m untied values that have each U, by the side of the largest value."""
+    if n == 0 or m == 0:
+        return np.ones(1)
+    out = np.zeros(n * m + 1)
+    out[m:] += _u_shares(n - 1, m) * (n / (n + m))
+    out[: n * (m - 1) + 1] += _u_shares(n, m - 1) * (m / (n + m))
+    return out
+
+
+def _exact_tails(sizes: DataFrame) -> DataFrame:
+    """(n_a, n_b, tails): for each u the two-sided p of a U at least so far from the middle. Sizes are below ``EXACT_BELOW``."""
+    found = sizes.select("n_a", "n_b").distinct().collect()  # at most EXACT_BELOW squared
+    rows = [(a, b, np.minimum(1.0, 2 * np.cumsum(_u_shares(a, b)[::-1])[::-1]).tolist()) for a, b in found]
+    return sizes.sparkSession.createDataFrame(rows, "n_a long, n_b long, tails array<double>")
+
+
+def mann_whitney(df: DataFrame, value: str, in_a: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Two-sided U test of the rows in sample a against the rest: one row for each group of ``by``.
+
+    Small samples without ties have the exact p value, all others that of the tie-corrected normal approximation with
+    continuity correction; ``exact`` says which.
     """
-    rows = df.select(F.col(value).cast("double").alias("v"), in_a.alias("a")).filter("v IS NOT NULL AND a IS NOT NULL")
-    counted = rows.groupBy("v").agg(
+    by = list(by)
+    rows = df.select(*by, F.col(value).cast("double").alias("v"), in_a.alias("a")).filter("v IS NOT NULL AND a IS NOT NULL")
+    counted = rows.groupBy(*by, "v").agg(
         F.count_if("a").alias("na"), F.count_if(~F.col("a")).alias("nb"), F.count(F.lit(1)).alias("t")
     )
-    ranked = running_totals(counted, [], ["v"], order_bucket("v"), {"cum": F.col("t")})
+    ranked = running_totals(counted, by, ["v"], order_bucket("v"), {"cum": F.col("t")})
     rank = F.col("cum") - (F.col("t") - 1) / F.lit(2.0)
     t = F.col("t").cast("double")
-    s = ranked.agg(
+    s = ranked.groupBy(*by).agg(
         F.sum("na").alias("n_a"),
         F.sum("nb").alias("n_b"),
         ratio(F.sum(F.col("na") * F.col("v")), F.sum("na")).alias("mean_a"),
@@ -96,16 +120,22 @@ def mann_whitney(df: DataFrame, value: str, in_a: Column, p_values: bool = True)
     s = s.withColumn("u", u).withColumn(
         "z", ratio(F.greatest(F.abs(F.col("u") - na * nb / 2) - 0.5, F.lit(0.0)), F.sqrt(var))
     )
-    med = exact_quantiles(rows, ["a"], "v", {"med": 0.5}).agg(
-        F.struct(F.max(F.when(F.col("a"), F.col("med"))).alias("a"), F.max(F.when(~F.col("a"), F.col("med"))).alias("b"))
-    )
-    out = s.withColumn("__m", med.scalar()).select(
-        "n_a", "n_b", "mean_a", "mean_b", F.col("__m.a").alias("median_a"), F.col("__m.b").alias("median_b"), "u", "z"
-    )
-    return out.withColumn("p_value", p_normal("z")) if p_values else out
-
-
-def anova(df: DataFrame, actor: str, value: str, by: Sequence[str] = (), min_n: int = 30, p_values: bool = True) -> DataFrame:
+    small = (F.col("ties") == 0) & (F.col("n_a").between(1, EXACT_BELOW - 1)) & (F.col("n_b").between(1, EXACT_BELOW - 1))
+    s = checkpointed(s.withColumn("exact", small))
+    tails = _exact_tails(s.filter("exact"))
+    far = F.greatest("u", na * nb - F.col("u")).cast("int")
+    s = s.join(tails, ["n_a", "n_b"], "left").withColumn(
+        "p_value", F.when(F.col("exact"), F.get("tails", far)).otherwise(p_normal("z")))
+    q = exact_quantiles(rows, [*by, "a"], "v", {"med": 0.5})
+    medians = [F.max(F.when(F.col("a"), F.col("med"))).alias("median_a"), F.max(F.when(~F.col("a"), F.col("med"))).alias("median_b")]
+    names = [*by, "n_a", "n_b", "mean_a", "mean_b", "median_a", "median_b", "u", "z", "p_value", "exact"]
+    if by:
+        return s.join(q.groupBy(*by).agg(*medians), by).select(*names)
+    return s.withColumn("__m", q.agg(F.struct(*medians)).scalar()).select(
+        *[F.col("__m")[c].alias(c) if c.startswith("median") else F.col(c) for c in names])
+
+
+def anova(df: DataFrame, actor: str, value: str, by: Sequence[str] = (), min_n: int = 30) -> DataFrame:
     """One-way analysis of variance between actors with at least ``min_n`` rows."""
     by = list(by)
     cells = (
@@ -130,7 +160,7 @@ def anova(df: DataFrame, actor: str, value: str, by: Sequence[str] = (), min_n:
         .withColumn("f", ratio(ratio("ss_between", "df_between"), ratio("ss_within", "df_within")))
         .withColumn("eta2", ratio("ss_between", F.col("ss_between") + F.col("ss_within")))
     )
-    return out.withColumn("p_value", p_f("f", F.col("df_between").cast("double"), F.col("df_within").cast("double"))) if p_values else out
+    return out.withColumn("p_value", p_f("f", "df_between", "df_within"))
 
 
 def residualise(df: DataFrame, y: str, x: str, out: str) -> DataFrame:

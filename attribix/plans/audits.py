@@ -13,7 +13,7 @@ from attribix.plans import effects as FX
 from attribix.plans import roles
 from attribix.plans.registry import query
 from attribix.plans.roles import BASE_SQL
-from attribix.plans.shape import r, rounded
+from attribix.plans.shape import correlation_p_sql, f_p_sql, normal_p_sql, r, rounded
 from attribix.session import checkpointed
 
 DECISION_SQL = """CASE WHEN event_type = 'R' AND status = 'F' THEN 'INC' WHEN event_type = 'R' THEN 'IC'
@@ -162,21 +162,26 @@ def validation(spark, sf):
     return checkpointed(merged.select("actor_id", "n_cc_inc", "suppressor_score", "mean_delta", "inc_rate", "ic_rate", "cnc_rate", "cc_share"))
 
 
+PEARSON_SQL = "covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
+Z_SQL = """zed AS (SELECT *, greatest(abs(u - na * CAST(nb AS DOUBLE) / 2) - 0.5, 0) / sqrt(na * CAST(nb AS DOUBLE) / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM u)"""
+
+
 @query(
     "corr_matrix",
     f"""{FX.ROLLUP_SQL}, {AUDIT_SQL}, merged AS (SELECT k.*, a.n_cc_inc, a.inc_rate, a.ic_rate, a.cc_share, a.cnc_rate FROM rolled k JOIN arate a USING (actor_id)),
       scoped AS (SELECT *, false AS qualified_only FROM merged UNION ALL SELECT *, true FROM merged WHERE n_cc_inc >= {MIN_CC_INC}),
       st AS ({' UNION ALL '.join(f"SELECT qualified_only, '{x}' AS x, '{y}' AS y, CAST({x} AS DOUBLE) AS vx, CAST({y} AS DOUBLE) AS vy FROM scoped WHERE {x} IS NOT NULL AND {y} IS NOT NULL" for x, y in PAIRS)}),
-      rk AS (SELECT *, {RANK_SQL.format(by='qualified_only, x, y', v='round(vx, 9)')} AS rx, {RANK_SQL.format(by='qualified_only, x, y', v='round(vy, 9)')} AS ry FROM st)
-      SELECT qualified_only, x, y, count(*) AS n, {r('covar_pop(vx, vy) / nullif(stddev_pop(vx) * stddev_pop(vy), 0)')} AS pearson_r,
-             {r('covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0)')} AS spearman_rho
-      FROM rk GROUP BY ALL HAVING count(*) >= 10""",
+      rk AS (SELECT *, {RANK_SQL.format(by='qualified_only, x, y', v='round(vx, 9)')} AS rx, {RANK_SQL.format(by='qualified_only, x, y', v='round(vy, 9)')} AS ry FROM st),
+      c AS (SELECT qualified_only, x, y, count(*) AS n, {PEARSON_SQL.format(x='vx', y='vy')} AS pearson_r, {PEARSON_SQL.format(x='rx', y='ry')} AS spearman_rho
+      FROM rk GROUP BY ALL HAVING count(*) >= 10)
+      SELECT qualified_only, x, y, n, {r('pearson_r')} AS pearson_r, {r('spearman_rho')} AS spearman_rho, {r(correlation_p_sql('pearson_r', 'n'))} AS pearson_p,
+        {r(correlation_p_sql('spearman_rho', 'n'))} AS spearman_p FROM c""",
 )
 def corr_matrix(spark, sf):
     scoped = S.with_scopes(validation(spark, sf), F.col("n_cc_inc") >= MIN_CC_INC)
     stacked = S.stack_pairs(scoped, PAIRS, ["qualified_only"])
     # Ranks on values cut at nine digits: summation noise must not break a tie.
-    lin = S.correlations(stacked.withColumns({"vx": F.round("vx", 9), "vy": F.round("vy", 9)}), ["qualified_only"], 10, p_values=False)
+    lin = S.correlations(stacked.withColumns({"vx": F.round("vx", 9), "vy": F.round("vy", 9)}), ["qualified_only"], 10)
     return rounded(lin)
 
 
@@ -184,14 +189,15 @@ def corr_matrix(spark, sf):
     "spearman",
     f"""{BASE_SQL}, s AS (SELECT subject_id, m, n_target FROM subject_session),
         rk AS (SELECT *, {RANK_SQL.format(by='subject_id', v='m')} AS rx, {RANK_SQL.format(by='subject_id', v='n_target')} AS ry FROM s),
-        ra AS (SELECT *, {RANK_SQL.format(by='1', v='m')} AS rx, {RANK_SQL.format(by='1', v='n_target')} AS ry FROM s)
-        SELECT subject_id, CAST(count(*) AS BIGINT) AS n, {r('covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0)')} AS spearman_rho FROM rk GROUP BY 1 HAVING count(*) >= 5
-        UNION ALL SELECT NULL, count(*), {r('covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0)')} FROM ra""",
+        ra AS (SELECT *, {RANK_SQL.format(by='1', v='m')} AS rx, {RANK_SQL.format(by='1', v='n_target')} AS ry FROM s),
+        c AS (SELECT subject_id, CAST(count(*) AS BIGINT) AS n, {PEARSON_SQL.format(x='rx', y='ry')} AS rho FROM rk GROUP BY 1 HAVING count(*) >= 5
+        UNION ALL SELECT NULL, count(*), {PEARSON_SQL.format(x='rx', y='ry')} FROM ra)
+        SELECT subject_id, n, {r('rho')} AS spearman_rho, {r(correlation_p_sql('rho', 'n'))} AS spearman_p FROM c""",
 )
 def spearman(spark, sf):
     rows = roles.subject_sessions(spark, sf).select("subject_id", "m", "n_target")
     per_subject = S.spearman(rows, "m", "n_target", ["subject_id"], 5)
-    overall = S.spearman(rows, "m", "n_target").select(F.lit(None).cast("int").alias("subject_id"), "n", "spearman_rho")
+    overall = S.spearman(rows, "m", "n_target").select(F.lit(None).cast("int").alias("subject_id"), "n", "spearman_rho", "spearman_p")
     return rounded(per_subject.unionByName(overall))
 
 
@@ -212,18 +218,54 @@ def avg_rank(spark, sf):
       rk AS (SELECT v, a, {RANK_SQL.format(by='1', v='v')} AS rk, count(*) OVER (PARTITION BY v) AS t FROM v),
       s AS (SELECT count(*) FILTER (WHERE a) AS na, count(*) FILTER (WHERE NOT a) AS nb, avg(v) FILTER (WHERE a) AS ma, avg(v) FILTER (WHERE NOT a) AS mb,
               median(v) FILTER (WHERE a) AS meda, median(v) FILTER (WHERE NOT a) AS medb, sum(rk) FILTER (WHERE a) AS ra, sum(t * t - 1.0) AS ties FROM rk),
-      u AS (SELECT *, CAST(ra AS DOUBLE) - na * (na + 1.0) / 2 AS u, CAST(na + nb AS DOUBLE) AS n FROM s)
+      u AS (SELECT *, CAST(ra AS DOUBLE) - na * (na + 1.0) / 2 AS u, CAST(na + nb AS DOUBLE) AS n FROM s), {Z_SQL}
       SELECT na AS n_a, nb AS n_b, {r('ma')} AS mean_a, {r('mb')} AS mean_b, {r('meda')} AS median_a, {r('medb')} AS median_b, {r('u')} AS u,
-        {r('greatest(abs(u - na * CAST(nb AS DOUBLE) / 2) - 0.5, 0) / sqrt(na * CAST(nb AS DOUBLE) / 12 * (n + 1 - ties / (n * (n - 1))))')} AS z FROM u""",
+        {r('z')} AS z, {r(normal_p_sql('z'))} AS p_value, false AS exact FROM zed""",
 )
 def mann_whitney(spark, sf):
     rates = checkpointed(FX.rated(spark, sf).select("subject_id", "season_type", "rate"))
     rows = baseline_delta(rates, "subject_id", "rate", F.col("season_type") == "RS")
     rows = checkpointed(rows.select(F.round("rate_delta", 6).alias("v"), "season_type"))
-    return rounded(S.mann_whitney(rows, "v", F.col("season_type") == "PO", p_values=False))
+    return rounded(S.mann_whitney(rows, "v", F.col("season_type") == "PO"))
+
+
+#: Both samples of a test on suppliers: those of a nation, and those of the other nations of its region.
+NATION_SQL = """pairs AS (SELECT n.n_nationkey AS nation_id, s.s_acctbal AS v, s.s_nationkey = n.n_nationkey AS a
+  FROM supplier s JOIN nation h ON h.n_nationkey = s.s_nationkey JOIN nation n ON n.n_regionkey = h.n_regionkey)"""
+
+
+@query(
+    "mann_whitney_exact",
+    f"""WITH RECURSIVE {NATION_SQL},
+      rk AS (SELECT nation_id, v, a, {RANK_SQL.format(by='nation_id', v='v')} AS rk, count(*) OVER (PARTITION BY nation_id, v) AS t FROM pairs),
+      s AS (SELECT nation_id, count(*) FILTER (WHERE a) AS na, count(*) FILTER (WHERE NOT a) AS nb, avg(v) FILTER (WHERE a) AS ma, avg(v) FILTER (WHERE NOT a) AS mb,
+              median(v) FILTER (WHERE a) AS meda, median(v) FILTER (WHERE NOT a) AS medb, sum(rk) FILTER (WHERE a) AS ra, sum(t * t - 1.0) AS ties FROM rk GROUP BY 1),
+      u AS (SELECT *, CAST(ra AS DOUBLE) - na * (na + 1.0) / 2 AS u, CAST(na + nb AS DOUBLE) AS n,
+              ties = 0 AND na BETWEEN 1 AND {S.EXACT_BELOW - 1} AND nb BETWEEN 1 AND {S.EXACT_BELOW - 1} AS exact FROM s), {Z_SQL},
+      tops AS (SELECT coalesce(max(na), 0) AS most_a, coalesce(max(nb), 0) AS most_b FROM u WHERE exact),
+      ways(s, i, j, w, c) AS (SELECT 0, 0, 0, 0, CAST(1 AS DOUBLE) UNION ALL
+        SELECT s + 1, i, j, w, sum(c) FROM (
+          SELECT s, i + 1 AS i, j, w + j AS w, c FROM ways, tops WHERE i < most_a UNION ALL SELECT s, i, j + 1, w, c FROM ways, tops WHERE j < most_b)
+        GROUP BY ALL),
+      every AS (SELECT i, j, sum(c) AS total FROM ways GROUP BY i, j),
+      tail AS (SELECT nation_id, sum(c) / any_value(total) AS p FROM u JOIN ways ON i = na AND j = nb AND w >= greatest(u, na * nb - u) JOIN every USING (i, j)
+               WHERE exact GROUP BY 1)
+      SELECT nation_id, na AS n_a, nb AS n_b, {r('ma')} AS mean_a, {r('mb')} AS mean_b, {r('meda')} AS median_a, {r('medb')} AS median_b, {r('u')} AS u, {r('z')} AS z,
+        {r(f"CASE WHEN exact THEN least(1, 2 * p) ELSE {normal_p_sql('z')} END")} AS p_value, exact FROM zed LEFT JOIN tail USING (nation_id)""",
+)
+def mann_whitney_exact(spark, sf):
+    """Balances of each nation's suppliers against those of its region's other nations; small samples have exact p values."""
+    nation = roles.table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    home = roles.table(spark, sf, "supplier").select("s_acctbal", F.col("s_nationkey").alias("home")).join(
+        nation.withColumnRenamed("n_nationkey", "home"), "home")
+    pairs = home.join(nation, "n_regionkey").select(
+        F.col("n_nationkey").alias("nation_id"), "s_acctbal", (F.col("home") == F.col("n_nationkey")).alias("a"))
+    return rounded(S.mann_whitney(pairs, "s_acctbal", F.col("a"), ["nation_id"]))
 
 
-ANOVA_OUT = f"n_actors, n_rows, {r('ss_between')} AS ss_between, {r('ss_within')} AS ss_within, {r('cv')} AS cv_of_means, n_actors - 1 AS df_between, n_rows - n_actors AS df_within, {r('(ss_between / (n_actors - 1)) / (ss_within / (n_rows - n_actors))')} AS f, {r('ss_between / (ss_between + ss_within)', 6)} AS eta2"
+F_SQL = "(ss_between / (n_actors - 1)) / (ss_within / (n_rows - n_actors))"
+ANOVA_P = r(f_p_sql(f"({F_SQL})", "(n_actors - 1)", "(n_rows - n_actors)"))
+ANOVA_OUT = f"{ANOVA_P} AS p_value, n_actors, n_rows, {r('ss_between')} AS ss_between, {r('ss_within')} AS ss_within, {r('cv')} AS cv_of_means, n_actors - 1 AS df_between, n_rows - n_actors AS df_within, {r('(ss_between / (n_actors - 1)) / (ss_within / (n_rows - n_actors))')} AS f, {r('ss_between / (ss_between + ss_within)', 6)} AS eta2"
 
 
 def anova_sql(src: str, by: str = "") -> str:
@@ -255,7 +297,7 @@ def _session_types(spark, sf):
 def anova_actor(spark, sf):
     wide = _session_types(spark, sf)
     long = wide.select("actor_id", F.inline(F.array(*[F.struct(F.lit(t).alias("event_type"), F.col(t).alias("v")) for t in ("A", "N", "R")])))
-    return rounded(S.anova(long, "actor_id", "v", ["event_type"], p_values=False), eta2=6)
+    return rounded(S.anova(long, "actor_id", "v", ["event_type"]), eta2=6)
 
 
 @query(
@@ -264,12 +306,12 @@ def anova_actor(spark, sf):
         w AS (SELECT actor_id, CAST(r AS DOUBLE) AS y, CAST(a AS DOUBLE) AS x FROM team JOIN c USING (session_id)),
         l AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM w),
         v AS (SELECT actor_id, y - a - b * x AS v FROM w CROSS JOIN l),
-        {anova_sql('v')} SELECT n_actors, n_rows, {r('ss_between')} AS ss_between, {r('ss_within')} AS ss_within, n_actors - 1 AS df_between,
+        {anova_sql('v')} SELECT {ANOVA_P} AS p_value, n_actors, n_rows, {r('ss_between')} AS ss_between, {r('ss_within')} AS ss_within, n_actors - 1 AS df_between,
           n_rows - n_actors AS df_within, {r('(ss_between / (n_actors - 1)) / (ss_within / (n_rows - n_actors))')} AS f, {r('ss_between / (ss_between + ss_within)', 6)} AS eta2 FROM ss""",
 )
 def residualised_anova(spark, sf):
     rows = _session_types(spark, sf).select("actor_id", F.col("R").alias("y"), F.col("A").alias("x"))
-    out = S.anova(S.residualise(rows, "y", "x", "v"), "actor_id", "v", p_values=False)
+    out = S.anova(S.residualise(rows, "y", "x", "v"), "actor_id", "v")
     return rounded(out.drop("cv_of_means"), eta2=6)
 
 
@@ -329,11 +371,13 @@ def audit_event_deltas(spark, sf):
 @query(
     "audit_event_corr",
     f"""{EVENT_SQL}, st AS ({' UNION ALL '.join(f"SELECT '{x}' AS x, '{y}' AS y, CAST({x} AS DOUBLE) AS vx, CAST({y} AS DOUBLE) AS vy FROM ed WHERE is_adjudicated = 1" for x, y in EVENT_PAIRS)}),
-      rk AS (SELECT *, {RANK_SQL.format(by='x, y', v='vx')} AS rx, {RANK_SQL.format(by='x, y', v='vy')} AS ry FROM st)
-      SELECT x, y, count(*) AS n, {r('covar_pop(vx, vy) / nullif(stddev_pop(vx) * stddev_pop(vy), 0)')} AS pearson_r,
-             {r('covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0)')} AS spearman_rho FROM rk GROUP BY ALL HAVING count(*) >= 30""",
+      rk AS (SELECT *, {RANK_SQL.format(by='x, y', v='vx')} AS rx, {RANK_SQL.format(by='x, y', v='vy')} AS ry FROM st),
+      c AS (SELECT x, y, count(*) AS n, {PEARSON_SQL.format(x='vx', y='vy')} AS pearson_r, {PEARSON_SQL.format(x='rx', y='ry')} AS spearman_rho
+      FROM rk GROUP BY ALL HAVING count(*) >= 30)
+      SELECT x, y, n, {r('pearson_r')} AS pearson_r, {r('spearman_rho')} AS spearman_rho, {r(correlation_p_sql('pearson_r', 'n'))} AS pearson_p,
+        {r(correlation_p_sql('spearman_rho', 'n'))} AS spearman_p FROM c""",
 )
 def audit_event_corr(spark, sf):
     rows = event_deltas(spark, sf).filter("is_adjudicated = 1").select("team_mean_delta", "team_min_delta", "is_inc", "is_cc")
     stacked = checkpointed(S.stack_pairs(rows, EVENT_PAIRS))
-    return rounded(S.correlations(stacked, [], 30, p_values=False))
+    return rounded(S.correlations(stacked, [], 30))

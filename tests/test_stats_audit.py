@@ -1,6 +1,7 @@
 """Rank tests, tails, variance analysis, review rates and name matching."""
 
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -11,14 +12,43 @@ from attribix.operators import audit as A
 from attribix.operators import stats as S
 
 
-def test_tails_match_published_tables():
-    assert tails.t_two_sided(2.228, 10) == pytest.approx(0.05, abs=2e-4)
-    assert tails.t_two_sided(12.706, 1) == pytest.approx(0.05, abs=1e-5)
-    assert tails.f_upper(4.10, 2, 10) == pytest.approx(0.05, abs=2e-4)
-    assert tails.f_upper(2.60, 5, 30) == pytest.approx(0.0454, abs=2e-3)
-    assert tails.normal_two_sided(1.959964) == pytest.approx(0.05, abs=1e-6)
-    assert tails.correlation_p(0.632, 10) == pytest.approx(0.05, abs=5e-4)
-    assert tails.correlation_p(1.0, 5) == 0.0 and tails.correlation_p(0.5, 2) is None
+def test_tails_match_published_tables(spark):
+    """Critical values as printed in tables of the t, F, normal and correlation distributions, and closed forms."""
+    lit = lambda *v: [F.lit(float(x)) for x in v]
+    cases = [
+        (tails.t_two_sided(*lit(2.228, 10)), 0.05, 2e-5), (tails.t_two_sided(*lit(12.706, 1)), 0.05, 1e-5), (tails.t_two_sided(*lit(3.169, 10)), 0.01, 1e-5),
+        (tails.t_two_sided(*lit(1.9602, 100_000)), 0.05, 1e-4), (tails.t_two_sided(*lit(0, 5)), 1.0, 1e-9), (tails.t_two_sided(*lit(1, 1)), 0.5, 1e-9),
+        (tails.p_f(*lit(4.1028, 2, 10)), 0.05, 1e-4), (tails.p_f(*lit(2.5336, 5, 30)), 0.05, 2e-4), (tails.p_f(*lit(3.6990, 5, 30)), 0.01, 1e-4),
+        (tails.p_f(*lit(3, 2, 2)), 0.25, 1e-9), (tails.p_f(*lit(1, 5000, 5000)), 0.5, 1e-9), (tails.p_f(*lit(0, 3, 3)), 1.0, 1e-9),
+        (tails.p_normal(*lit(1.959964)), 0.05, 1e-7), (tails.p_normal(*lit(-2.575829)), 0.01, 1e-7), (tails.p_normal(*lit(0)), 1.0, 1e-9),
+        (tails.p_normal(*lit(30)), 0.0, 1e-15), (tails.p_normal(*lit(5)), 5.7330e-7, 1e-10),
+        (tails.p_correlation(*lit(0.632, 10)), 0.05, 5e-4), (tails.p_correlation(*lit(1, 5)), 0.0, 0), (tails.p_correlation(*lit(0.5, 3)), 2 / 3, 1e-9),
+        (tails.p_correlation(*lit(0.01, 1_000_000)), 1.5e-23, 1e-23),
+    ]
+    got = spark.range(1).select(*[c.cast("double").alias(f"c{i}") for i, (c, _, _) in enumerate(cases)]).first()
+    for value, (_, want, within) in zip(got, cases, strict=True):
+        assert value == pytest.approx(want, abs=within), want
+    none = spark.range(1).select(
+        tails.p_correlation(F.lit(0.5), F.lit(2)), tails.p_f(F.lit(None), F.lit(1), F.lit(1)), tails.p_normal(F.lit(None)), tails.p_f(F.lit(1.0), F.lit(0), F.lit(9))).first()
+    assert list(none) == [None] * 4
+
+
+def test_exact_rank_test_against_all_arrangements(spark):
+    """Every split of few values in two, in groups; ties and larger samples take the approximation."""
+    rnd = random.Random(7)
+    groups = {g: ([rnd.random() for _ in range(n)], [rnd.random() for _ in range(m)]) for g, (n, m) in enumerate([(1, 1), (3, 4), (5, 5), (2, 9), (1, 6)])}
+    rows = [(g, x, True) for g, (a, _) in groups.items() for x in a] + [(g, x, False) for g, (_, b) in groups.items() for x in b]
+    rows += [(90, 1.0, True), (90, 1.0, False), (90, 2.0, False)]
+    rows += [(91, rnd.random(), i % 2 == 0) for i in range(100)]
+    got = {r.g: r for r in S.mann_whitney(spark.createDataFrame(rows, "g int, v double, a boolean"), "v", F.col("a"), ["g"]).collect()}
+    for g, (a, b) in groups.items():
+        both, n = sorted(a + b), len(a)
+        u_of = lambda chosen: sum(x > y for x in chosen for y in set(both) - set(chosen))
+        middle, u = n * len(b) / 2, u_of(a)
+        every = [u_of(c) for c in combinations(both, n)]
+        want = sum(abs(w - middle) >= abs(u - middle) for w in every) / len(every)
+        assert got[g].exact and got[g].u == u and got[g].p_value == pytest.approx(min(1, want))
+    assert not got[90].exact and not got[91].exact and 0 <= got[91].p_value <= 1
 
 
 def ranks(v):
