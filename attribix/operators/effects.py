@@ -96,12 +96,14 @@ def with_without(sums: DataFrame) -> DataFrame:
 
 
 def adjusted_delta(
-    sums: DataFrame, min_with: int = 5, min_without: int = 0, slope: float = COVARIATE_SLOPE, unit: float = UNIT
+    sums: DataFrame, min_with: int = 5, min_without: int = 0, slope: float | Column = COVARIATE_SLOPE, unit: float = UNIT
 ) -> DataFrame:
     """Rate difference per exposure unit, less what the covariate explains.
 
-    A side without any covariate value makes the adjusted difference null.
+    A side without any covariate value makes the adjusted difference null. ``slope`` is a number or a one-value column,
+    such as that of :func:`covariate_slope`.
     """
+    per_cov = F.lit(slope) if isinstance(slope, (int, float)) else slope
     gated = sums.filter((F.col("n_with") >= min_with) & (F.col("n_without") >= min_without))
     return (
         gated.withColumn("rate_with", per_unit("y_with", "m_with", unit))
@@ -110,12 +112,27 @@ def adjusted_delta(
         .withColumn("cov_with", ratio("cov_with", "n_cov_with"))
         .withColumn("cov_without", ratio("cov_without", "n_cov_without"))
         .withColumn("cov_delta", F.col("cov_with") - F.col("cov_without"))
-        .withColumn("adj_delta", F.col("raw_delta") - F.lit(slope) * F.col("cov_delta"))
-        .withColumn("adjustment", F.abs(F.lit(slope) * F.col("cov_delta")))
+        .withColumn("__slope", per_cov)
+        .withColumn("adj_delta", F.col("raw_delta") - F.col("__slope") * F.col("cov_delta"))
+        .withColumn("adjustment", F.abs(F.col("__slope") * F.col("cov_delta")))
+        .drop("__slope")
         .withColumn("baseline_rate", per_unit("y_total", "m_total", unit, "one"))
     )
 
 
+def covariate_slope(rows: DataFrame, subject: str, y: str, m: str, cov: str, unit: float = UNIT) -> DataFrame:
+    """What the rate changes per unit of the covariate within a subject: one row with slope, rows and subjects.
+
+    The slope with an intercept for every subject (fixed effects). Each subject gives its covariance and variance from
+    partial sums of one pass; only one row per subject is summed up. Null where the covariate never varies.
+    """
+    rated = rows.select(F.col(subject).alias("s"), per_unit(y, m, unit).alias("r"), F.col(cov).cast("double").alias("c")).dropna(subset=["r", "c"])
+    parts = rated.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.covar_pop("r", "c").alias("rc"), F.var_pop("c").alias("cc"))
+    return parts.agg(
+        ratio(F.sum(F.col("n") * F.col("rc")), F.sum(F.col("n") * F.col("cc"))).alias("slope"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_subjects"))
+
+
 def subject_baseline(rows: DataFrame, subject: str, session: str, y: str, m: str, cov: str) -> DataFrame:
     return (
         rows.groupBy(subject)

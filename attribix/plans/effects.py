@@ -13,6 +13,7 @@ from attribix.plans.profiles import PROFILE_SQL, target, wide_profile
 from attribix.plans.registry import query
 from attribix.plans.roles import BASE_SQL
 from attribix.plans.shape import r, rounded
+from attribix.session import checkpointed
 
 # Gates of the published tables: pairs, both sides, and by period.
 MIN_WITH = 5
@@ -140,6 +141,30 @@ def adjusted_delta(spark, sf):
     return rounded(adjusted(spark, sf).select(*OUT))
 
 
+FITTED_SQL = """fitted AS (SELECT sum(n * rc) / nullif(sum(n * cc), 0) AS slope, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows, count(*) AS n_subjects FROM (
+  SELECT subject_id, count(*) AS n, covar_pop(36 * y / greatest(m, 1), cov) AS rc, var_pop(cov) AS cc FROM subject_session WHERE cov IS NOT NULL GROUP BY 1))"""
+
+
+def fitted_slope(spark, sf):
+    return E.covariate_slope(roles.subject_sessions(spark, sf), "subject_id", "y", "m", "cov")
+
+
+@query("covariate_slope", f"{BASE_SQL}, {FITTED_SQL} SELECT {r('slope', 6)} AS slope, n_rows, n_subjects FROM fitted")
+def covariate_slope(spark, sf):
+    return rounded(fitted_slope(spark, sf), slope=6)
+
+
+@query(
+    "adjusted_delta_fitted",
+    f"""{BASE_SQL}, {FITTED_SQL}, {pair_sums_sql().replace('0.15', '(SELECT slope FROM fitted)')}, adjusted AS (SELECT * FROM adjusted_all WHERE n_with >= {MIN_WITH})
+        SELECT {OUT_SQL} FROM adjusted""",
+)
+def adjusted_delta_fitted(spark, sf):
+    """The adjusted differences with the slope that the data give in place of the published one."""
+    slope = checkpointed(fitted_slope(spark, sf)).select("slope").scalar()
+    return rounded(E.adjusted_delta(sums(spark, sf), MIN_WITH, slope=slope).select(*OUT))
+
+
 @query("adjusted_delta_sym", f"{BOTH_SQL} SELECT {OUT_SQL} FROM adjusted")
 def adjusted_delta_sym(spark, sf):
     return rounded(adjusted_both(spark, sf).select(*OUT))

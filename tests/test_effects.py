@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,22 @@ def test_extreme_actors_may_be_text(spark):
     rows = [("s", "bob", 1.0), ("s", "al", 1.0), ("s", "cy", -1.0), ("s", "dee", -1.0), ("t", "x", None)]
     got = E.extreme_actors(spark.createDataFrame(rows, "s string, a string, d double"), "s", "a", "d").collect()
     assert [tuple(r) for r in got] == [("s", "cy", -1.0, "al", 1.0)]
+
+
+def test_covariate_slope_is_the_one_within_subjects(spark):
+    """Levels of subjects differ along the covariate the other way; the slope within them is found."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for subject in range(6):
+        for _ in range(30):
+            c = 10.0 * subject + rng.normal()
+            rows.append((subject, float(36.0 * (500 - 40 * subject + 0.7 * c + rng.normal(0, 0.01)) / 36.0), 36.0, float(c)))
+    rows += [(9, 1.0, 36.0, None), (10, 5.0, 36.0, 2.0)]
+    df = spark.createDataFrame(rows, "s int, y double, m double, c double")
+    got = E.covariate_slope(df, "s", "y", "m", "c").first()
+    assert got.slope == pytest.approx(0.7, abs=0.01) and got.n_rows == 181 and got.n_subjects == 7
+    within = {k: [r for r in rows if r[0] == k] for k in range(6)}
+    rc = sum(((np.array([r[1] for r in v]) - np.mean([r[1] for r in v])) * np.array([r[3] for r in v])).sum() for v in within.values())
+    cc = sum(((np.array([r[3] for r in v]) - np.mean([r[3] for r in v])) ** 2).sum() for v in within.values())
+    assert got.slope == pytest.approx(rc / cc)
+    assert E.covariate_slope(df.filter("s > 8"), "s", "y", "m", "c").first().slope is None
