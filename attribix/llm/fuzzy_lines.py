@@ -6,9 +6,6 @@ entry with its first occurrence. The SimHash of an entry covers its words and wo
 Hamming distance is part of the join, and the edit similarity of the normalised lines decides. The linked entries form
 connected groups, and of each group the first occurrence stays, by doc_id, then by place in the document.
 
-A changed word moves more than ``BUDGET`` bits of most lines, so the wide search (``bands``) also has lines meet on keys of
-``MINIMA`` minima each over their pairs of words, or over runs of three bytes in lines of few words.
-
 Defined results: a line of ASCII punctuation and white space alone is never removed, so null and empty texts stay as
 they are. Rows that share a doc_id have the same place in the order: what several of them hold as their line of one
 number stays in each. Rows with a null doc_id share the place before all others. A document may lose all its lines; its row stays with what is left. An empty table gives an empty result. Other
@@ -29,19 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .shared import LOCAL_NODES, UnionFind, components, fresh, linked_by_keys, takes_over
+from .shared import LOCAL_NODES, UnionFind, components, fresh, takes_over
 
 BUDGET = 3
 BLOCKS = 5
 SIMILARITY = 0.8
 
-#: Keys of a line in the wide search, and minima in one key. Lines of fewer words than ``FEW`` go by runs of three bytes.
-BANDS = 8
-MINIMA = 2
-FEW = 8
-
-#: Words whose hashes a worker remembers at most; full memory is left as it is.
-REMEMBERED = 300_000
 #: Words hashed to bits at a time.
 CHUNK = 1 << 15
 #: Words whose hashes are held at a time, besides one line.
@@ -65,6 +55,21 @@ def normal(line: str) -> str:
     return b" ".join(normal_lines(line)[0]).decode()
 
 
+#: Bits of a byte, from the highest, as eight counters of eight bits; so many words, each with its pair, fill none of them.
+_COUNTERS = np.array([sum((b >> (7 - k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
+_FULL = 127
+
+
+def _ones(hashes: np.ndarray, pairs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set in each line."""
+    parts = -(-sizes // _FULL)
+    first = np.cumsum(parts) - parts
+    starts = np.repeat(np.cumsum(sizes) - sizes - _FULL * first, parts) + _FULL * np.arange(int(parts.sum()))
+    counters = lambda x: _COUNTERS[x.astype(">u8").view(np.uint8).reshape(-1, 8)]
+    ones = np.add.reduceat(counters(hashes) + counters(pairs), starts, axis=0).view(np.uint8).reshape(-1, 64)
+    return ones.astype(np.int64) if len(parts) == len(ones) else np.add.reduceat(ones, first, axis=0, dtype=np.int64)
+
+
 def simhashes(hashes: np.ndarray, sizes: list[int]) -> np.ndarray:
     """Fingerprint of each line from the hashes of all their words in a row, over words and pairs of words side by side.
 
@@ -78,76 +83,33 @@ def simhashes(hashes: np.ndarray, sizes: list[int]) -> np.ndarray:
     pairs ^= pairs >> np.uint64(32)
     pairs[ends - 1] = 0  # no pair across the end of a line
     out = np.empty(len(sizes), np.uint64)
-    bits = lambda x: np.unpackbits(x.astype(">u8").view(np.uint8)).reshape(-1, 64)
     lo = 0
     while lo < len(sizes):
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CHUNK, "right")))
         a, b = int(starts[lo]), int(ends[hi - 1])
         if hi - lo > 1:
-            both = bits(hashes[a:b]) + bits(pairs[a:b])
-            ones = np.add.reduceat(both, starts[lo:hi] - a, axis=0, dtype=np.int64)
+            ones = _ones(hashes[a:b], pairs[a:b], sizes[lo:hi])
         else:
-            parts = [x[i : min(i + CHUNK, b)] for x in (hashes, pairs) for i in range(a, b, CHUNK)]
-            ones = sum(bits(x).sum(0, dtype=np.int64) for x in parts)[None, :]
+            cuts = [*range(a, b, CHUNK), b]
+            ones = sum(_ones(hashes[i:j], pairs[i:j], np.array([j - i])) for i, j in zip(cuts, cuts[1:]))
         out[lo:hi] = np.packbits(ones * 2 > 2 * sizes[lo:hi, None] - 1, axis=1).view(">u8").ravel().astype(np.uint64)
         lo = hi
     return out
 
 
-_mix = np.array([xxhash.xxh64_intdigest(str(i), 7) | 1 for i in range(2 * MINIMA * 64)], np.uint64).reshape(64, MINIMA, 2)
-
-
-def band_keys(hashes: np.ndarray, sizes: list[int], bands: int) -> list[np.ndarray]:
-    """Keys of each line, one array a band, from the hashes of all their features in a row, over pairs side by side.
-
-    No line is empty; a single feature stands for itself.
-    """
-    sizes = np.array(sizes, np.int64)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    pairs = hashes.copy()
-    pairs[:-1] = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + (hashes[1:] ^ (hashes[1:] >> np.uint64(29)))
-    pairs[ends[sizes == 1] - 1] = hashes[ends[sizes == 1] - 1]
-    pairs ^= pairs >> np.uint64(32)
-    across = ends[sizes > 1] - 1
-    out = []
-    for band in range(bands):
-        key = np.full(len(sizes), band, np.uint64)
-        for flip, odd in _mix[band]:
-            mixed = (pairs ^ flip) * odd
-            mixed[across] = np.uint64((1 << 64) - 1)
-            key = (key ^ np.minimum.reduceat(mixed, starts)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        out.append((key >> np.uint64(32)).astype(np.uint32).view(np.int32))
-    return out
-
-
-_words: dict[bytes, int] = {}
-
-
-def _hash(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word)
-    if len(_words) < REMEMBERED:
-        _words[word] = h
-    return h
-
-
-def _lines(batches: Iterable[pa.RecordBatch], bands: int = 0) -> Iterator[pa.RecordBatch]:
-    takes_over("lines", _words.clear)
-    known = _words.get
+def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    takes_over("lines", lambda: None)
     for batch in batches:
-        row, place, names, hashes, sizes, long, features, counts = [], [], [], [], [], [], [], []
+        row, place, names, hashes, sizes = [], [], [], [], []
 
         def out():
             fps = simhashes(np.array(hashes, np.uint64), sizes)
             at = pa.array(row, pa.int32())
             made = pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(at), batch.column("h").take(at), pa.array(place, pa.int32()),  # noqa: B023
-                 pa.array(names, pa.binary()), pa.array(fps.view(np.int64)),
-                 *([pa.array(long, pa.int32())] if bands else []),  # noqa: B023
-                 *map(pa.array, band_keys(np.array(features, np.uint64), counts, bands))],
-                names=["doc_id", "h", "place", "entry", "fp", *(["size"] if bands else []), *_keys(bands)])
-            for x in (row, place, names, hashes, sizes, long, features, counts):
+                 pa.array(names, pa.binary()), pa.array(fps.view(np.int64))],
+                names=["doc_id", "h", "place", "entry", "fp"])
+            for x in (row, place, names, hashes, sizes):
                 x.clear()
             return made
 
@@ -156,36 +118,19 @@ def _lines(batches: Iterable[pa.RecordBatch], bands: int = 0) -> Iterator[pa.Rec
                 if words:
                     row.append(i)
                     place.append(k)
-                    line = b" ".join(words)
-                    names.append(xxhash.xxh3_128_digest(line))
-                    found = list(map(known, words))
-                    found = [_hash(w) if h is None else h for h, w in zip(found, words)] if None in found else found
-                    hashes += found
+                    names.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                    hashes += map(xxhash.xxh64_intdigest, words)
                     sizes.append(len(words))
-                    if bands:
-                        long.append(len(line.decode()))
-                        if len(words) < FEW:
-                            found = [xxhash.xxh64_intdigest(line[j : j + 2]) for j in range(max(1, len(line) - 1))]
-                        features += found
-                        counts.append(len(found))
                     if len(hashes) > HELD:
                         yield out()
         if row:
             yield out()
 
 
-def _keys(bands: int) -> list[str]:
-    return [f"key{i}" for i in range(bands)]
-
-
-def lines(docs: DataFrame, bands: int = 0) -> DataFrame:
-    """doc_id, h (hash of the text), place (from 0), entry (hash of the normalised line), fp of every line with a word.
-
-    With ``bands`` also size, the characters of the normalised line, and its keys.
-    """
-    more = "".join(f", {c}" for c in (["size int"] if bands else []) + [f"{k} int" for k in _keys(bands)])
+def lines(docs: DataFrame) -> DataFrame:
+    """doc_id, h (hash of the text), place (from 0), entry (hash of the normalised line), fp of every line with a word."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("h")).mapInArrow(
-        lambda batches: _lines(batches, bands), f"doc_id long, h long, place int, entry binary, fp long{more}")
+        _lines, "doc_id long, h long, place int, entry binary, fp long")
 
 
 def masks(budget: int = BUDGET, blocks: int = BLOCKS) -> list[int]:
@@ -269,22 +214,48 @@ def _position(doc: str, place: str):
 
 
 def links(rows: DataFrame, entries: DataFrame, docs: DataFrame, budget: int, blocks: int, similarity: float) -> DataFrame:
-    """(a, b) of entries whose fingerprints are close and whose normalised lines are alike; pairs that follow from others may be left out."""
-    close = checkpointed(close_fingerprints(entries.select("fp").distinct(), budget, blocks))
-    same = entries.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("fp", F.col("fp").alias("other"))
-    left = entries.select(F.col("fp").alias("f1"), F.col("entry").alias("a"), F.col("first").alias("a_first"))
-    right = entries.select(F.col("fp").alias("f2"), F.col("entry").alias("b"), F.col("first").alias("b_first"))
-    pairs = checkpointed(
-        close.union(same).join(left, F.col("fp") == F.col("f1")).join(right, F.col("other") == F.col("f2"))
-        .where("fp <> other or a < b").select("a", "a_first", "b", "b_first"))
-    ends = pairs.select(F.col("a").alias("e"), F.col("a_first").alias("f")).union(pairs.select("b", "b_first")).distinct()
-    return _verified(pairs.select("a", "b"), _texts(rows, ends, docs), similarity)
-
-
-def _texts(rows: DataFrame, ends: DataFrame, docs: DataFrame) -> DataFrame:
-    """e and line of the entries in ``ends``, each from its first occurrence f."""
+    """(a, b) of entries whose fingerprints are close and whose normalised lines are alike; pairs that follow from others may be left out.
+
+    Each entry is first held against the first one of its fingerprint, and the first ones of close fingerprints against
+    each other, so a group of like lines costs as many looks as it has lines. Only where one of these looks fails do all
+    entries of the two fingerprints meet.
+    """
+    heads = checkpointed(entries.groupBy("fp").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("c")))
+    close = checkpointed(close_fingerprints(heads.select("fp"), budget, blocks))
+    met = close.select("fp").union(close.select("other")).union(heads.where("c > 1").select("fp")).distinct()
+    known = met.join(heads, "fp").select(F.col("fp").alias("f"), "head", "c")
+    held = checkpointed(
+        entries.join(known, F.col("fp") == F.col("f")).select("entry", "first", "fp", "c", (F.col("first") == F.col("head")).alias("leads")))
+    lines_of = _texts(rows, held, docs)
+
+    lead = held.where("leads").select(F.col("fp").alias("f1"), F.col("entry").alias("a"))
+    partner = lead.toDF("f2", "b")
+    looked = checkpointed(
+        held.where("c > 1").join(partner, F.col("fp") == F.col("f2")).where("entry <> b and (not leads or entry < b)")
+        .select(F.col("entry").alias("a"), "b", F.col("fp").alias("f1"), "f2")
+        .union(close.join(lead, F.col("fp") == F.col("f1")).join(partner, F.col("other") == F.col("f2")).select("a", "b", "f1", "f2")))
+    found = checkpointed(_verified(looked.select("a", "b"), lines_of, similarity))
+    failed = checkpointed(looked.join(found, ["a", "b"], "left_anti").select("f1", "f2").distinct())
+    rough = failed.where("f1 = f2").select(F.col("f1").alias("r")).distinct()
+    several = held.where("c > 1").select(F.col("fp").alias("r")).distinct()
+    apart = (
+        rough.select(F.col("r").alias("f1"), F.col("r").alias("f2"))
+        .union(close.join(rough, F.col("fp") == F.col("r")).select("fp", "other"))
+        .union(close.join(rough, F.col("other") == F.col("r")).select("fp", "other"))
+        .union(failed.join(several, F.col("f1") == F.col("r"), "left_semi"))
+        .union(failed.join(several, F.col("f2") == F.col("r"), "left_semi")).distinct().toDF("x", "y"))
+    left = held.select(F.col("fp").alias("f1"), F.col("entry").alias("a"), F.col("leads").alias("l1"))
+    second = (
+        checkpointed(apart).join(left, F.col("x") == F.col("f1")).join(left.toDF("f2", "b", "l2"), F.col("y") == F.col("f2"))
+        .where("not (l1 and l2) and (x <> y or a < b)").select("a", "b"))
+    return found.union(_verified(second, lines_of, similarity))
+
+
+def _texts(rows: DataFrame, held: DataFrame, docs: DataFrame) -> DataFrame:
+    """e and line of the entries in ``held``, each from its first occurrence."""
+    ends = held.select(F.col("entry").alias("e"), F.col("first").alias("f"))
     wanted = checkpointed(
-        rows.join(checkpointed(ends), (F.col("entry") == F.col("e")) & (F.col("position") == F.col("f")))
+        rows.join(ends, (F.col("entry") == F.col("e")) & (F.col("position") == F.col("f")))
         .groupBy("e").agg(F.min("doc_id").alias("d"), F.min("h").alias("wh"), F.min("place").alias("at")))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
     on = source["doc_id"].eqNullSafe(F.col("d")) & (source["h"] == F.col("wh"))
@@ -293,7 +264,7 @@ def _texts(rows: DataFrame, ends: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose lines are alike; those that follow from others may be left out."""
+    """The pairs (a, b) whose lines are alike, or that other pairs have linked already."""
     two = (
         pairs.join(texts.select(F.col("e").alias("a"), F.col("line").alias("x")), "a")
         .join(texts.select(F.col("e").alias("b"), F.col("line").alias("y")), "b").select("a", "b", "x", "y")
@@ -301,12 +272,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # What the pairs so far have connected needs no look at its lines.
+        takes_over("line_pairs", lambda: None)
         found, shown = UnionFind(), lru_cache(4096)(normal)
         for batch in batches:
             ok = []
             for a, b, x, y in zip(*batch.columns, strict=True):
                 a, b = a.as_py(), b.as_py()
-                ok.append(found.root(a) != found.root(b) and alike(shown(x.as_py()), shown(y.as_py()), similarity))
+                ok.append(found.root(a) == found.root(b) or alike(shown(x.as_py()), shown(y.as_py()), similarity))
                 if ok[-1]:
                     found.join(a, b)
             if len(found.up) > LOCAL_NODES:
@@ -316,36 +288,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return two.mapInArrow(verify, "a binary, b binary")
 
 
-def wide_links(
-    rows: DataFrame, entries: DataFrame, docs: DataFrame, budget: int, blocks: int, similarity: float, bands: int
-) -> DataFrame:
-    """Like :func:`links`, of all entries that share a key of the wide search or have close fingerprints."""
-    close = checkpointed(close_fingerprints(entries.select("fp").distinct(), budget, blocks))
-    marks = [F.col(k).bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit((i + 1) << 32).cast("long") for i, k in enumerate(_keys(bands))]
-    by_fp = close.select("fp", F.col("fp").alias("k")).union(close.select("other", "fp")).distinct().toDF("__f", "k")
-    keyed = entries.select("entry", F.explode(F.array("fp", *marks)).alias("k")).union(
-        entries.join(by_fp, F.col("fp") == F.col("__f")).where("k <> fp").select("entry", "k"))
-    shared = checkpointed(keyed.groupBy(F.col("k").alias("__k")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("__k"))
-    met = checkpointed(keyed.join(shared, F.col("k") == F.col("__k")).select(F.col("entry").alias("node"), "k"))
-    met = checkpointed(met.join(entries, F.col("node") == F.col("entry")).select("node", "size", "first", "k"))
-    texts = _texts(rows, met.select(F.col("node").alias("e"), F.col("first").alias("f")).distinct(), docs)
-    near = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * similarity - 1e-6
-    return linked_by_keys(met.select("node", "size", "k"), near, lambda pairs: _verified(pairs, texts, similarity))
-
-
-def removed_lines(
-    docs: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS, similarity: float = SIMILARITY, bands: int = 0
-) -> DataFrame:
+def removed_lines(docs: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
     """d, wh (doc_id and hash of the text) and places (of the lines to remove) of every document that loses lines."""
-    rows = checkpointed(lines(docs, bands).withColumn("position", _position("doc_id", "place")))
+    rows = checkpointed(lines(docs).withColumn("position", _position("doc_id", "place")))
     entries = checkpointed(rows.groupBy("entry").agg(
-        F.min("position").alias("first"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"),
-        *[F.min(c).alias(c) for c in (["size"] if bands else []) + _keys(bands)]))
-    if bands:
-        found = wide_links(rows, entries, docs, budget, blocks, similarity, bands)
-    else:
-        found = links(rows, entries, docs, budget, blocks, similarity)
-    roots = components(found, "a", "b")
+        F.min("position").alias("first"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")))
+    roots = components(links(rows, entries, docs, budget, blocks, similarity), "a", "b")
     members = roots.union(roots.select("root", "root")).distinct().toDF("node", "root")
     named = checkpointed(members.join(entries, F.col("node") == F.col("entry")).select("entry", "root", "first"))
     keep = checkpointed(named.groupBy("root").agg(F.min("first").alias("kept")))
@@ -360,11 +308,11 @@ def removed_lines(
 
 def deduplicated(
     docs: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS, similarity: float = SIMILARITY,
-    counts: tuple[str, str] = ("n_lines", "n_removed"), bands: int = 0,
+    counts: tuple[str, str] = ("n_lines", "n_removed"),
 ) -> DataFrame:
     """``docs`` with ``text`` reduced to the lines that stay, and two more columns: its lines, and how many were removed."""
     d, wh, places = fresh(docs, "__d", "__wh", "__places")
-    gone = checkpointed(removed_lines(docs, budget, blocks, similarity, bands)).toDF(d, wh, places)
+    gone = checkpointed(removed_lines(docs, budget, blocks, similarity)).toDF(d, wh, places)
     split = F.split(F.col("text").cast("string"), "\n")
     joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[d]) & (F.xxhash64(docs["text"]) == gone[wh]), "left")
     stay = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col(places), i)), "\n")
@@ -379,7 +327,7 @@ def deduplicated(
 def kept_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines that stay, and ``n_chars``, where it exists, counted anew for documents that lost some."""
     counts = tuple(fresh(docs, "__lines", "__removed"))
-    out = deduplicated(docs, counts=counts, bands=BANDS)
+    out = deduplicated(docs, counts=counts)
     if "n_chars" in docs.columns:
         count = F.when(F.col(counts[1]) > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))

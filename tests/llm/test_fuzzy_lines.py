@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from attribix.llm import fuzzy_lines as L
 from attribix.llm.shared import UnionFind
@@ -124,3 +125,24 @@ def test_places_and_counts(make):
 
 def test_empty(make):
     assert L.kept_lines(make([])).collect() == []
+
+
+@pytest.mark.parametrize("marks", [1, 4])
+def test_groups_under_one_fingerprint(make, marks):
+    """Many unlike lines under few close fingerprints, so most looks at the first line of a fingerprint fail."""
+    rng = random.Random(marks)
+    texts = ["\n".join(" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "epsilon"], k=rng.randint(2, 6))) for _ in range(3)) for _ in range(40)]
+    docs = make(list(enumerate(texts)))
+    rows = L.lines(docs).withColumn("fp", F.pmod("fp", F.lit(marks))).withColumn("position", L._position("doc_id", "place"))
+    entries = rows.groupBy("entry").agg(F.min("position").alias("first"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
+    found, want = UnionFind(), UnionFind()
+    for a, b in L.links(rows, entries, docs, 2, 4, L.SIMILARITY).collect():
+        found.join(a, b)
+    names = sorted({" ".join(w.decode() for w in words) for t in texts for words in L.normal_lines(t)})
+    for i, a in enumerate(names):
+        for b in names[:i]:
+            if L.alike(a, b):
+                want.join(b, a)
+    key = lambda name: xxhash.xxh3_128_digest(name)
+    classes = lambda root: sorted(sorted(n for n in names if root(n) == r) for r in {root(n) for n in names})
+    assert classes(lambda n: found.root(key(n))) == classes(lambda n: want.root(n))
