@@ -1,11 +1,15 @@
 """Secret scans: three base patterns, and strings that a primed zstandard compressor cannot explain.
 
-A candidate is a long string of letters and digits that follows a sensitive word on its line. The compressor is primed
+A candidate is a long string without white space that begins at most ``REACH`` characters behind a sensitive word on its
+line, or on the next line where the word's line ends in a colon or an equals sign. The compressor is primed
 with a dictionary of common identifiers and with the text around the candidate, without the candidate itself. What the
 candidate adds to the compressed size of its lead is its novelty: names, paths and repeated values cost few bytes, keys
-and passwords nearly one byte a character. Candidates that add at least ``NOVELTY`` bytes a character are reported. Long
+and passwords nearly one byte a character. Candidates that add at least ``NOVELTY`` bytes a character are reported; strings
+of letters alone, and passwords with punctuation, have bars of their own, as words of prose look most like these. Runs of
+16 digits or more are hex spans already. Long
 ones, of more than ``WHOLE``, are compressed in pieces of at most ``PIECE`` characters, each primed with those before it: in longer runs entropy
-coding makes even random strings of few symbols cheap. The lines of a private key block are judged as one string.
+coding makes even random strings of few symbols cheap. The lines of a private key block are judged as one string; a block
+without its end runs to its last key-like line. The time is linear in the text, whatever it holds.
 
 Defined results: a null or empty text has no spans. Repeated rows and null doc_ids come out as they went in. Matches of
 one kind never overlap; spans of different kinds may. An empty table gives an empty result. Further columns are not
@@ -15,6 +19,7 @@ read by :func:`found` and not touched by :func:`redacted`.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -22,6 +27,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import takes_over
+
 # Kinds in the order in which they are listed at one start, and the patterns and lengths of the base kinds.
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(
@@ -35,17 +42,29 @@ SENSITIVE = (
     b"access", b"apikey", b"api_key", b"auth", b"bearer", b"client_id", b"cookie", b"credential", b"encryption",
     b"passphrase", b"passwd", b"password", b"private", b"pwd", b"secret", b"session", b"signature", b"signing", b"token",
 )
+#: Those that a password with punctuation may follow.
+PASSWORDS = frozenset(("credential", "passphrase", "passwd", "password", "pwd", "secret"))
 _LEAD = re.compile("|".join(w.decode() for w in SENSITIVE), re.IGNORECASE | re.ASCII)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=~.-]+")
+#: Passwords with punctuation; each must hold a small and a capital letter, a digit and one of the marks.
+_PASSWORD = re.compile(r"[A-Za-z0-9!@#$%^&*?+=_~-]+")
+_MARKED = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])(?=.*[!@#$%^&*?])")
 _BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*-----", re.ASCII)
 #: Lines of a block, also with line ends written as escapes.
 _BLOCK_LINE = re.compile(r"(?:(?<=\s)|(?<=\\[nr]))[A-Za-z0-9+/=]+(?=\s|\\[nr])")
+#: A line of a block that has no end: long, or the padded rest of a key.
+_OPEN_LINE = re.compile(r"(?:\s|\\[nr])+(?:[A-Za-z-]+: [^\n\\]*(?:\s|\\[nr])+)*([A-Za-z0-9+/=]{16,}|[A-Za-z0-9+/]+={1,2})(?=\s|\\[nr]|$)")
 _LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 
 #: Characters between the sensitive word and the candidate at most; characters of surrounding text on each side.
-REACH = 48
+REACH = 128
 AROUND = 1024
-NOVELTY = 0.7
+#: Least length and least novelty of strings with letters and digits, of letters alone, and of passwords with punctuation.
+LENGTH, NOVELTY = 16, 0.7
+LETTERS_LENGTH, LETTERS_NOVELTY = 24, 0.85
+PASSWORD_LENGTH, PASSWORD_NOVELTY = 12, 0.8
+#: Share of vowels above which letters of one case may be a word.
+VOWELS = 0.23
 WHOLE, PIECE = 64, 48
 
 IDENTIFIERS = b"""
@@ -104,39 +123,104 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+class _Taken:
+    """Spans already reported, merged, to be asked in the order of the text or not."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def touches(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end) - 1
+        return k >= 0 and self.ends[k] > start
+
+
 def _novel(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
-    """Lines of key blocks, and candidates of each sensitive word, up to its line's end; none that touches a base span."""
-    taken, done = sorted((s, e) for _, s, e in base), 0
-    block = [(s, e) for s, e in _key_blocks(text) if not any(x < e and s < y for x, y in taken)]
+    """Lines of key blocks, and candidates of each sensitive word; none that touches a base span."""
+    found = _Taken((s, e) for _, s, e in base)
+    block = [(s, e) for s, e in _key_blocks(text) if not found.touches(s, e)]
     yield from (("novel", s, e) for s, e in block)
-    taken += block
+    found = _Taken([*zip(found.starts, found.ends), *block])
+    done, stop = 0, -1
     for word in _LEAD.finditer(text):
-        stop = text.find("\n", word.end())
-        stop = len(text) if stop < 0 else stop
-        for m in _CANDIDATE.finditer(text, max(word.end(), done), stop):
-            start, end = m.span()
-            if start > word.end() + REACH:
-                break
-            done = end
-            value = m[0]
-            if not (_LETTER.search(value) and _DIGIT.search(value)) or any(s < end and start < e for s, e in taken):
-                continue
-            if novelty(text, start, end) >= NOVELTY:
-                yield "novel", start, end
+        end = word.end()
+        if end > stop:
+            stop = _line_end(text, end)
+            over = text[max(0, stop - 4) : stop].rstrip()[-1:] in (":", "=")
+        parts = [(end, min(stop, end + REACH), stop)]
+        if over and stop - end <= REACH and stop < len(text):
+            after = _line_end(text, stop + 1)
+            parts.append((stop + 1, min(after, stop + 1 + REACH), after))
+        for low, high, last in parts:
+            at = max(low, done)
+            while at <= high and (run := _CLASS.search(text, at, min(last, high + 1))):
+                start = run.start()
+                at, value = _judged(text, start, last, word[0].lower() in PASSWORDS)
+                done = max(done, at)
+                if value and not found.touches(*value):
+                    yield "novel", *value
+
+
+_CLASS = re.compile(r"[A-Za-z0-9+/_=~.!@#$%^&*?-]")
+
+
+def _line_end(text: str, at: int) -> int:
+    end = text.find("\n", at)
+    return len(text) if end < 0 else end
+
+
+def _judged(text: str, start: int, last: int, password: bool) -> tuple[int, tuple[int, int] | None]:
+    """Where the string that begins here ends, and its span if it is novel enough."""
+    plain = _RUN.match(text, start, last)
+    marked = _PASSWORD.match(text, start, last)
+    end = max(m.end() for m in (plain, marked) if m)
+    if password and marked and (plain is None or marked.end() > plain.end()) and marked.end() - start >= PASSWORD_LENGTH:
+        value = marked[0].rstrip("!?")
+        if len(value) >= PASSWORD_LENGTH and _MARKED.match(value):
+            return end, (start, start + len(value)) if novelty(text, start, start + len(value)) >= PASSWORD_NOVELTY else None
+    if plain is None or plain.end() - start < LENGTH or not _LETTER.search(plain[0]):
+        return max(start + 1, plain.end() if plain else end), None
+    least = NOVELTY
+    if not _DIGIT.search(plain[0]):
+        if plain.end() - start < LETTERS_LENGTH or not plain[0].isalpha() or _like_a_word(plain[0]):
+            return plain.end(), None
+        least = LETTERS_NOVELTY
+    return plain.end(), plain.span() if novelty(text, *plain.span()) >= least else None
+
+
+def _like_a_word(letters: str) -> bool:
+    """Long words and names are new to any dictionary; they change their case seldom and have a vowel in four letters or so."""
+    changes = sum(a.islower() != b.islower() for a, b in zip(letters, letters[1:]))
+    return changes * 5 < 2 * len(letters) and sum(map(letters.lower().count, "aeiou")) > VOWELS * len(letters)
 
 
 def _key_blocks(text: str) -> Iterator[tuple[int, int]]:
     """Spans of the lines of private key blocks that hold a novel string."""
-    end = 0
-    for head in _BLOCK.finditer(text):
-        if head.start() < end:
+    heads = [m.span() for m in _BLOCK.finditer(text)]
+    closed = text.find("-----END", heads[0][1]) if heads else -1
+    for k, (_, at) in enumerate(heads):
+        if -1 < closed < at:
+            closed = text.find("-----END", at)
+        upto = heads[k + 1][0] if k + 1 < len(heads) else len(text)
+        if -1 < closed <= upto:
+            lines = [m.span() for m in _BLOCK_LINE.finditer(text, at, closed)]
+        else:
+            lines = []
+            while m := _OPEN_LINE.match(text, at, upto):
+                lines.append(m.span(1))
+                at = m.end()
+        if not lines:
             continue
-        end = text.find("-----END", head.end())
-        if end < 0:
-            return
-        lines = [m.span() for m in _BLOCK_LINE.finditer(text, head.end(), end)]
         value = "".join([text[s:e] for s, e in lines])
-        if len(value) >= 16 and novelty(text[: head.end()] + value + text[end:], head.end(), head.end() + len(value)) >= NOVELTY:
+        lead = text[max(0, lines[0][0] - AROUND) : lines[0][0]]
+        around = lead + value + text[lines[-1][1] : lines[-1][1] + AROUND]
+        if len(value) >= LENGTH and novelty(around, len(lead), len(lead) + len(value)) >= NOVELTY:
             yield from lines
 
 
@@ -147,6 +231,7 @@ def found(docs: DataFrame) -> DataFrame:
     """doc_id and spans of every document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_over("secrets", lambda: None)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans_of(t.as_py())] for t in batch.column("text")]
@@ -181,6 +266,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     @F.arrow_udf("string")
     def masked(texts: pa.Array) -> pa.Array:
+        takes_over("secrets", lambda: None)
         return pa.array([mask(t.as_py()) for t in texts], pa.string())
 
     columns = docs.columns
