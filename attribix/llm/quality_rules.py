@@ -18,14 +18,15 @@ are not touched, whatever their names.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .shared import ascii_words, fresh
+from .shared import ascii_words, fresh, staged, takes_over
 
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 50
@@ -77,25 +78,40 @@ def measures(text: str | None) -> tuple[int, int, int, int, int, int]:
     return n, chars, symbols, len(lines), len(lines) - len(set(lines)), repeated
 
 
+NAMES = [x.split()[0] for x in MEASURES.split(", ")]
+
+
+def _columns(texts: Iterable) -> list[pa.Array]:
+    rows = [measures(t.as_py()) for t in texts]
+    return [pa.array(c, pa.int64()) for c in (list(zip(*rows)) or [()] * len(NAMES))]
+
+
 def _measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in MEASURES.split(", ")]
+    takes_over("rules", lambda: None)
     for batch in batches:
-        rows = [measures(t.as_py()) for t in batch.column("text")]
-        cols = list(zip(*rows)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("source"), batch.column("__hash"), *(pa.array(c, pa.int64()) for c in cols)],
-            names=["doc_id", "source", "__hash", *names],
-        )
+            [batch.column("doc_id"), batch.column("source"), *_columns(batch.column("text"))], names=["doc_id", "source", *NAMES])
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, __hash (of the text) and the measures and rule columns, a row for each document."""
+    """doc_id, source and the measures and rule columns, a row for each document."""
     rows = docs.select(
-        F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"), F.xxhash64("text").alias("__hash")
-    ).mapInArrow(_measured, f"doc_id long, source string, __hash long, {MEASURES}")
+        F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")
+    ).mapInArrow(_measured, f"doc_id long, source string, {MEASURES}")
     return rows.withColumns({name: F.expr(rule) for name, rule in RULES.items()})
 
 
+def _failures(text: Column) -> Column:
+    """Struct of the rule columns of each text; texts alone go through Python, the rest of the row stays where it is."""
+
+    @F.arrow_udf(f"struct<{MEASURES.replace(' ', ':').replace(',:', ',')}>")
+    def measure(texts: pa.Array) -> pa.Array:
+        takes_over("rules", lambda: None)
+        return pa.StructArray.from_arrays(_columns(texts), NAMES)
+
+    return measure.asNondeterministic()(text)
+
+
 def host_verdicts(rows: DataFrame) -> DataFrame:
     """One row per host: documents, shrunk rate and verdict, from :func:`measured` rows.
 
@@ -143,14 +159,19 @@ def judged(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows the rules reject, all columns as they were.
 
-    Rows are found again by doc_id, source and a hash of the text, so rows that share an id are judged one by one.
+    The rows are written once with their measures beside them. Only the verdicts of hosts that are not neutral are joined
+    to them, so no text is shuffled while adaptive execution finds these few.
     """
-    names = fresh(docs, "__id", "__source", "__h")
-    kept = judged(docs).where("kept").select("doc_id", "source", "__hash").toDF(*names)
-    return docs.join(
-        kept,
-        docs["doc_id"].cast("long").eqNullSafe(kept[names[0]])
-        & docs["source"].cast("string").eqNullSafe(kept[names[1]])
-        & (F.xxhash64(docs["text"]) == kept[names[2]]),
-        "left_semi",
-    )
+    m, host, verdict = fresh(docs, "__m", "__host", "__verdict")
+    rows = staged(docs.withColumn(m, _failures(F.col("text").cast("string"))), "rules")
+    rules = {r: F.expr(_over(rule, m)) for r, rule in RULES.items()}
+    hosts = host_verdicts(rows.select(F.col("source").cast("string").alias("source"), *[c.alias(r) for r, c in rules.items()]))
+    hosts = checkpointed(hosts.where("host_verdict <> 'neutral'").select(F.col("source").alias(host), F.col("host_verdict").alias(verdict)))
+    named = rows.join(hosts, rows["source"].cast("string").eqNullSafe(hosts[host]), "left")
+    said, own = F.coalesce(verdict, F.lit("neutral")), F.greatest(*[rules[r] for r in OWN])
+    return named.where(~rules["fail_base"] & (said != "rejected") & (~own | (said == "trusted"))).select(*docs.columns)
+
+
+def _over(rule: str, column: str) -> str:
+    """The rule over the fields of a struct column."""
+    return re.sub("|".join(rf"\b{n}\b" for n in NAMES), lambda found: f"{column}.{found[0]}", rule)
