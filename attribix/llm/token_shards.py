@@ -136,7 +136,7 @@ class KeyIndex:
 
 
 def _key(doc: Column, nth: Column) -> dict[str, Column]:
-    """Two hashes of a key. A null doc_id differs from all others."""
+    """Two hashes of a key: the first chooses bucket and slot, the second gives the stored fingerprint. A null doc_id differs from all others."""
     parts = (doc.isNull(), F.coalesce(doc, F.lit(0).cast("long")), nth.cast("int"))
     return {"key": F.xxhash64(*parts), "mark": F.xxhash64(F.lit("mark"), *parts)}
 
@@ -212,7 +212,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int = END) -> None:
         .join(carried, (F.col("shard") == F.col("__s")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
         .withColumn("nth", (F.col("nth") + F.coalesce("carried", F.lit(0))).cast("int"))
         .withColumns(_key(F.col("doc_id"), F.col("nth")))
-        .select(F.pmod("mark", F.lit(buckets)).cast("int").alias("bucket"), "key", "mark", "shard", "n", "at", (F.col("at") + F.col("base")).alias("start"))
+        .select(F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), "key", "mark", "shard", "n", "at", (F.col("at") + F.col("base")).alias("start"))
     )
 
     def build(group: pa.Table) -> pa.Table:
@@ -230,7 +230,7 @@ def find(keys: DataFrame, folder: str) -> DataFrame:
     row = index.select("buckets").first()
     buckets = row[0] if row else 1
     asked = keys.select(F.col("doc_id").cast("long"), F.col("nth").cast("int")).withColumns(_key(F.col("doc_id"), F.col("nth")))
-    asked = asked.withColumn("bucket", F.pmod("mark", F.lit(buckets)).cast("int"))
+    asked = asked.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
 
     def look(wanted: pa.Table, held: pa.Table) -> pa.Table:
         if not wanted.num_rows or not held.num_rows:

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from attribix.llm import packing, prefix_bpe, token_shards
@@ -253,3 +254,25 @@ def test_two_fit_beats_greedy():
         assert bins <= greedy
         better += bins < greedy
     assert better
+
+
+def test_fingerprints_are_apart_from_the_bucket():
+    """Keys of one of 2^14 buckets: foreign keys of the bucket are told apart by all 32 bits of the fingerprint."""
+    rng = np.random.default_rng(2)
+
+    def draw(n):
+        keys = rng.integers(0, 1 << 64, n, np.uint64) & ~np.uint64((1 << 14) - 1) | np.uint64(77)
+        return keys, rng.integers(0, 1 << 64, n, np.uint64)
+
+    keys, marks = draw(2_000)
+    values = {c: np.arange(2_000) for c in ("shard", "n", "at", "start")}
+    index = token_shards.KeyIndex.build(keys, marks, values)
+    assert sorted(index.find(keys, marks).tolist()) == list(range(2_000))
+    assert (index.find(*draw(1_000_000)) >= 0).sum() <= 1
+
+
+def test_the_bucket_leaves_the_fingerprint_alone(llm):
+    """Over many buckets the fingerprints of a bucket's keys differ in their lowest bits."""
+    keyed = llm.range(40_000).select(*[c.alias(n) for n, c in token_shards._key(F.col("id"), F.lit(0)).items()])
+    rows = keyed.where(F.pmod("key", F.lit(1 << 6)) == 5).select((F.col("mark") % 64).alias("m")).distinct().count()
+    assert rows > 50
