@@ -1,7 +1,7 @@
 """Near-duplicates by SimHash, found by a self-join of the binary trie of fingerprints.
 
 The trie's nodes are walked in pairs from the root. A pair carries the bits in which its two prefixes differ; children
-whose differing bits exceed the budget are never visited. The upper levels are walked by Spark, ``STRIDE`` bits a
+whose differing bits exceed the budget are never visited. The upper levels are walked by Spark, a few bits a
 round and only where a pair still holds more than ``LEAF`` fingerprints, so a crowded node (a large group of near
 copies) is split further while the others are done. The rest of the walk runs inside tasks, on two sorted blocks of
 at most ``LEAF`` fingerprints each.
@@ -16,6 +16,7 @@ rows each get a row. An empty table gives an empty result. Further columns are n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,15 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .shared import UnionFind, ascii_words, components, fresh
+from .shared import UnionFind, ascii_words, components, fresh, takes_over
 
 SEED = 42
 SHINGLE = 3
 BUDGET = 2
 #: Fingerprints of a node that one task takes whole.
 LEAF = 4096
-#: Bits the trie goes down in one round of Spark.
+#: Bits the trie goes down in one round of Spark at most.
 STRIDE = 6
+#: Pairs of fingerprints in the node pairs of one task, most of which the walk never looks at; a fraction of a second.
+WORK = 1 << 29
 #: Node pairs a task holds at a time; more are put aside and walked later.
 FRONTIER = 200_000
 #: Products of two nodes' sizes at which their fingerprints are compared at once.
@@ -58,6 +61,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    takes_over("simhash", lambda: None)
     for batch in batches:
         found = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64)
         yield pa.RecordBatch.from_arrays(
@@ -151,34 +155,35 @@ def _walk(budget: int):
     return run
 
 
-def linked(distinct: DataFrame, budget: int = BUDGET, leaf: int = LEAF, stride: int = STRIDE) -> DataFrame:
-    """(fp, root, n_links): stars of fingerprints within ``budget`` bits of each other, from distinct ones.
+def node_pairs(distinct: DataFrame, budget: int = BUDGET, leaf: int = LEAF, stride: int = STRIDE) -> DataFrame:
+    """(depth, x, y, n, m): pairs of trie nodes within the budget, each of at most ``leaf`` fingerprints, and their sizes.
 
-    n_links counts the partners met in one pair of nodes; each pair of fingerprints meets in exactly one, so their
-    sums are exact.
+    Every two fingerprints within the budget lie in exactly one pair. A round goes down as many bits as bring the middle
+    one of the nodes that are still too large just below ``leaf``, so nodes are not cut finer than they need; what is
+    larger goes on in the next round.
     """
     node = lambda d: F.shiftrightunsigned("fp", 64 - d) if d else F.lit(0).cast("long")
-    low = (1 << stride) - 1
-    masks = sorted((m for m in range(low + 1) if m.bit_count() <= budget), key=int.bit_count)
-    spark, done, depth = distinct.sparkSession, [], 0
+    done, depth = None, 0
     pairs = distinct.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(
         F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("bits"), "n",
         F.col("n").alias("m"))
     while True:
         pairs = checkpointed(pairs)
         small = (F.greatest("n", "m") <= leaf) if depth < 64 else F.lit(True)
-        done.append(pairs.where(small).select(F.lit(depth).alias("depth"), "x", "y"))
+        part = pairs.where(small).select(F.lit(depth).alias("depth"), "x", "y", "n", "m")
+        done = part if done is None else done.union(part)
         open_pairs = pairs.where(~small)
-        if depth >= 64 or open_pairs.isEmpty():
-            break
-        step = min(stride, 64 - depth)
+        size = None if depth >= 64 else open_pairs.agg(F.percentile_approx(F.greatest("n", "m"), 0.5)).first()[0]
+        if size is None:
+            return done
+        step = min(max(1, math.ceil(math.log2(size / leaf))), stride, 64 - depth)
+        masks = sorted((m for m in range(1 << step) if m.bit_count() <= budget), key=int.bit_count)
         below = checkpointed(distinct.groupBy(node(depth + step).alias("kid")).agg(F.count(F.lit(1)).alias("size")))
         kids = below.withColumn("parent", F.shiftrightunsigned("kid", step))
-        mask = F.array(*[F.lit(m).cast("long") for m in masks if m < 1 << step])
         wanted = (
             open_pairs.join(kids, F.col("x") == F.col("parent"))
             .select(F.col("kid").alias("x2"), F.col("size").alias("n2"), "x", "y", "bits")
-            .withColumn("mask", F.explode(mask))
+            .withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
             .where(F.col("bits") + F.bit_count("mask") <= budget)
             .withColumn("y2", F.shiftleft("y", step).bitwiseOR(
                 F.col("x2").bitwiseAND(F.lit((1 << step) - 1).cast("long")).bitwiseXOR(F.col("mask"))))
@@ -189,12 +194,21 @@ def linked(distinct: DataFrame, budget: int = BUDGET, leaf: int = LEAF, stride:
             (F.col("bits") + F.bit_count("mask")).cast("int").alias("bits"), F.col("n2").alias("n"),
             F.col("size").alias("m"))
         depth += step
-    tasks = None
-    for part in done:
-        tasks = part if tasks is None else tasks.union(part)
-    depths = [r[0] for r in tasks.select("depth").distinct().collect()]  # at most 64 / stride + 1 of them
+
+
+def linked(distinct: DataFrame, budget: int = BUDGET, leaf: int = LEAF, stride: int = STRIDE) -> DataFrame:
+    """(fp, root, n_links): stars of fingerprints within ``budget`` bits of each other, from distinct ones.
+
+    n_links counts the partners met in one pair of nodes; each pair of fingerprints meets in exactly one, so their
+    sums are exact. The pairs are dealt over tasks by the work they make, as their bytes say little of it.
+    """
+    spark = distinct.sparkSession
+    node = lambda d: F.shiftrightunsigned("fp", 64 - d) if d else F.lit(0).cast("long")
+    tasks = node_pairs(distinct, budget, leaf, stride)
+    depths = [r[0] for r in tasks.select("depth").distinct().collect()]  # at most 64 of them
     if not depths:
         return spark.createDataFrame([], "fp long, root long, n_links long")
+    parts = max(1, -(-int(tasks.agg(F.sum(F.col("n") * F.col("m"))).first()[0]) // WORK))
     ends = tasks.select("depth", F.col("x").alias("node")).union(tasks.select("depth", "y")).distinct()
     blocks = None
     for d in depths:
@@ -202,13 +216,14 @@ def linked(distinct: DataFrame, budget: int = BUDGET, leaf: int = LEAF, stride:
         blocks = part if blocks is None else blocks.union(part)
     blocks = checkpointed(
         blocks.join(ends, ["depth", "node"], "left_semi").groupBy("depth", "node").agg(F.collect_list("fp").alias("fps")))
-    left = blocks.select(F.col("depth").alias("__d"), F.col("node").alias("__n"), F.col("fps").alias("xs"))
-    right = blocks.select(F.col("depth").alias("__e"), F.col("node").alias("__m"), F.col("fps").alias("ys"))
-    alone = tasks.where("x = y").join(left, (F.col("depth") == F.col("__d")) & (F.col("x") == F.col("__n"))).select(
+    left = blocks.select(F.col("depth").alias("__d"), F.col("node").alias("__n"), F.col("fps").alias("xs")).repartition(parts, "__d", "__n")
+    right = blocks.select(F.col("depth").alias("__e"), F.col("node").alias("__m"), F.col("fps").alias("ys")).repartition(parts, "__e", "__m")
+    alone = tasks.where("x = y").repartition(parts, "depth", "x").join(left, (F.col("depth") == F.col("__d")) & (F.col("x") == F.col("__n"))).select(
         "depth", "xs", F.lit(None).cast("array<long>").alias("ys"))
     two = (
-        tasks.where("x <> y")
-        .join(left, (F.col("depth") == F.col("__d")) & (F.col("x") == F.col("__n")))
+        tasks.where("x <> y").repartition(parts, "depth", "x")
+        .join(left, (F.col("depth") == F.col("__d")) & (F.col("x") == F.col("__n"))).select("depth", "y", "xs")
+        .repartition(parts, "depth", "y")
         .join(right, (F.col("depth") == F.col("__e")) & (F.col("y") == F.col("__m")))
         .select("depth", "xs", "ys")
     )

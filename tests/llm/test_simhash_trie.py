@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -111,3 +112,31 @@ def test_one_of_each_keeps_rows_of_other_groups(make):
     rows = [(1, "alpha beta gamma delta"), (1, "quite another text here"), (2, "alpha beta gamma delta"), (1, "alpha beta gamma delta")]
     kept = sorted((r.doc_id, r.text) for r in S.one_of_each(make(rows)).collect())
     assert kept == [(1, "alpha beta gamma delta"), (1, "quite another text here")]
+
+
+def test_nodes_are_cut_no_finer_than_they_need(llm):
+    """No step in the cost where nodes begin to outgrow the leaf, and no lost or doubled pair of halves."""
+    looks, sizes = {}, {}
+    for n in (3_900, 4_300, 60_000, 70_000, 120_000, 250_000, 280_000):
+        pairs = S.node_pairs(llm.range(n).select(F.xxhash64("id").alias("fp"))).agg(
+            F.count(F.lit(1)).alias("c"), F.sum(F.col("n") + F.col("m")).alias("s"), F.max(F.greatest("n", "m")).alias("most")).first()
+        looks[n], sizes[n] = pairs.s / n, pairs.most
+    assert all(m <= S.LEAF for m in sizes.values())
+    for n, look in looks.items():
+        depth = max(0, math.ceil(math.log2(n / S.LEAF)))
+        assert look <= 2 * (1 + depth + depth * (depth - 1) // 2)  # nodes within two bits of one at the depth it needs
+    assert looks[70_000] <= 2 * looks[60_000] and looks[280_000] <= 2 * looks[250_000]
+
+
+@pytest.mark.parametrize("leaf, stride", [(8, 1), (8, 6), (40, 3)])
+def test_hot_nodes_beside_even_ones(llm, leaf, stride):
+    """A crowd of near copies among spread fingerprints: every pair within the budget is met once."""
+    rng = random.Random(leaf + stride)
+    centre = rng.getrandbits(64)
+    values = {rng.getrandbits(64) for _ in range(150)} | {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(300)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    got = {}
+    for r in S.linked(llm.createDataFrame([(v,) for v in signed], "fp long"), 2, leaf, stride).collect():
+        got[r.fp] = got.get(r.fp, 0) + r.n_links
+    want = {a: n for a in signed if (n := sum(a != b and (a % 2**64 ^ b % 2**64).bit_count() <= 2 for b in signed))}
+    assert got == want
