@@ -1,7 +1,9 @@
 """URL filters: explicit host and path rules, and a reputation of hosts where no rule fits.
 
-The reputation is the rate of good outcomes among the labelled pages of a host, shrunk along host, registered domain,
-suffix and the whole table: each level's posterior mean is the centre of the beta prior of the level below, and the
+The reputation is the rate of good outcomes among the labelled pages of a host, whatever its port and user name, shrunk
+along host, registered domain, suffix and the whole table. The suffix is the last label, or the last two where these are
+listed or at least ``SUFFIX_NAMES`` distinct names stand directly below them in the table; an address of numbers is its
+own domain and suffix. In the chain each level's posterior mean is the centre of the beta prior of the level below, and the
 prior's weight comes from the spread of the rates at that level. A page is blocked if the upper posterior bound of its
 host is below ``MIN_GOOD``. Hosts without labelled pages have the prior of their domain, domains that of their suffix.
 
@@ -30,8 +32,16 @@ MIN_GOOD = 0.5
 Z = 2.0
 WEIGHT_MIN, WEIGHT_MAX = 2.0, 1_000.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Suffixes of two labels under which names are registered; all others have one.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.uk", "org.uk", "com.au", "net.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
+#: Suffixes of two labels under which names are registered; more can be given, and others are learned.
+TWO_LABEL_SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "nhs.uk", "org.uk", "plc.uk", "sch.uk", "com.au", "edu.au", "gov.au", "net.au",
+    "org.au", "ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp", "ac.nz", "co.nz", "govt.nz", "net.nz", "org.nz", "com.br", "gov.br", "net.br",
+    "org.br", "ac.in", "co.in", "gov.in", "net.in", "org.in", "ac.za", "co.za", "gov.za", "org.za", "com.cn", "gov.cn", "net.cn", "org.cn",
+    "com.mx", "gob.mx", "com.tr", "gov.tr", "com.ar", "gob.ar", "co.kr", "or.kr", "com.tw", "com.hk", "com.sg", "co.il", "com.pl", "com.ua",
+)
+#: Distinct names directly below two labels from which these count as a suffix.
+SUFFIX_NAMES = 20
+ADDRESS = r"\A[0-9]+(\.[0-9]+){3}\z"
 
 
 def host_of(url: Column) -> Column:
@@ -56,20 +66,28 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found if found is not None else F.lit(None).cast("struct<verdict:string,rule:string>")
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def name_of(host: Column) -> Column:
+    """The host without user name, port and closing dot."""
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r"\.?(:[0-9]*)?\z", "")
 
 
-def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def with_domains(hosts: DataFrame, suffixes=TWO_LABEL_SUFFIXES, names: int = SUFFIX_NAMES) -> DataFrame:
+    """``hosts`` (one row per name) with the registered domain and the suffix of each name."""
+    two, three = F.substring_index("name", ".", -2), F.substring_index("name", ".", -3)
+    below = F.substring_index(three, ".", 1)
+    learned = hosts.where((three != two) & ~F.col("name").rlike(ADDRESS)).groupBy(two.alias("__two")).agg(
+        F.countDistinct(below).alias("c")).where(F.col("c") >= names).select("__two")
+    wide = F.col("__two").isNotNull() | two.isin(*suffixes)
+    marked = hosts.join(checkpointed(learned), two == F.col("__two"), "left").withColumn("__wide", wide)
+    number = F.col("name").rlike(ADDRESS)
+    return marked.withColumn("domain", F.when(number, F.col("name")).when(F.col("__wide"), three).otherwise(two)).withColumn(
+        "suffix", F.when(number, F.col("name")).when(F.col("__wide"), two).otherwise(F.substring_index("name", ".", -1))).drop("__two", "__wide")
 
 
 def located(pages: DataFrame) -> DataFrame:
-    """page_id, host, path of every page."""
+    """page_id, host, path, and name (host without port and user name) of every page."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
-    return pages.select(F.col("page_id").cast("long"), host_of(url).alias("host"), path_of(url).alias("path"))
+    return pages.select(F.col("page_id").cast("long"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("name", name_of(F.col("host")))
 
 
 def _level(rows: DataFrame, key: str) -> DataFrame:
@@ -94,13 +112,13 @@ def _level(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def reputation(found: DataFrame, outcomes: DataFrame, page: str, good: str) -> DataFrame:
-    """host, n, good, mean, upper of every host of ``found`` (page_id, host), from outcomes (page, good 0 or 1)."""
+def reputation(found: DataFrame, outcomes: DataFrame, page: str, good: str, suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
+    """name, n, good, mean, upper of every name of ``found`` (page_id, name), from outcomes (page, good 0 or 1)."""
     label = outcomes.where(F.col(good).isNotNull()).groupBy(F.col(page).cast("long").alias("__page")).agg(
         F.count(F.lit(1)).alias("__n"), F.sum(F.col(good).cast("long")).alias("__good"))
-    hosts = found.join(label, F.col("page_id") == F.col("__page"), "left").groupBy("host").agg(
+    hosts = found.join(label, F.col("page_id") == F.col("__page"), "left").groupBy("name").agg(
         F.coalesce(F.sum("__n"), F.lit(0)).alias("n"), F.coalesce(F.sum("__good"), F.lit(0)).alias("good"))
-    hosts = checkpointed(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
+    hosts = checkpointed(with_domains(checkpointed(hosts), suffixes))
     domains = checkpointed(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     overall = suffixes.agg(F.coalesce(F.sum("good") / F.when(F.sum("n") > 0, F.sum("n")), F.lit(1.0)).alias("c")).scalar()
@@ -109,18 +127,19 @@ def reputation(found: DataFrame, outcomes: DataFrame, page: str, good: str) -> D
     domains = checkpointed(_level(
         domains.join(suffixes, F.col("suffix") == F.col("__s")), "domain").select(
         F.col("domain").alias("__d"), F.col("mean").alias("centre")))
-    return _level(hosts.join(domains, F.col("domain") == F.col("__d")), "host")
+    return _level(hosts.join(domains, F.col("domain") == F.col("__d")), "name")
 
 
 def judged(
-    pages: DataFrame, outcomes: DataFrame, page: str = "doc_id", good: str = "quality", rules=RULES, min_good: float = MIN_GOOD
+    pages: DataFrame, outcomes: DataFrame, page: str = "doc_id", good: str = "quality", rules=RULES, min_good: float = MIN_GOOD,
+    suffixes=TWO_LABEL_SUFFIXES,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, and mean and upper bound of the host, for every page."""
     found = located(pages)
-    hosts = checkpointed(reputation(found, outcomes, page, good).select(
-        F.col("host").alias("__host"), F.col("mean").alias("host_mean"), F.col("upper").alias("host_upper")))
+    hosts = checkpointed(reputation(found, outcomes, page, good, suffixes).select(
+        F.col("name").alias("__name"), F.col("mean").alias("host_mean"), F.col("upper").alias("host_upper")))
     hit = found.withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
     own = F.when(F.col("host_upper") < min_good, "block").otherwise("allow")
-    return hit.join(hosts, F.col("host") == F.col("__host")).select(
+    return hit.join(hosts, F.col("name") == F.col("__name")).select(
         "page_id", "host", "path", F.col("__rule.rule").alias("rule"),
         F.coalesce(F.col("__rule.verdict"), own).alias("verdict"), "host_mean", "host_upper")

@@ -113,8 +113,7 @@ def op2_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_cotraining")
 def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return cotraining.scored(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+    return cotraining.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @query("op4_token_shards")
@@ -192,16 +191,21 @@ hits as (
   group by host, path
 ),
 marks as (select doc_id, count(*) as n, sum(quality) as good from labels where quality is not null group by doc_id),
+located as (select *, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), '\.?(:[0-9]*)?\z', '') as name from urls),
+counted as (
+  select name, coalesce(sum(n), 0) as n, coalesce(sum(good), 0) as good, string_split(name, '.') as parts
+  from located left join marks on page_id = doc_id group by name
+),
 hosts as (
-  select host, coalesce(sum(n), 0) as n, coalesce(sum(good), 0) as good,
-    array_to_string(string_split(host, '.')[-2:], '.') as two, string_split(host, '.')[-1] as last,
-    array_to_string(string_split(host, '.')[-3:], '.') as three
-  from urls left join marks on page_id = doc_id group by host
+  select *, array_to_string(parts[-2:], '.') as two, parts[-1] as last, array_to_string(parts[-3:], '.') as three,
+    regexp_matches(name, '{host_reputation.ADDRESS}') as number
+  from counted
 ),
+learned as (select two from hosts where len(parts) > 2 and not number group by two having count(distinct parts[-3]) >= {host_reputation.SUFFIX_NAMES}),
 named as (
-  select host, n, good, case when two in {host_reputation.TWO_LABEL_SUFFIXES} then two else last end as suffix,
-    case when two in {host_reputation.TWO_LABEL_SUFFIXES} then three else two end as domain
-  from hosts
+  select name, n, good, case when number then name when wide then two else last end as suffix,
+    case when number then name when wide then three else two end as domain
+  from (select *, two in {host_reputation.TWO_LABEL_SUFFIXES} or two in (select two from learned) as wide from hosts)
 ),
 suffix_in as (
   select suffix, sum(n) as n, sum(good) as good, (select coalesce(sum(good) / nullif(sum(n), 0), 1.0) from named) as centre
@@ -213,12 +217,12 @@ domain_in as (
   from named join suffixes using (suffix) group by domain, suffix
 ),
 {_level_sql("domains", "domain_in", "domain")},
-host_in as (select host, n, good, mean as centre from named join domains using (domain)),
-{_level_sql("reputations", "host_in", "host")}
+host_in as (select name, n, good, mean as centre from named join domains using (domain)),
+{_level_sql("reputations", "host_in", "name")}
 select page_id, host, path, rule,
   coalesce(verdict, case when upper < {host_reputation.MIN_GOOD} then 'block' else 'allow' end) as verdict,
   round(mean, 9) as host_mean
-from urls join reputations using (host) left join hits using (host, path)
+from located join reputations using (name) left join hits using (host, path)
 """
 
 

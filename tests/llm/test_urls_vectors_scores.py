@@ -62,6 +62,25 @@ def test_reputation(llm):
     assert {r.host: r.verdict for r in again} == {h: r.verdict for h, r in got.items()}
 
 
+def test_names_domains_and_suffixes(llm):
+    names = ["a.gov.uk", "b.gov.uk", "www.a.co.uk", "x.com", "10.0.0.1", "localhost", "", "many.site", *[f"{p}n{i}.host.org" for i in range(25) for p in ("", "www.")]]
+    rows = llm.createDataFrame([(n,) for n in names], "name string")
+    got = {r.name: (r.domain, r.suffix) for r in host_reputation.with_domains(rows).collect()}
+    assert got["a.gov.uk"] == ("a.gov.uk", "gov.uk") and got["b.gov.uk"][0] == "b.gov.uk" and got["www.a.co.uk"] == ("a.co.uk", "co.uk")
+    assert got["x.com"] == ("x.com", "com") and got["10.0.0.1"] == ("10.0.0.1", "10.0.0.1") and got["localhost"] == ("localhost", "localhost")
+    assert got["many.site"] == ("many.site", "site") and got[""] == ("", "")
+    # 25 names stand below host.org, so it acts as a suffix.
+    assert got["www.n3.host.org"] == ("n3.host.org", "host.org") and got["n3.host.org"] == ("n3.host.org", "host.org")
+    few = {r.name: r.domain for r in host_reputation.with_domains(rows, (), 26).collect()}
+    assert few["www.n3.host.org"] == "host.org" and few["a.gov.uk"] == "gov.uk"
+
+
+def test_ports_and_user_names_share_a_reputation(llm):
+    urls = [(i, f"http://{'u:p@' if i % 3 == 0 else ''}a.bad.org{':8080' if i % 2 else ''}{'.' if i == 5 else ''}/x") for i in range(60)]
+    rows = host_reputation.judged(pages(llm, urls), outcomes(llm, [(i, 0) for i in range(60)])).collect()
+    assert len({round(r.host_mean, 12) for r in rows}) == 1 and len({r.host for r in rows}) == 5
+
+
 def test_no_pages(llm):
     assert host_reputation.judged(pages(llm, []), outcomes(llm, [(1, 1)])).collect() == []
 
@@ -155,20 +174,65 @@ def test_held_out_accuracy(llm, make):
     right = lambda name: np.mean([(rows[i][name] >= 0.5) == (y == 1) for i, y in test])
     assert right("score") > 0.97 and right("p_metadata") > 0.8
     assert all(rows[i].kept == (rows[i].score >= 0.5) for i, _ in test)
-    assert cotraining.train(make(docs), outcomes(llm, [x for x in labels if x[0] % 3 == 0])).views[0].weights.tolist() == model.views[0].weights.tolist()
+    again = cotraining.train(make(docs).repartition(5), outcomes(llm, [x for x in labels if x[0] % 3 == 0]))
+    assert np.allclose(again.views[0].weights, model.views[0].weights, atol=1e-8) and again.handed == model.handed
 
 
-def test_pseudo_labels_help_a_weak_view():
-    """The content view has few labels; the metadata view is sure of many rows of the pool."""
+def weak_view(n=3000):
     rng = np.random.default_rng(5)
-    n = 3000
     y = (rng.random(n) < 0.5).astype(int)
-    content = rng.normal(size=(n, 30)) + y[:, None] * 0.45
-    metadata = rng.normal(size=(n, 2)) + y[:, None] * 5
-    label = np.where(np.arange(n) < 60, y, -1)
-    held = np.arange(n) % 4 == 0
+    return y, rng.normal(size=(n, 30)) + y[:, None] * 0.45, rng.normal(size=(n, 2)) + y[:, None] * 5
+
+
+def test_pseudo_labels_help_a_weak_view():
+    """The content view has few labels; the metadata view is sure of many other rows."""
+    y, content, metadata = weak_view()
+    few = slice(60)
+    held = np.arange(60) % 4 == 0
+    rest = (content[60:], metadata[60:])
     right = lambda m: np.mean((m.views[0].logit(content) > 0) == (y == 1))
-    assert right(cotraining.co_train(content, metadata, label, held)) > right(cotraining.co_train(content, metadata, label, held, rounds=0)) + 0.02
+    train = lambda rounds: cotraining.co_train(content[few], metadata[few], y[few], held, lambda v: cotraining.pool_sums(v, rest), rounds)
+    model = train(5)
+    assert right(model) > right(train(0)) + 0.02
+    assert sum(n for v, n in model.handed if v == 1) > 5 * 2000  # every sure row counts in every round
+
+
+def test_one_exchange_against_brute_force(llm, make):
+    """The sums of a round over all rows, by Spark and row by row in plain loops, and the step they lead to."""
+    rng = random.Random(8)
+    docs, labels = labelled(rng, 240)
+    features = cotraining.featured(make(docs))
+    rows = {r.doc_id: np.frombuffer(r.x, "<f4").astype(float) for r in features.collect()}
+    x = np.array([rows[d[0]] for d in docs])
+    y = np.array([q for _, q in labels])
+    a, b = cotraining._parts(x)
+    views = (cotraining.fit(a[:60], y[:60].astype(float)), cotraining.fit(b[:60], y[:60].astype(float)))
+    got = cotraining._exchange(features, views, 0.8)
+    want = []
+    for v, size in ((0, a.shape[1]), (1, b.shape[1])):
+        for label in (0, 1):
+            n, slope, gram = 0, np.zeros(size + 1), np.zeros((size + 1, size + 1))
+            for i in range(len(docs)):
+                p = 1 / (1 + np.exp(-views[1 - v].logit((a, b)[1 - v][i : i + 1])[0]))
+                if (p if label else 1 - p) < 0.8:
+                    continue
+                z = np.append(((a, b)[v][i] - views[v].mean) / views[v].scale, 1.0)
+                q = 1 / (1 + np.exp(-np.clip(z @ views[v].weights, -30, 30)))
+                n, slope, gram = n + 1, slope + z * (q - label), gram + np.outer(z, z) * q * (1 - q)
+            want.append((n, slope, gram))
+    assert all(w[0] > 0 for w in want)
+    for g, (n, slope, gram) in zip(got, want, strict=True):
+        assert g.n == n and np.allclose(g.gradient, slope, atol=1e-8) and np.allclose(g.gram, gram, atol=1e-8)
+    sums = cotraining.Sums.from_bytes(got[0].to_bytes())
+    assert sums.n == got[0].n and (sums.gram == got[0].gram).all()
+
+
+def test_rows_that_share_an_id(llm, make):
+    docs, labels = labelled(random.Random(1), 80)
+    twice = [*docs, *[(i, "one other text under the id " * (i % 7), "de", None, 3) for i, *_ in docs]]
+    one = cotraining.train(make(twice), outcomes(llm, labels[:60]))
+    other = cotraining.train(make(twice[::-1]).repartition(3), outcomes(llm, labels[:60]))
+    assert np.allclose(one.views[0].weights, other.views[0].weights, atol=1e-8)
 
 
 def test_scores_without_labels(llm, edges, make):
