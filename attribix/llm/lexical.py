@@ -43,8 +43,8 @@ SCALE, FREQUENCY, LENGTH, B_PERCENT = 1_000_000_000, 1000, 8, 90
 K = 10
 
 BLOCK = 128
-SEGMENT_DOCS = 2048
-SEGMENT_BYTES = 8 << 20
+SEGMENT_DOCS = 1024
+SEGMENT_BYTES = 4 << 20
 #: Distinct (item, term) pairs of one block of queries, about.
 QUERY_TERMS = 200_000
 
