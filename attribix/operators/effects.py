@@ -133,6 +133,12 @@ def covariate_slope(rows: DataFrame, subject: str, y: str, m: str, cov: str, uni
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_subjects"))
 
 
+def first_covariate(rows: DataFrame, session: str, cov: str, order: Sequence[Column]) -> DataFrame:
+    """Each session's first covariate value that is present, in a declared order; null where none is."""
+    present = F.when(F.col(cov).isNotNull(), F.struct(*order))
+    return rows.groupBy(session).agg(F.min_by(cov, present).alias(cov))
+
+
 def subject_baseline(rows: DataFrame, subject: str, session: str, y: str, m: str, cov: str) -> DataFrame:
     return (
         rows.groupBy(subject)

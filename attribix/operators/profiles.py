@@ -66,6 +66,17 @@ def actor_profile(
     return assigned.withColumn("per_session", ratio("n_events", "n_assigned"))
 
 
+def profile_of_counts(counts: DataFrame, sessions: DataFrame, actor: str, session: str, period: str, targets: str) -> DataFrame:
+    """:func:`actor_profile` from one row per (session, actor) with its target events; such a row is also an assignment."""
+    return (
+        counts.filter(col(actor).isNotNull()).join(sessions.select(session, period), session)
+        .groupBy(actor, period)
+        .agg(F.sum(targets).alias("n_events"), F.count_if(F.col(targets) > 0).alias("n_called"), F.count(F.lit(1)).alias("n_assigned"))
+        .filter("n_called > 0")
+        .withColumn("per_session", ratio("n_events", "n_assigned"))
+    )
+
+
 def pivot_profile(
     profile: DataFrame,
     actor: str,
@@ -118,6 +129,16 @@ def event_share(events: DataFrame, team: DataFrame, actor: str, session: str, is
     )
 
 
+def share_of_counts(counts: DataFrame, actor: str, session: str, events: str, targets: str) -> DataFrame:
+    """:func:`event_share` from one row per (session, actor) with its events and target events."""
+    per_session = counts.groupBy(session).agg(F.sum(events).alias("__n"), F.sum(targets).alias("__t"))
+    return (
+        counts.select(session, actor).join(per_session, session).groupBy(actor)
+        .agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("__n").alias("n_events"), F.sum("__t").alias("n_target"))
+        .withColumn("target_share", ratio("n_target", "n_events"))
+    )
+
+
 def context_share(events: DataFrame, actor: str, margin: str) -> DataFrame:
     """Share of an actor's events called while leading, trailing or level."""
     m = F.col(margin)

@@ -9,7 +9,7 @@ from attribix.operators import effects as E
 from attribix.operators import profiles as P
 from attribix.operators.ordered import exact_quantiles
 from attribix.plans import roles
-from attribix.plans.profiles import PROFILE_SQL, target, wide_profile
+from attribix.plans.profiles import PROFILE_SQL, target
 from attribix.plans.registry import query
 from attribix.plans.roles import BASE_SQL
 from attribix.plans.shape import r, rounded
@@ -66,10 +66,10 @@ OUT = [
 ]
 
 
-def sums(spark, sf, by=()):
+def sums(spark, sf, by=(), rows=None, team=None):
     # A subject session is built from its events, so each has a team and no check is needed.
     return E.with_without_sums(
-        roles.subject_sessions(spark, sf), roles.team(spark, sf),
+        rows or roles.subject_sessions(spark, sf), team or roles.team(spark, sf),
         "subject_id", "session_id", "actor_id", "y", "m", "cov", by=by, need_team=False,
     )
 
@@ -78,13 +78,13 @@ def adjusted(spark, sf):
     return E.adjusted_delta(sums(spark, sf), MIN_WITH)
 
 
-def adjusted_both(spark, sf):
-    return E.adjusted_delta(sums(spark, sf), MIN_BOTH, MIN_BOTH)
+def adjusted_both(spark, sf, **inputs):
+    return E.adjusted_delta(sums(spark, sf, **inputs), MIN_BOTH, MIN_BOTH)
 
 
-def adjusted_by_period(spark, sf):
+def adjusted_by_period(spark, sf, **inputs):
     gate = F.when(F.col("season_type") == "RS", MIN_BY_PERIOD["RS"]).otherwise(MIN_BY_PERIOD["PO"])
-    s = sums(spark, sf, ["season_type"]).filter((F.col("n_with") >= gate) & (F.col("n_without") >= gate))
+    s = sums(spark, sf, ["season_type"], **inputs).filter((F.col("n_with") >= gate) & (F.col("n_without") >= gate))
     return E.adjusted_delta(s, 0)
 
 
@@ -154,6 +154,17 @@ def covariate_slope(spark, sf):
     return rounded(fitted_slope(spark, sf), slope=6)
 
 
+@query(
+    "session_covariate",
+    """SELECT l_orderkey AS session_id, arg_min(l_discount, (l_linenumber, l_partkey, l_suppkey)) FILTER (WHERE l_discount > 0.02) AS cov FROM lineitem GROUP BY 1""",
+)
+def session_covariate(spark, sf):
+    """First covariate of each session, here the discount of its first event that has one above two per cent."""
+    rows = roles.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("session_id"), F.when(F.col("l_discount") > 0.02, F.col("l_discount")).alias("cov"), "l_linenumber", "l_partkey", "l_suppkey")
+    return E.first_covariate(rows, "session_id", "cov", [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")])
+
+
 @query(
     "adjusted_delta_fitted",
     f"""{BASE_SQL}, {FITTED_SQL}, {pair_sums_sql().replace('0.15', '(SELECT slope FROM fitted)')}, adjusted AS (SELECT * FROM adjusted_all WHERE n_with >= {MIN_WITH})
@@ -193,12 +204,12 @@ ROLLUP_SQL = f"""{BOTH_SQL}, rolled AS (
   FROM adjusted GROUP BY 1)"""
 
 
-def rollup(spark, sf):
-    return E.actor_rollup(adjusted_both(spark, sf), "subject_id", "actor_id")
+def rollup(spark, sf, **inputs):
+    return E.actor_rollup(adjusted_both(spark, sf, **inputs), "subject_id", "actor_id")
 
 
-def shift(spark, sf):
-    return E.period_shift(adjusted_by_period(spark, sf), "actor_id", "season_type")
+def shift(spark, sf, **inputs):
+    return E.period_shift(adjusted_by_period(spark, sf, **inputs), "actor_id", "season_type")
 
 
 _PERIOD_CTES = (
@@ -226,17 +237,22 @@ def type_shift(spark, sf):
 
 
 def rollup_full(spark, sf):
-    """Roll-up, period shift, profile rates and event share of each actor."""
-    prof = wide_profile(spark, sf).select(
+    """Roll-up, period shift, profile rates and event share of each actor.
+
+    The subject sessions and the counts of (session, actor) are written once; all four read them in place of the events.
+    """
+    counts = checkpointed(roles.events(spark, sf).groupBy("session_id", "actor_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(target()).alias("t")))
+    team = counts.select("session_id", "actor_id")
+    inputs = {"rows": checkpointed(roles.subject_sessions(spark, sf)), "team": team}
+    prof = P.pivot_profile(P.profile_of_counts(counts, roles.sessions(spark, sf), "actor_id", "session_id", "season_type", "t"), "actor_id", "season_type").select(
         "actor_id", "per_session_RS", "per_session_PO", "per_session_delta", "total_events", "total_sessions",
         (F.col("total_events") / F.nullif(F.col("total_sessions"), F.lit(0))).alias("per_session"),
     )
-    share = P.event_share(roles.events(spark, sf), roles.team(spark, sf), "actor_id", "session_id", target()).select(
-        "actor_id", "target_share", "n_sessions"
-    )
+    share = P.share_of_counts(counts, "actor_id", "session_id", "n", "t").select("actor_id", "target_share", "n_sessions")
     return (
-        rollup(spark, sf)
-        .join(shift(spark, sf), "actor_id", "left")
+        rollup(spark, sf, **inputs)
+        .join(shift(spark, sf, **inputs), "actor_id", "left")
         .join(prof, "actor_id", "left")
         .join(share, "actor_id", "left")
     )

@@ -484,6 +484,22 @@ def rule_phase(spark, sf):
     return rows.select(*keys, "ok", R.normal_phase().alias("p")).select(*keys, "p.*", "ok")
 
 
+@query(
+    "rule_phase_direct",
+    f"""WITH {CODED_SQL}, t AS (SELECT *, CASE ln WHEN 1 THEN 'BEFORE' WHEN 2 THEN 'DURING' WHEN 3 THEN 'AFTER' ELSE 'UNKNOWN' END AS timing FROM coded)
+        SELECT ok, ln, mode, timing, CASE timing WHEN 'BEFORE' THEN 'PRE_COMMIT' WHEN 'UNKNOWN' THEN 'UNKNOWN' ELSE 'IN_ACT' END AS phase
+        FROM t, (VALUES ('direct'), ('sequence')) m(mode)""",
+)
+def rule_phase_direct(spark, sf):
+    """The modes that trust the stated timing: known ones decide the phase, whatever else was answered."""
+    text = F.to_json(F.struct(
+        pick("ln", (1, "before"), (2, "During"), (3, "AFTER"), (4, "late"), (6, "")).alias("timing"), F.lit("IN_ACT").alias("phase"),
+        F.lit("SHOOTER").alias("who_initiated")))
+    rows = D.from_text(coded(spark, sf, "ln").withColumn("text", text), "text", R.PHASE_SCHEMA, "obs")
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), R.normal_phase(mode=m).alias("p")) for m in ("direct", "sequence")])
+    return rows.select("ok", "ln", F.inline(modes)).select("ok", "ln", "mode", "p.timing", "p.phase")
+
+
 @query(
     "answer_repair",
     """SELECT event_id, CASE WHEN event_type IN ('error', 'click') THEN 'UNKNOWN' ELSE 'IN_ACT' END AS phase,

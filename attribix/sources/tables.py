@@ -100,7 +100,8 @@ def read_partitions(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header and doubled quotes, as :func:`read_csv` expects it."""
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def only_new(incoming: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
