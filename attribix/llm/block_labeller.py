@@ -23,7 +23,7 @@ from .page_templates import composed
 PATH_BUCKETS, WORD_BUCKETS = 2048, 4096
 PATH_SIZE, WORD_SIZE, STATE = 24, 12, 20
 SHAPE = 7
-TRAIN_PAGES, EPOCHS, BATCH, RATE, SEED = 1600, 4, 16, 0.01, 11
+TRAIN_PAGES, EPOCHS, BATCH, RATE, SEED = 2400, 4, 16, 0.01, 11
 #: Share of path tokens and of words left out at random while fitting.
 DROPPED = 0.1
 #: Blocks of one padded batch when scoring, besides one page.

@@ -129,10 +129,14 @@ class Composer:
             out.append((f"<h1{self.neutral()}>{title}</h1>", True))
         for _ in range(self.rng.choice([1, 2, 3, 5, 8, 12, 25])):
             kind = self.rng.random()
+            if self.rng.random() < 0.06:  # the article goes on after a part of the site
+                out += self.part(self.rng.choice(["ad", "side", "form", "notice"]))
             if kind < 0.08:
                 out.append((f"<p>{self.sentence(1, 3)}</p>", True))
             elif kind < 0.14:  # what parts of sites say may also be said in an article
                 out.append((f"<p>{self.rng.choice(PHRASES[self.rng.choice(list(PHRASES))])}</p>", True))
+            elif kind < 0.18:
+                out.append((f"<div{self.neutral()}>{self.paragraph()}</div>", True))
             elif kind < 0.72:
                 out.append((f"<p{self.neutral() if self.rng.random() < 0.2 else ''}>{self.paragraph(self.rng.random() < 0.25)}</p>", True))
             elif kind < 0.77:
@@ -140,13 +144,16 @@ class Composer:
             elif kind < 0.83:
                 out.append((self.heading(self.sentence(1, 7)), True))
             elif kind < 0.88:
-                out.append((f"<ul>{''.join(f'<li>{self.sentence(1, 9)}</li>' for _ in range(self.rng.randint(1, 5)))}</ul>", True))
+                name = self.rng.choice(["ul", "ol"])
+                out.append((f"<{name}>{''.join(f'<li>{self.sentence(1, 9)}</li>' for _ in range(self.rng.randint(1, 6)))}</{name}>", True))
             elif kind < 0.91:
                 out.append((f"<blockquote><p>{self.paragraph()}</p></blockquote>", True))
             elif kind < 0.93:
                 out.append((f"<pre>{escape(self.sentence())}\n  {self.word()}</pre>", True))
             elif kind < 0.95:
                 out.append((f"<table><tr><td>{self.word()}</td><td>{self.sentence(1, 4)}</td></tr></table>", True))
+            elif kind < 0.955:
+                out.append((f"<dl><dt>{self.sentence(1, 3)}</dt><dd>{self.sentence()}</dd></dl>", True))
             elif kind < 0.96:
                 out.append((f"<figure><figcaption>{self.sentence()}</figcaption></figure>", True))
             else:
@@ -183,7 +190,12 @@ class Composer:
             held += self.part("foot")
         if element and rng.random() < 0.1 and held[0][0].startswith("<h1"):
             held[0] = (f"<header>{held[0][0]}</header>", True)
-        if element:
+        if element and rng.random() < 0.08:  # columns of a table
+            cells = [(f"<td{self.name(p)}>{self.inside(p)}</td>", False) for p in ("menu", "side") if rng.random() < 0.6]
+            middle = [(f"<td{self.name('article') if rng.random() < 0.6 else self.neutral()}>", False), *held, ("</td>", False)]
+            at = rng.randint(0, len(cells))
+            out += [(f"<table{self.neutral()}><tr>", False), *cells[:at], *middle, *cells[at:], ("</tr></table>", False)]
+        elif element:
             out += [(f"<{element}{name}>", False), *held, (f"</{element}>", False)]
         else:
             out += held
