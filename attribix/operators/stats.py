@@ -95,7 +95,7 @@ def mann_whitney(df: DataFrame, value: str, in_a: Column, by: Sequence[str] = ()
     """Two-sided U test of the rows in sample a against the rest: one row for each group of ``by``.
 
     Small samples without ties have the exact p value, all others that of the tie-corrected normal approximation with
-    continuity correction; ``exact`` says which.
+    continuity correction; ``exact`` says which. Without rows on either side there is no statistic.
     """
     by = list(by)
     rows = df.select(*by, F.col(value).cast("double").alias("v"), in_a.alias("a")).filter("v IS NOT NULL AND a IS NOT NULL")
@@ -115,7 +115,7 @@ def mann_whitney(df: DataFrame, value: str, in_a: Column, by: Sequence[str] = ()
     )
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     n = na + nb
-    u = F.col("r_a") - na * (na + 1) / 2
+    u = F.when((na > 0) & (nb > 0), F.col("r_a") - na * (na + 1) / 2)
     var = na * nb / 12 * (n + 1 - ratio(F.col("ties"), n * (n - 1)))
     s = s.withColumn("u", u).withColumn(
         "z", ratio(F.greatest(F.abs(F.col("u") - na * nb / 2) - 0.5, F.lit(0.0)), F.sqrt(var))

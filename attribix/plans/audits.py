@@ -218,7 +218,7 @@ def avg_rank(spark, sf):
       rk AS (SELECT v, a, {RANK_SQL.format(by='1', v='v')} AS rk, count(*) OVER (PARTITION BY v) AS t FROM v),
       s AS (SELECT count(*) FILTER (WHERE a) AS na, count(*) FILTER (WHERE NOT a) AS nb, avg(v) FILTER (WHERE a) AS ma, avg(v) FILTER (WHERE NOT a) AS mb,
               median(v) FILTER (WHERE a) AS meda, median(v) FILTER (WHERE NOT a) AS medb, sum(rk) FILTER (WHERE a) AS ra, sum(t * t - 1.0) AS ties FROM rk),
-      u AS (SELECT *, CAST(ra AS DOUBLE) - na * (na + 1.0) / 2 AS u, CAST(na + nb AS DOUBLE) AS n FROM s), {Z_SQL}
+      u AS (SELECT *, CASE WHEN na > 0 AND nb > 0 THEN CAST(ra AS DOUBLE) - na * (na + 1.0) / 2 END AS u, CAST(na + nb AS DOUBLE) AS n FROM s), {Z_SQL}
       SELECT na AS n_a, nb AS n_b, {r('ma')} AS mean_a, {r('mb')} AS mean_b, {r('meda')} AS median_a, {r('medb')} AS median_b, {r('u')} AS u,
         {r('z')} AS z, {r(normal_p_sql('z'))} AS p_value, false AS exact FROM zed""",
 )
@@ -240,7 +240,7 @@ NATION_SQL = """pairs AS (SELECT n.n_nationkey AS nation_id, s.s_acctbal AS v, s
       rk AS (SELECT nation_id, v, a, {RANK_SQL.format(by='nation_id', v='v')} AS rk, count(*) OVER (PARTITION BY nation_id, v) AS t FROM pairs),
       s AS (SELECT nation_id, count(*) FILTER (WHERE a) AS na, count(*) FILTER (WHERE NOT a) AS nb, avg(v) FILTER (WHERE a) AS ma, avg(v) FILTER (WHERE NOT a) AS mb,
               median(v) FILTER (WHERE a) AS meda, median(v) FILTER (WHERE NOT a) AS medb, sum(rk) FILTER (WHERE a) AS ra, sum(t * t - 1.0) AS ties FROM rk GROUP BY 1),
-      u AS (SELECT *, CAST(ra AS DOUBLE) - na * (na + 1.0) / 2 AS u, CAST(na + nb AS DOUBLE) AS n,
+      u AS (SELECT *, CASE WHEN na > 0 AND nb > 0 THEN CAST(ra AS DOUBLE) - na * (na + 1.0) / 2 END AS u, CAST(na + nb AS DOUBLE) AS n,
               ties = 0 AND na BETWEEN 1 AND {S.EXACT_BELOW - 1} AND nb BETWEEN 1 AND {S.EXACT_BELOW - 1} AS exact FROM s), {Z_SQL},
       tops AS (SELECT coalesce(max(na), 0) AS most_a, coalesce(max(nb), 0) AS most_b FROM u WHERE exact),
       ways(s, i, j, w, c) AS (SELECT 0, 0, 0, 0, CAST(1 AS DOUBLE) UNION ALL
