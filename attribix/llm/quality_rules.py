@@ -50,6 +50,9 @@ Z = 3.0
 #: Bounds of the prior's weight in documents; the moments of few or equal hosts can give any.
 WEIGHT_MIN, WEIGHT_MAX = 2.0, 10_000.0
 
+#: Bytes of host verdicts that are sent to every task at most.
+HOST_BYTES = 8 << 20
+
 MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 
 
@@ -160,14 +163,16 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows the rules reject, all columns as they were.
 
     The rows are written once with their measures beside them. Only the verdicts of hosts that are not neutral are joined
-    to them, so no text is shuffled while adaptive execution finds these few.
+    to them; up to ``HOST_BYTES`` of these go to every task, so that no text is shuffled, beyond it the join is a shuffle.
     """
     m, host, verdict = fresh(docs, "__m", "__host", "__verdict")
     rows = staged(docs.withColumn(m, _failures(F.col("text").cast("string"))), "rules")
     rules = {r: F.expr(_over(rule, m)) for r, rule in RULES.items()}
     hosts = host_verdicts(rows.select(F.col("source").cast("string").alias("source"), *[c.alias(r) for r, c in rules.items()]))
     hosts = checkpointed(hosts.where("host_verdict <> 'neutral'").select(F.col("source").alias(host), F.col("host_verdict").alias(verdict)))
-    named = rows.join(hosts, rows["source"].cast("string").eqNullSafe(hosts[host]), "left")
+    size = hosts.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(host), F.lit(0)) + 64), F.lit(0))).first()[0]
+    side = F.broadcast(hosts) if size <= HOST_BYTES else hosts
+    named = rows.join(side, rows["source"].cast("string").eqNullSafe(hosts[host]), "left")
     said, own = F.coalesce(verdict, F.lit("neutral")), F.greatest(*[rules[r] for r in OWN])
     return named.where(~rules["fail_base"] & (said != "rejected") & (~own | (said == "trusted"))).select(*docs.columns)
 
