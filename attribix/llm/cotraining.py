@@ -39,8 +39,8 @@ LABELLED = 8_000
 ROUNDS = 5
 #: Confidence at which a view hands a label on.
 SURE = 0.95
-#: Tasks that add up the sums of all tasks before they reach the driver.
-ADDERS = 16
+#: Tasks that add up the sums of all tasks; one more adds up theirs, so the driver gets four sums a round.
+ADDERS = 64
 #: Share of the labelled sample that is kept for calibration, in 1000.
 HELD = 250
 RIDGE = 1.0
@@ -305,7 +305,8 @@ def _exchange(pool: DataFrame, views: tuple[View, View], sure: float) -> list[Su
             [pa.array(range(4), pa.int32()), pa.array([s.to_bytes() for s in total], pa.binary())], names=["slot", "sums"])
 
     shape = "slot int, sums binary"
-    parts = pool.select("x").mapInArrow(summed, shape).repartition(ADDERS).mapInArrow(_added, shape).collect()
+    parts = pool.select("x").mapInArrow(summed, shape).repartition(ADDERS).mapInArrow(_added, shape)
+    parts = parts.repartition(1).mapInArrow(_added, shape).collect()
     out = [Sums.none(sizes[v]) for v in (0, 1) for _ in (0, 1)]
     for slot, data in sorted((r[0], bytes(r[1])) for r in parts):
         out[slot].add(Sums.from_bytes(data))
