@@ -69,13 +69,3 @@ def test_trusted_host_is_forgiven(make):
 def test_rows_that_share_an_id_are_judged_alone(make):
     rows = [(1, words(60, "a"), "en", "s"), (1, "short", "en", "s")]
     assert [r.text for r in Q.kept_documents(make(rows)).collect()] == [words(60, "a")]
-
-
-def test_many_hosts_are_joined_in_another_way(make, monkeypatch):
-    """With verdicts beyond the bound nothing is broadcast, and the same documents stay."""
-    rows = [(i, words(60, f"a{i}"), "en", f"h{i % 7}" if i % 9 else None, 1) for i in range(80)]
-    rows += [(100 + i, words(20, "b"), "en", "bad", 1) for i in range(80)]
-    rows += [(200 + i, words(60, f"c{i}"), "en", "bad", 1) for i in range(4)]
-    few = {r.doc_id for r in Q.kept_documents(make(rows)).collect()}
-    monkeypatch.setattr(Q, "HOST_BYTES", -1)
-    assert {r.doc_id for r in Q.kept_documents(make(rows)).collect()} == few and few == set(range(80))
