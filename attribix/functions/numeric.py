@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,6 +52,15 @@ def pearson(x: str | Column, y: str | Column) -> Column:
     return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
 
 
+def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows in which none of the numbers is null or NaN.
+
+    One condition a column: ``dropna`` holds all columns in one, of which the optimizer derives a copy for every choice of
+    renamed columns.
+    """
+    return df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in columns]))
+
+
 def add(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attribix.functions.numeric import add, col
+from attribix.functions.numeric import add, col, complete
 from attribix.operators.evaluate import RULE_GRID, best_grid_point, rule_grid
 from attribix.operators.keyed import value_map
 from attribix.session import checkpointed
@@ -63,7 +63,7 @@ def fit_logistic(
     k, zs = len(features), [f"__z{i}" for i in range(len(features))]
     group = F.col(by) if by else F.lit(0)
     rows = df.select(group.alias("__g"), F.col(label).cast("double").alias("__y"), *[col(c).cast("double").alias(z) for c, z in zip(features, zs)])
-    rows = checkpointed(rows.dropna())
+    rows = checkpointed(complete(rows.filter("__g IS NOT NULL"), ["__y", *zs]))
     stats = rows.groupBy("__g").agg(
         F.count(F.lit(1)).alias("n"), F.sum("__y").alias("pos"), F.array(*[F.avg(z) for z in zs]).alias("mean"),
         F.array(*[F.stddev_pop(z) for z in zs]).alias("std")).collect()

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attribix.functions.numeric import add, col, pearson, ratio
+from attribix.functions.numeric import add, col, complete, pearson, ratio
 from attribix.operators.keyed import spread_join
 
 # Penalties tried for ridge.
@@ -46,8 +46,8 @@ def moments(df: DataFrame, features: Sequence[str], target: str) -> Moments:
     names = [*features, target]
     k = len(names)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    complete = df.select(*[col(c).cast("double").alias(c) for c in names]).dropna()
-    row = complete.agg(
+    rows = complete(df.select(*[col(c).cast("double").alias(c) for c in names]), names)
+    row = rows.agg(
         F.count(F.lit(1)),
         *[F.avg(c) for c in names],
         *[F.covar_pop(names[i], names[j]) for i, j in pairs],
