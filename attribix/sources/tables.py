@@ -83,11 +83,11 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
 def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str], files: int = 1) -> None:
     """Write the partitions that ``df`` has rows of and leave all others as they are; the first run creates the table.
 
-    The rows of a partition are dealt over ``files`` tasks, so a large one is not written by a single task. A repeated
-    write of the same rows gives the same table.
+    The rows of a partition are dealt over ``files`` tasks, and adaptive execution splits those that are large by measured
+    size, so what one task writes does not grow with the table. A repeated write of the same rows gives the same table.
     """
     part = F.pmod(F.xxhash64(*df.columns), F.lit(files))
-    dealt = df.repartition(*[F.col(c) for c in partition_by], part)
+    dealt = df.withColumn("__part", part).hint("rebalance", *partition_by, "__part").drop("__part")
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 

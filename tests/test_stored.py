@@ -42,6 +42,21 @@ def test_a_rewrite_leaves_other_seasons_as_they_are(spark, tmp_path):
     assert digests(folder) == after
 
 
+def test_a_large_season_is_split_by_its_size(spark, tmp_path):
+    """More tasks write a season that outgrows them, whatever the number of files asked for."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "256k")
+    try:
+        rows = spark.range(300_000).select("id", F.rand(1).alias("x"), F.lit(2001).alias("season"))
+        S.replace_partitions(rows, str(tmp_path / "t"), ["season"], 2)
+    finally:
+        spark.conf.set(key, before)
+    assert len(glob.glob(f"{tmp_path}/t/season=2001/*.parquet")) > 4
+    back = S.read_partitions(spark, str(tmp_path / "t"), "id long, x double, season int")
+    assert back.agg(F.count("id"), F.countDistinct("id")).first()[:] == (300_000, 300_000)
+
+
 def plan(df):
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString()
