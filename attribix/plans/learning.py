@@ -70,7 +70,7 @@ def stream_ingest(spark, sf):
     folder = shared_folder(spark, "stream-ingest")
     deliveries = [docs.filter("o_orderstatus <> 'F'"), docs, docs.filter("o_orderstatus = 'F'")]
     for i, part in enumerate(deliveries):
-        part.select("text").write.text(f"{folder}/in/delivery={i}")
+        part.select("text").write.option("compression", "gzip").text(f"{folder}/in/delivery={i}")
         stream = ingest.session_stream(spark, f"{folder}/in", multi_line=False).select("game_id", "event_num", "location")
         ingest.ingest_available(stream, f"{folder}/out", f"{folder}/state", ["game_id", "event_num"], ["game_id"]).awaitTermination()
     return ingest.read_merged(spark, f"{folder}/out", "game_id string, event_num long, location string").drop(ingest.BATCH)

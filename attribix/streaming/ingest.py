@@ -82,11 +82,11 @@ def ingest_available(
     key_shape = _ddl(stream.select(*keys))
 
     def write(batch: DataFrame, number: int) -> None:
-        arrived = checkpointed(batch.dropDuplicates(list(keys)).withColumn(BUCKET, _bucket(bucket_by or keys, buckets)))
+        arrived = checkpointed(batch.withColumn(BUCKET, _bucket(bucket_by or keys, buckets)))
         touched = sorted(r[0] for r in arrived.select(BUCKET).distinct().collect())  # at most ``buckets``
         known = _written(batch.sparkSession, index, key_shape, touched, number)
         fresh = arrived if known is None else arrived.join(known.select(BUCKET, *keys), [BUCKET, *keys], "left_anti")
-        fresh = checkpointed(fresh)
+        fresh = checkpointed(fresh.dropDuplicates([BUCKET, *keys]))  # dealt by these columns already where something is known
         by_bucket = fresh.select(*keys, BUCKET, F.lit(number).cast("long").alias(BATCH)).repartition(BUCKET)
         by_bucket.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET, BATCH).parquet(index)
         fresh.drop(BUCKET).write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")

@@ -106,6 +106,23 @@ def test_reads_of_the_index_do_not_grow(spark, tmp_path):
     assert read[0] == 0 and 0 < max(read[2:]) <= 1.5 * read[1]
 
 
+def test_a_batch_is_shuffled_once_against_the_known(spark, tmp_path, monkeypatch):
+    """A row is dealt out once to be held against the written keys and against the rest of its batch."""
+    plans, real = [], ingest.checkpointed
+
+    def recorded(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(ingest, "checkpointed", recorded)
+    batches(spark, tmp_path, 2, size=20)
+    first, again = plans[0], "".join(plans[2:4])
+    assert len(plans) == 4 and "Exchange" not in first
+    assert len(re.findall(r"Exchange hashpartitioning", again)) <= 2  # the batch, and the known keys
+    rows = ingest.read_merged(spark, str(tmp_path / "out"), "session string, num long, delivery int")
+    assert rows.count() == 40
+
+
 def test_merged_batches_read_the_same(spark, tmp_path):
     batches(spark, tmp_path, 4, size=5)
     shape, out = "session string, num long, delivery int", str(tmp_path / "out")
