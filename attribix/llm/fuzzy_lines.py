@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
-from .shared import LOCAL_NODES, UnionFind, components, fresh, takes_over
+from ..session import checkpointed, cleared
+from .shared import LOCAL_NODES, UnionFind, components, fresh, staged, takes_over
 
 BUDGET = 3
 BLOCKS = 5
@@ -224,9 +224,11 @@ def links(rows: DataFrame, entries: DataFrame, docs: DataFrame, budget: int, blo
     close = checkpointed(close_fingerprints(heads.select("fp"), budget, blocks))
     met = close.select("fp").union(close.select("other")).union(heads.where("c > 1").select("fp")).distinct()
     known = met.join(heads, "fp").select(F.col("fp").alias("f"), "head", "c")
+    cleared(entries.sparkSession)
     held = checkpointed(
         entries.join(known, F.col("fp") == F.col("f")).select("entry", "first", "fp", "c", (F.col("first") == F.col("head")).alias("leads")))
     lines_of = _texts(rows, held, docs)
+    cleared(entries.sparkSession)
 
     lead = held.where("leads").select(F.col("fp").alias("f1"), F.col("entry").alias("a"))
     partner = lead.toDF("f2", "b")
@@ -290,11 +292,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 def removed_lines(docs: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
     """d, wh (doc_id and hash of the text) and places (of the lines to remove) of every document that loses lines."""
-    rows = checkpointed(lines(docs).withColumn("position", _position("doc_id", "place")))
-    entries = checkpointed(rows.groupBy("entry").agg(
-        F.min("position").alias("first"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")))
+    # The two large tables, as Parquet: rows of a checkpoint take more than twice as much.
+    rows = staged(lines(docs), "lines").withColumn("position", _position("doc_id", "place"))
+    entries = staged(rows.groupBy("entry").agg(
+        F.min("position").alias("first"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "entries")
     roots = components(links(rows, entries, docs, budget, blocks, similarity), "a", "b")
     members = roots.union(roots.select("root", "root")).distinct().toDF("node", "root")
+    cleared(docs.sparkSession)
     named = checkpointed(members.join(entries, F.col("node") == F.col("entry")).select("entry", "root", "first"))
     keep = checkpointed(named.groupBy("root").agg(F.min("first").alias("kept")))
     grouped = checkpointed(named.select(F.col("entry").alias("g"), "root").join(keep, "root").select("g", "kept"))
@@ -313,6 +317,7 @@ def deduplicated(
     """``docs`` with ``text`` reduced to the lines that stay, and two more columns: its lines, and how many were removed."""
     d, wh, places = fresh(docs, "__d", "__wh", "__places")
     gone = checkpointed(removed_lines(docs, budget, blocks, similarity)).toDF(d, wh, places)
+    cleared(docs.sparkSession)
     split = F.split(F.col("text").cast("string"), "\n")
     joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[d]) & (F.xxhash64(docs["text"]) == gone[wh]), "left")
     stay = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col(places), i)), "\n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attribix.llm import fuzzy_lines as L
 from attribix.llm.shared import UnionFind
+from attribix.session import checkpoint_root
 
 from .conftest import EDGES
 
@@ -146,3 +147,18 @@ def test_groups_under_one_fingerprint(make, marks):
     key = lambda name: xxhash.xxh3_128_digest(name)
     classes = lambda root: sorted(sorted(n for n in names if root(n) == r) for r in {root(n) for n in names})
     assert classes(lambda n: found.root(key(n))) == classes(lambda n: want.root(n))
+
+
+def test_staged_lines_take_little_disk(llm, make, tmp_path):
+    """Bytes that stay on disk for a line; whole rows of a checkpoint took more."""
+    rng = random.Random(9)
+    rows = [(d, "\n".join(" ".join(rng.choices("abcdefghijklmnop", k=12)) for _ in range(100))) for d in range(200)]
+    before, context = checkpoint_root(llm), llm.sparkContext
+    context.setCheckpointDir(str(tmp_path))
+    try:
+        L.removed_lines(make(rows)).count()
+    finally:
+        context.setCheckpointDir(before)
+    written = sum(p.stat().st_size for p in tmp_path.rglob("part-*"))
+    print("bytes a line", written / 20_000)
+    assert written < 150 * 20_000
