@@ -292,7 +292,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 def removed_lines(docs: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
     """d, wh (doc_id and hash of the text) and places (of the lines to remove) of every document that loses lines."""
-    # The two large tables, as Parquet: rows of a checkpoint take more than twice as much.
+    # The two large tables, as Parquet: rows of a checkpoint take more.
     rows = staged(lines(docs), "lines").withColumn("position", _position("doc_id", "place"))
     entries = staged(rows.groupBy("entry").agg(
         F.min("position").alias("first"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "entries")

@@ -160,5 +160,4 @@ def test_staged_lines_take_little_disk(llm, make, tmp_path):
     finally:
         context.setCheckpointDir(before)
     written = sum(p.stat().st_size for p in tmp_path.rglob("part-*"))
-    print("bytes a line", written / 20_000)
-    assert written < 150 * 20_000
+    assert written < 90 * 20_000
