@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from attribix.functions.numeric import col, order_bucket, pearson, ratio
 from attribix.functions.tails import p_correlation, p_f, p_normal
+from attribix.operators.keyed import value_map
 from attribix.operators.ordered import average_ranks, exact_quantiles, running_totals
 from attribix.session import checkpointed
 
@@ -29,6 +30,27 @@ def stack_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], keep: Sequence[
     return df.select(*keep, F.inline(items)).filter("vx IS NOT NULL AND vy IS NOT NULL")
 
 
+def stack_flag_counts(df: DataFrame, pairs: Sequence[tuple[str, str]], kinds: Sequence[str]) -> DataFrame:
+    """Points (x, y, vx, vy) of :func:`stack_pairs` with their number ``c``, from rows that stand for several ones.
+
+    ``kinds`` are columns with the number of rows of each kind; as y such a column is 1 for its own rows and 0 for those of the
+    other kinds. Equal values are counted before they are stacked for each y.
+    """
+    names = list(dict.fromkeys(x for x, _ in pairs))
+    values = F.array(*[F.struct(F.lit(i).alias("i"), col(x).cast("double").alias("vx")) for i, x in enumerate(names)])
+    counted = df.select(*kinds, F.inline(values)).filter("vx IS NOT NULL").groupBy("i", "vx").agg(*[F.sum(k).alias(k) for k in kinds])
+    items = F.array(
+        *[
+            F.struct(
+                F.lit(names.index(x)).alias("of"), F.lit(x).alias("x"), F.lit(y).alias("y"),
+                F.lit(float(kind == y)).alias("vy"), col(kind).cast("bigint").alias("c"))
+            for x, y in pairs
+            for kind in kinds
+        ]
+    )
+    return counted.select("i", "vx", F.inline(items)).filter("of = i AND c > 0").select("x", "y", "vx", "vy", "c")
+
+
 def with_scopes(df: DataFrame, qualified: Column, name: str = "qualified_only") -> DataFrame:
     """Each row once for the full scope and once more for the qualified scope if it qualifies."""
     scopes = F.when(qualified, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
@@ -37,8 +59,11 @@ def with_scopes(df: DataFrame, qualified: Column, name: str = "qualified_only")
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), min_n: int = 0) -> DataFrame:
     """Rank correlation per group. Works on distinct (x, y) points with their counts."""
-    by = list(by)
     points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__c"))
+    return _point_spearman(points, x, y, list(by), min_n)
+
+
+def _point_spearman(points: DataFrame, x: str, y: str, by: Sequence[str], min_n: int = 0) -> DataFrame:
     rx = _point_ranks(points, by, x, "__rx")
     ry = _point_ranks(points, by, y, "__ry").drop("n_group")
     joined = points.join(rx, [*by, x]).join(ry, [*by, y])
@@ -69,6 +94,28 @@ def correlations(stacked: DataFrame, by: Sequence[str], min_n: int = 10) -> Data
     return out.withColumn("pearson_p", p_correlation("pearson_r", "n")).withColumn("spearman_p", p_correlation("spearman_rho", "n"))
 
 
+def counted_correlations(points: DataFrame, min_n: int = 10) -> DataFrame:
+    """:func:`correlations` of the points of :func:`stack_flag_counts`; the metric pairs are few by design.
+
+    Deviations are taken from a mean that lies between the least and the largest value, so a constant has none at all.
+    """
+    c = F.col("c")
+
+    def centre(v: str) -> Column:
+        return F.greatest(F.min(v), F.least(F.max(v), F.sum(c * F.col(v)) / F.sum(c)))
+
+    means = points.groupBy("x", "y").agg(centre("vx").alias("mx"), centre("vy").alias("my"))
+    at = value_map(means.withColumn("pair", F.struct("x", "y")), "pair", "mx", "my")
+    near = points.withColumn("__m", at).withColumn("__m", F.col("__m")[F.struct("x", "y")])
+    dx, dy = F.col("vx") - F.col("__m.mx"), F.col("vy") - F.col("__m.my")
+    lin = near.groupBy("x", "y").agg(
+        F.sum(c).alias("n"),
+        ratio(F.sum(c * dx * dy), F.sqrt(F.sum(c * dx * dx)) * F.sqrt(F.sum(c * dy * dy))).alias("pearson_r"),
+    ).filter(F.col("n") >= min_n)
+    ranks = _point_spearman(points.withColumnRenamed("c", "__c"), "vx", "vy", ["x", "y"]).drop("n", "spearman_p")
+    return lin.join(ranks, ["x", "y"]).withColumn("pearson_p", p_correlation("pearson_r", "n")).withColumn("spearman_p", p_correlation("spearman_rho", "n"))
+
+
 #: Both samples below this size and no ties: the exact distribution of U. This is the published rule of the statistic.
 EXACT_BELOW = 50
 
@@ -170,5 +217,6 @@ def residualise(df: DataFrame, y: str, x: str, out: str) -> DataFrame:
 
 
 __all__ = [
-    "anova", "average_ranks", "correlations", "mann_whitney", "residualise", "spearman", "stack_pairs", "with_scopes",
+    "anova", "average_ranks", "correlations", "counted_correlations", "mann_whitney", "residualise", "spearman", "stack_flag_counts", "stack_pairs",
+    "with_scopes",
 ]

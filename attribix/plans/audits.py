@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from attribix.operators import audit as A
@@ -338,24 +340,36 @@ ed AS (SELECT ev.*, subject_id, round(team_mean_delta, 6) AS team_mean_delta, ro
        FROM ev JOIN td USING (session_id))"""
 
 
-def event_deltas(spark, sf):
-    """Reviewed events with their team's pair deltas; a pair without one takes the overall median.
+TEAM_DELTAS = {"team_mean_delta": F.avg, "team_min_delta": F.min, "team_max_delta": F.max}
+
+
+def team_deltas(spark, sf, names, counts=None):
+    """The team's pair deltas of each subject session; a pair without one takes the overall median.
 
-    The team is summed up once per subject session, before the events are joined.
+    The subject sessions have two readers and are written once. With ``counts`` of their events, those without any of
+    them are left out.
     """
-    deltas = checkpointed(FX.adjusted(spark, sf).select("subject_id", "actor_id", "adj_delta"))
+    counts = counts or {}
+    rows = checkpointed(roles.subject_sessions(spark, sf, counts).select("subject_id", "session_id", "y", "m", "cov", *counts))
+    team = roles.team(spark, sf)
+    deltas = checkpointed(FX.adjusted(spark, sf, rows=rows, team=team).select("subject_id", "actor_id", "adj_delta"))
     league = O.exact_quantiles(deltas, [], "adj_delta", {"d": 0.5}).scalar()
-    rows = roles.subject_sessions(spark, sf).select("subject_id", "session_id")
-    team = rows.join(roles.team(spark, sf), "session_id").join(deltas, ["subject_id", "actor_id"], "left")
+    if counts:
+        rows = rows.filter(reduce(lambda a, b: a | b, [F.col(n) > 0 for n in counts]))
+    # The few pairs are hashed, so the many members need no sort.
+    members = rows.select("subject_id", "session_id", *counts).join(team, "session_id").join(
+        deltas.hint("shuffle_hash"), ["subject_id", "actor_id"], "left")
     value = F.coalesce(F.col("adj_delta"), F.col("league"))
-    per_team = team.withColumn("league", league).groupBy("subject_id", "session_id").agg(
-        F.avg(value).alias("team_mean_delta"), F.min(value).alias("team_min_delta"), F.max(value).alias("team_max_delta")
-    )
-    names = ["team_mean_delta", "team_min_delta", "team_max_delta"]
-    per_team = per_team.withColumns({n: F.round(n, 6) for n in names})
+    per_team = members.withColumn("league", league).groupBy("subject_id", "session_id").agg(
+        *[TEAM_DELTAS[n](value).alias(n) for n in names], *[F.max(n).alias(n) for n in counts])
+    return per_team.withColumns({n: F.round(n, 6) for n in names})
+
+
+def event_deltas(spark, sf):
+    """Reviewed events with their team's pair deltas. The team is summed up once per subject session, before the events are joined."""
     ev = roles.events(spark, sf).withColumn("decision", decision())
-    return ev.join(per_team, "session_id").select(
-        "subject_id", "session_id", "pos", "part_id", "actor_id", *names, *A.decision_flags("decision")
+    return ev.join(team_deltas(spark, sf, list(TEAM_DELTAS)), "session_id").select(
+        "subject_id", "session_id", "pos", "part_id", "actor_id", *TEAM_DELTAS, *A.decision_flags("decision")
     )
 
 
@@ -378,6 +392,6 @@ def audit_event_deltas(spark, sf):
         {r(correlation_p_sql('spearman_rho', 'n'))} AS spearman_p FROM c""",
 )
 def audit_event_corr(spark, sf):
-    rows = event_deltas(spark, sf).filter("is_adjudicated = 1").select("team_mean_delta", "team_min_delta", "is_inc", "is_cc")
-    stacked = checkpointed(S.stack_pairs(rows, EVENT_PAIRS))
-    return rounded(S.correlations(stacked, [], 30))
+    """Adjudicated events are counted per session, so that none is joined: each session gives its value and the events of either kind."""
+    rows = team_deltas(spark, sf, ["team_mean_delta", "team_min_delta"], {"is_inc": decision() == "INC", "is_cc": decision() == "CC"})
+    return rounded(S.counted_correlations(checkpointed(S.stack_flag_counts(rows, EVENT_PAIRS, ["is_inc", "is_cc"])), 30))

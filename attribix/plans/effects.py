@@ -74,8 +74,8 @@ def sums(spark, sf, by=(), rows=None, team=None):
     )
 
 
-def adjusted(spark, sf):
-    return E.adjusted_delta(sums(spark, sf), MIN_WITH)
+def adjusted(spark, sf, **inputs):
+    return E.adjusted_delta(sums(spark, sf, **inputs), MIN_WITH)
 
 
 def adjusted_both(spark, sf, **inputs):

@@ -7,7 +7,9 @@ scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,10 +40,14 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def team(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Team assignment: one row per (session, actor)."""
+    """Team assignment: one row per (session, actor).
+
+    The rows are dealt by session before they are made distinct, so a join on the session needs no second shuffle.
+    """
     return (
         table(spark, sf_dir, "lineitem")
         .select(F.col("l_orderkey").alias("session_id"), F.col("l_suppkey").alias("actor_id"))
+        .repartition("session_id")
         .distinct()
     )
 
@@ -52,12 +58,13 @@ def actors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def subject_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (subject, session): outcome, exposure, covariate.
+def subject_sessions(spark: SparkSession, sf_dir: str, counts: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row per (subject, session): outcome, exposure, covariate, and ``counts`` of the session's events by name.
 
     Events are summed per session before the joins, so the joins carry one row
     per session and not one per event.
     """
+    counts = counts or {}
     per_session = (
         events(spark, sf_dir)
         .groupBy("session_id")
@@ -65,6 +72,7 @@ def subject_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum("outcome").alias("y"),
             F.sum("exposure").alias("m"),
             F.count_if(F.col("event_type") == "R").cast("bigint").alias("n_target"),
+            *[F.count_if(c).alias(n) for n, c in counts.items()],
         )
     )
     customer = table(spark, sf_dir, "customer").select(
@@ -76,7 +84,7 @@ def subject_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         sessions(spark, sf_dir)
         .join(per_session, "session_id")
         .join(customer, "cust_id")
-        .select("subject_id", "session_id", "season", "season_type", "y", "m", "cov", "n_target")
+        .select("subject_id", "session_id", "season", "season_type", "y", "m", "cov", "n_target", *counts)
     )
 
 

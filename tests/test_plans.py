@@ -94,6 +94,11 @@ def test_scans_are_pruned(plans):
             assert len(schema.split(",")) <= 9, name
 
 
+def test_events_are_summed_before_they_are_correlated(plans):
+    """The events are read once for the session sums and once for the team of either pass; none is joined to a team's values."""
+    assert len(re.findall(r"FileScan parquet.*lineitem\.parquet", plans["audit_event_corr"])) == 3
+
+
 def test_filters_reach_the_scan(plans):
     assert "EqualTo(l_returnflag,R)" in plans["actor_profile"]
     assert "GreaterThanOrEqual(s_acctbal,0.0)" in plans["join_dim"]

@@ -136,3 +136,19 @@ def test_name_matching_against_nested_loop(spark):
             if y.split()[-1].lower() in x.lower() and y.split()[0].lower() in x.lower():
                 want.setdefault(x, y)
     assert got == want
+
+
+def test_counted_correlations_equal_those_of_the_rows(spark):
+    """Rows that stand for several ones against the same rows written out; a constant has no correlation."""
+    g = random.Random(3)
+    rows = [(g.choice([None, 0.1, 0.7, 1e6 + 0.1]), 0.1, g.randrange(4), g.randrange(3)) for _ in range(60)]
+    df = spark.createDataFrame(rows, "a double, k double, p int, q int")
+    pairs = [("a", "p"), ("k", "p"), ("a", "q")]
+    long = [(a, k, int(kind == "p"), int(kind == "q")) for a, k, p, q in rows for kind, n in (("p", p), ("q", q)) for _ in range(n)]
+    want = S.correlations(S.stack_pairs(spark.createDataFrame(long, "a double, k double, p int, q int"), pairs), [], 5)
+    got = S.counted_correlations(S.stack_flag_counts(df, pairs, ["p", "q"]), 5)
+    names = ["n", "pearson_r", "spearman_rho", "pearson_p", "spearman_p"]
+    a, b = [{(r.x, r.y): [r[c] for c in names] for r in d.collect()} for d in (got, want)]
+    assert len(b) == 3 and a.keys() == b.keys() and b["k", "p"][1] is None
+    for key in b:
+        assert a[key] == [v if v is None else pytest.approx(v, abs=1e-12) for v in b[key]], key
