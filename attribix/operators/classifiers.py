@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import ceil
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -28,6 +29,9 @@ GBT_ROUNDS = 200
 #: Rounds of the perceptron between two looks at the held-out rows.
 MLP_STEP = 10
 
+#: Rows of a task of a fit: fewer do not pay for a task, and more are dealt over more tasks than there are cores.
+LEAST_ROWS, MOST_ROWS = 1_000, 100_000
+
 
 def vectors(df: DataFrame, array: str, out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.col(array)))
@@ -45,6 +49,14 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     return df.withColumn("__w", value_map(weights, label, out)).withColumn(out, F.col("__w")[F.col(label)][out]).drop("__w")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Written rows dealt evenly over all cores. A fit reads them once a round, and a file may give all of them to one task."""
+    n = df.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = min(max(cores, ceil(n / MOST_ROWS)), max(ceil(n / LEAST_ROWS), 1))
+    return df.repartition(parts, F.xxhash64(*df.columns))
+
+
 def _positive(df: DataFrame) -> DataFrame:
     return df.withColumn("score", vector_to_array("probability")[1])
 
@@ -57,7 +69,7 @@ def scaled(train: DataFrame, *others: DataFrame) -> list[DataFrame]:
 
 def logistic(train: DataFrame, test: DataFrame, label: str, c: float = 1.0) -> DataFrame:
     """Logistic regression; the penalty ``1 / (c * sum of weights)`` matches a per-row loss sum with strength c."""
-    fit_on, apply_to = scaled(checkpointed(balanced_weights(train, label)), test)
+    fit_on, apply_to = scaled(checkpointed(dealt(checkpointed(balanced_weights(train, label)))), test)
     total = fit_on.agg(F.sum("weight")).first()[0]
     lr = LogisticRegression(
         labelCol=label, weightCol="weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=LOGISTIC_ROUNDS
@@ -71,7 +83,7 @@ def perceptron(
 ) -> DataFrame:
     """Multilayer perceptron with early stopping: training goes on in steps from the weights so far until the accuracy on
     ``held_out`` of the training rows has not risen for ``patience`` steps, and the best weights count."""
-    fit_on, apply_to = scaled(checkpointed(train), test)
+    fit_on, apply_to = scaled(dealt(checkpointed(train)), test)
     side = F.pmod(F.xxhash64("features", F.lit(seed)), F.lit(1000)) < int(1000 * held_out)
     fit_on = checkpointed(fit_on.withColumn("__held", side))
     learn, watch = fit_on.filter("not __held"), fit_on.filter("__held")

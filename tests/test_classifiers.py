@@ -32,3 +32,14 @@ def test_every_row_gets_an_out_of_fold_score(spark):
     assert got.count() == 60 and got.select("i").distinct().count() == 60
     right = got.filter((F.col("score") >= 0.5).cast("int") == F.col("t")).count()
     assert right == 60
+
+
+def test_rows_of_one_file_are_fitted_by_all_cores(spark):
+    """Rows that lie in one partition, half of them copies of one vector, are dealt evenly; few rows take few tasks."""
+    rows = spark.range(20_000).select(F.col("id"), F.array(F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.col("id") * 0.5)).alias("e")).coalesce(1)
+    got = C.dealt(C.vectors(rows, "e"))
+    sizes = [r[0] for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1))).select("count(1)").collect()]
+    cores = spark.sparkContext.defaultParallelism
+    assert len(sizes) == cores and sum(sizes) == 20_000 and max(sizes) < 1.2 * 20_000 / cores
+    assert got.agg(F.sum("id")).first()[0] == 20_000 * 19_999 // 2
+    assert C.dealt(rows.limit(10)).rdd.getNumPartitions() == 1
