@@ -15,7 +15,7 @@ from attribix.operators.keyed import spread_join
 from attribix.plans import roles
 from attribix.plans.registry import query
 from attribix.plans.shape import r, rounded
-from attribix.plans.teams import HOLDOUT_SQL, PAIR_MIN, PRIOR_SQL, TEST, TRAIN, dataset, pair_members
+from attribix.plans.teams import HOLDOUT_SQL, PAIR_MIN, PRIOR_SQL, TEST, TRAIN, dataset, pair_members, written_sessions
 from attribix.session import checkpointed
 
 TEAM = [
@@ -118,11 +118,12 @@ def session_best_model(spark, sf):
 
 def subject_rows(spark, sf):
     """Subject sessions with enough history: rate, prior baseline, the team's prior deltas, covariate and season type."""
-    deltas = pair_members(spark, sf).groupBy("subject_id", "session_id", "season", "season_type").agg(
+    every = written_sessions(spark, sf)
+    deltas = pair_members(spark, sf, every).groupBy("subject_id", "session_id", "season", "season_type").agg(
         F.avg("delta").alias("mean_delta"), F.sum("delta").alias("sum_delta"), F.max("delta").alias("max_delta"), F.min("delta").alias("min_delta"))
-    played = roles.subject_sessions(spark, sf).select("session_id", "y", "m", "cov")
+    played = every.select("session_id", "y", "m", "cov")
     totals = T.prior_sums(
-        roles.subject_sessions(spark, sf).groupBy("subject_id", "season")
+        every.groupBy("subject_id", "season")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ty"), F.sum("m").alias("tm")),
         ["subject_id"], "season", ["n", "ty", "tm"], "season", roles.sessions(spark, sf),
     ).filter(F.col("n") >= PAIR_MIN)

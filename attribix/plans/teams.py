@@ -415,19 +415,25 @@ lookup AS (
   WHERE s.m >= {MIN_EXPOSURE})"""
 
 
-def pair_prior(spark, sf):
+def written_sessions(spark, sf):
+    """The subject sessions, written once for all that the subject models read of them."""
+    return checkpointed(roles.subject_sessions(spark, sf).drop("n_target"))
+
+
+def pair_prior(spark, sf, rows=None):
     return T.prior_pair_deltas(
-        roles.subject_sessions(spark, sf), roles.team(spark, sf), "subject_id", "session_id", "actor_id",
+        written_sessions(spark, sf) if rows is None else rows, roles.team(spark, sf), "subject_id", "session_id", "actor_id",
         "season", "y", "m", "cov", PAIR_MIN, seasons=roles.sessions(spark, sf),
     )
 
 
-def pair_members(spark, sf):
+def pair_members(spark, sf, rows=None):
     """Members of each subject session with their prior pair delta, else the subject's or the season's median."""
-    deltas = checkpointed(pair_prior(spark, sf).withColumnRenamed("profile_season", "season"))
+    rows = written_sessions(spark, sf) if rows is None else rows
+    deltas = checkpointed(pair_prior(spark, sf, rows).withColumnRenamed("profile_season", "season"))
     by_subject = T.median_defaults(deltas, ["subject_id", "season"], ["adj_delta"]).withColumnRenamed("adj_delta", "d_subject")
     by_season = T.median_defaults(deltas, ["season"], ["adj_delta"]).withColumnRenamed("adj_delta", "d_season")
-    rows = roles.subject_sessions(spark, sf).filter(F.col("m") >= MIN_EXPOSURE).select("subject_id", "session_id", "season", "season_type", "y", "m")
+    rows = rows.filter(F.col("m") >= MIN_EXPOSURE).select("subject_id", "session_id", "season", "season_type", "y", "m")
     slots = T.team_slots(roles.team(spark, sf), "session_id", "actor_id", SIZE)
     joined = (
         rows.join(slots, "session_id")
@@ -436,9 +442,10 @@ def pair_members(spark, sf):
         .withColumn("d_season", F.col("by_season")[F.col("season")]["d_season"])
         .drop("by_season")
     )
+    # The few pairs are hashed, so the many members need no sort.
     return (
         spread_join(joined, by_subject, ["subject_id", "season"], ["session_id", "actor_id"])
-        .join(deltas.select("subject_id", "actor_id", "season", "adj_delta"), ["subject_id", "actor_id", "season"], "left")
+        .join(deltas.select("subject_id", "actor_id", "season", "adj_delta").hint("shuffle_hash"), ["subject_id", "actor_id", "season"], "left")
         .withColumn("known", F.col("adj_delta").isNotNull())
         .withColumn("delta", F.coalesce("adj_delta", "d_subject", "d_season"))
     )
@@ -474,11 +481,12 @@ def team_subject_features(spark, sf):
 
 def subject_dataset(spark, sf):
     """Subject sessions with enough history: actual rate, prior baseline, mean prior team delta, fold."""
-    feats = pair_members(spark, sf).groupBy("subject_id", "session_id", "season").agg(
+    played = written_sessions(spark, sf)
+    feats = pair_members(spark, sf, played).groupBy("subject_id", "session_id", "season").agg(
         F.avg("delta").alias("d"), F.first("y").alias("y"), F.first("m").alias("m")
     )
     totals = T.prior_sums(
-        roles.subject_sessions(spark, sf).groupBy("subject_id", "season")
+        played.groupBy("subject_id", "season")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ty"), F.sum("m").alias("tm")),
         ["subject_id"], "season", ["n", "ty", "tm"], "season", roles.sessions(spark, sf),
     ).filter(F.col("n") >= PAIR_MIN)

@@ -99,6 +99,12 @@ def test_events_are_summed_before_they_are_correlated(plans):
     assert len(re.findall(r"FileScan parquet.*lineitem\.parquet", plans["audit_event_corr"])) == 3
 
 
+def test_subject_sessions_are_built_once(plans):
+    """One scan of the events for the subject sessions and one for the team in either of its uses, however many readers there are."""
+    for name in ("subject_models", "holdout_eval"):
+        assert len(re.findall(r"FileScan parquet.*lineitem\.parquet", plans[name])) == 3, name
+
+
 def test_filters_reach_the_scan(plans):
     assert "EqualTo(l_returnflag,R)" in plans["actor_profile"]
     assert "GreaterThanOrEqual(s_acctbal,0.0)" in plans["join_dim"]
