@@ -145,7 +145,8 @@ def close_fingerprints(fps: DataFrame, budget: int = BUDGET, blocks: int = BLOCK
     """Pairs (fp, other), fp the smaller, of distinct fingerprints within ``budget`` bits, each once.
 
     A key is the agreeing blocks and a number for their choice in one; keys of two choices that meet by chance are sorted
-    out by the distance. A pair that agrees in several choices counts in the first.
+    out by the distance. A pair that agrees in several choices counts in the first. The keys are always shuffled: Spark sizes
+    the exploded rows as if each fingerprint still had one, and would send all of them to the driver and every task.
     """
     chosen = masks(budget, blocks)
     marks = [xxhash.xxh64_intdigest(str(i)) - (1 << 63) for i in range(len(chosen))]
@@ -161,7 +162,7 @@ def close_fingerprints(fps: DataFrame, budget: int = BUDGET, blocks: int = BLOCK
         agrees, here = apart.bitwiseAND(F.lit(mask).cast("long")) == 0, key(F.col("a.fp"), mask, mark)
         first = F.when(agrees, here) if first is None else first.when(agrees, here)
     on = (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(apart) <= budget) & (F.col("a.k") == first)
-    return a.join(b, on).select(F.col("a.fp").alias("fp"), F.col("b.fp").alias("other"))
+    return a.hint("merge").join(b, on).select(F.col("a.fp").alias("fp"), F.col("b.fp").alias("other"))
 
 
 def edit_distance(a: str, b: str, at_most: int) -> int:
@@ -223,7 +224,8 @@ def links(rows: DataFrame, entries: DataFrame, docs: DataFrame, budget: int, blo
     heads = checkpointed(entries.groupBy("fp").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("c")))
     close = checkpointed(close_fingerprints(heads.select("fp"), budget, blocks))
     met = close.select("fp").union(close.select("other")).union(heads.where("c > 1").select("fp")).distinct()
-    known = met.join(heads, "fp").select(F.col("fp").alias("f"), "head", "c")
+    # Written columns are sized from their packed files, far below their rows in memory: never to be sent whole.
+    known = met.join(heads.hint("merge"), "fp").select(F.col("fp").alias("f"), "head", "c")
     cleared(entries.sparkSession)
     held = checkpointed(
         entries.join(known, F.col("fp") == F.col("f")).select("entry", "first", "fp", "c", (F.col("first") == F.col("head")).alias("leads")))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -58,6 +59,25 @@ def test_close_fingerprints_find_every_pair(llm, budget, blocks):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_keys_of_fingerprints_are_never_broadcast(llm):
+    """Ten keys of each fingerprint are sized as one, so a table far above the broadcast limit looks far below it."""
+    fps = llm.range(1000).select(F.xxhash64("id").alias("fp"))
+    plan = L.close_fingerprints(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_heads_of_fingerprints_are_never_broadcast(make, monkeypatch):
+    """One row a fingerprint; its size is told from packed files of entries and comes out many times too low."""
+    plans, write = [], L.checkpointed
+    monkeypatch.setattr(L, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    L.removed_lines(make([(i, f"one line {i}\nanother line") for i in range(20)])).collect()
+    read = [p.splitlines() for p in plans if "head#" in p and "leads#" in p]
+    assert read
+    for rows in read:
+        at = [i for i, row in enumerate(rows) if re.search(r"Scan ExistingRDD\[fp#\d+L?,head#", row)]
+        assert at and not any("BroadcastExchange" in row for i in at for row in rows[i - 2 : i])
+
+
 def brute(rows, budget=3):
     """Texts after dedup, of rows with different ids."""
     first = {}
