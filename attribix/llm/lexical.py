@@ -4,7 +4,9 @@ The index is cut into segments of ``SEGMENT_DOCS`` documents or ``SEGMENT_BYTES`
 documents it reads, so no text is shuffled. A segment holds a postings list for every term, in blocks of ``BLOCK``
 documents. A block's documents and frequencies are packed in as few bytes as its largest values need; beside it stand its
 competitive (frequency, length) pairs, those of which no other pair has a higher frequency and a shorter document. With
-the collection's totals they give the exact highest score of any document in the block.
+the collection's totals they give the exact highest score of any document in the block. A segment is a row of megabytes;
+it is written in a row group of its own or of a few and handed to a search by one or two, so what a task holds does not
+depend on how much it reads.
 
 A search takes the queries in blocks of bounded size. For each segment and query, the lists are put in the order of
 their highest scores. Those whose highest scores together can't reach the query's tenth score so far are not essential:
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .shared import staged, takes_over
+from .shared import LARGE_ROWS, staged, takes_over
 
 # Fixed values of the score.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -153,13 +155,14 @@ def index(docs: DataFrame, segment_docs: int = SEGMENT_DOCS, segment_bytes: int
                 counts.append(Counter(terms))
                 size += len(text)
                 if len(ids) >= segment_docs or size >= segment_bytes:
-                    yield _batch(segment(ids, counts))
+                    made = _batch(segment(ids, counts))
                     ids, counts, size = [], [], 0
+                    yield made
         if ids:
             yield _batch(segment(ids, counts))
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(build, SEGMENT)
-    return staged(rows, "lexical")
+    return staged(rows, "lexical", **LARGE_ROWS)
 
 
 class Segment:

@@ -13,12 +13,15 @@ from ..session import checkpoint_root, configure
 
 #: Rows of one Arrow batch; whole texts go through Python, so a batch is kept to a few MB.
 BATCH_ROWS = "256"
+#: Bytes after which a batch takes no further row, where its rows are larger.
+BATCH_BYTES = "8m"
 
 
 def prepared(spark: SparkSession) -> SparkSession:
     """Session settings of the operators here: small Arrow batches besides what all plans rely on."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
@@ -26,14 +29,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Settings of a Parquet file whose rows are megabytes each. The writer looks at its size after every row and not only after
+#: 100, so a row group, which a writer gathers and a reader loads as one, holds a few of them at any size of the input.
+LARGE_ROWS = {
+    "parquet.block.size": str(4 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1",
+    "parquet.enable.dictionary": "false",
+}
+
+
+def staged(df: DataFrame, name: str, **settings: str) -> DataFrame:
     """Write ``df`` once as Parquet below the shared checkpoint folder and read it back; cuts lineage.
 
-    The folder outlives the call, as its reader is lazy.
+    The folder outlives the call, as its reader is lazy. ``settings`` are the Parquet writer's.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**settings).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,6 +4,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from attribix.llm import lexical as L
@@ -100,6 +102,23 @@ def test_bounds_are_exact_and_spare_blocks(monkeypatch):
     assert heap.score[0] == before[0][0]
 
 
+def test_a_task_holds_few_segments(llm, make):
+    """One task writes 20 segments of about 2 MB and another reads them; each once had them in memory together."""
+    rng = random.Random(4)
+    docs = make([(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(3000))) for i in range(200)]).coalesce(1)
+    segments = L.index(docs, segment_docs=10)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in segments.inputFiles()]
+    groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(groups) == 20 and max(groups) <= 4
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    got = segments.coalesce(1).mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 20 and sum(r.size for r in got) > 30e6 and max(r.size for r in got) < 16e6
+
+
 def test_long_lengths_stay_exact():
     n = np.array([5, 10**9, 4 * 10**12], np.int64)
     assert L.lengths_weighed(n, 10**9, 10**13).tolist() == [10 + 90 * int(x) * 10**9 // 10**13 for x in n]
