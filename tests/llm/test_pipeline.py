@@ -1,10 +1,12 @@
 """The pipeline against a plain computation of each stage, and its stages on the edge rows."""
 
 import zlib
+from itertools import takewhile
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -46,6 +48,29 @@ def test_columns_stay(stages, corpus):
     assert all(df.columns == corpus.columns and df.dtypes == corpus.dtypes for df in stages[:-1])
 
 
+def sent_whole(plan):
+    """The operators below each broadcast of a plan."""
+    rows = [(len(row) - len(row.lstrip(" :+-")), row) for row in plan.splitlines()]
+    for i, (depth, row) in enumerate(rows):
+        if "BroadcastExchange" in row:
+            yield [x for _, x in takewhile(lambda y: y[0] > depth, rows[i + 1 :])]  # noqa: B023
+
+
+def test_no_stage_broadcasts_exploded_rows(llm, corpus, monkeypatch):
+    """Spark sizes rows before they are exploded, so many of them look few enough for the driver."""
+    plans, write = [], DataFrame.checkpoint
+
+    def recorded(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrame, "checkpoint", recorded)
+    for df in run_all(llm, corpus):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert any("Generate explode" in plan for plan in plans)
+    assert not [below for plan in plans for below in sent_whole(plan) if any("Generate" in row for row in below)]
+
+
 def test_rules_stage(stages, texts):
     """No host of these is rejected or trusted, so a document goes for its own failures alone."""
     want = []
